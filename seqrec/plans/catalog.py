@@ -103,3 +103,158 @@ def q_precision_recall(spark, sf):
     train, test = _train_test_e(spark, sf)
     recs = R.recommend_item_neighbors(train, test, _item_network_e(train), P.N_RECS)
     return EV.precision_recall(recs, test, truth_users=train)
+
+
+# ---------------------------------------------------------------- profiles, filters
+
+from seqrec.operators import profiles as PR  # noqa: E402
+from seqrec.operators import sessions as SE  # noqa: E402
+from seqrec.operators import setops as SO  # noqa: E402
+from seqrec.session import scratch_path  # noqa: E402
+from seqrec.sources import sessions_io as SIO  # noqa: E402
+from seqrec.sources.ratings import read_ratings, write_ratings  # noqa: E402
+
+
+@query("user_profiles")
+def q_user_profiles(spark, sf):
+    return PR.user_profiles(events_ratings(spark, sf))
+
+
+@query("profile_positions")
+def q_profile_positions(spark, sf):
+    return PR.profile_positions(events_ratings(spark, sf))
+
+
+@query("profile_map")
+def q_profile_map(spark, sf):
+    return PR.profile_map(events_ratings(spark, sf))
+
+
+@query("active_users")
+def q_active_users(spark, sf):
+    train, _ = _train_test_e(spark, sf)
+    return PR.active_users(train, P.MIN_SESSION_ITEMS)
+
+
+@query("known_users")
+def q_known_users(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    return PR.known_users(test, train)
+
+
+@query("unknown_users")
+def q_unknown_users(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    return PR.unknown_users(test, train)
+
+
+@query("item_catalog")
+def q_item_catalog(spark, sf):
+    train, _ = _train_test_e(spark, sf)
+    return PR.item_catalog(train)
+
+
+@query("recent_items")
+def q_recent_items(spark, sf):
+    split = _split_e(spark, sf)
+    train = SP.train_part(split)
+    known = split.join(train.select("user_id").distinct(), "user_id", "left_semi")
+    return PR.recent_items(known, SP.test_part(known), P.EMB_RECENT)
+
+
+@query("sample_items")
+def q_sample_items(spark, sf):
+    train, _ = _train_test_e(spark, sf)
+    return PR.sample_items(train, 5, seed=7)
+
+
+@query("ratings_summary")
+def q_ratings_summary(spark, sf):
+    return PR.ratings_summary(_split_e(spark, sf))
+
+
+@query("profile_intersect")
+def q_profile_intersect(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    return SO.profile_intersect(train, test)
+
+
+@query("profile_union")
+def q_profile_union(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    return SO.profile_union(train, test)
+
+
+@query("profile_difference")
+def q_profile_difference(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    return SO.profile_difference(test, train)
+
+
+# ---------------------------------------------------------------- sessions
+
+def _sessions_e(spark, sf):
+    return SE.user_sessions(events_ratings(spark, sf), P.SESSION_GAP_E, P.MIN_SESSION_ITEMS)
+
+
+@query("user_sessions")
+def q_user_sessions(spark, sf):
+    return _sessions_e(spark, sf)
+
+
+@query("gap_sessions")
+def q_gap_sessions(spark, sf):
+    train, _ = _train_test_e(spark, sf)
+    return B.gap_sessions(train, P.GAP_E).select("user_id", "session_id", "n", "item_id", "ts", "event_id")
+
+
+@query("session_corpus")
+def q_session_corpus(spark, sf):
+    return SE.session_sentences(_sessions_e(spark, sf))
+
+
+@query("session_lines")
+def q_session_lines(spark, sf):
+    return SIO.session_lines(_sessions_e(spark, sf))
+
+
+@query("session_roundtrip")
+def q_session_roundtrip(spark, sf):
+    path = scratch_path(spark, "sessions")
+    SIO.write_sessions(_sessions_e(spark, sf), path)
+    back = SIO.read_sessions(spark, path)
+    return back.select(F.col("user_id").cast("bigint").alias("user_id"),
+                       F.array_join("tokens", " ").alias("sentence"))
+
+
+# ---------------------------------------------------------------- text sources
+
+def _roundtrip(spark, sf, fmt):
+    e = events_ratings(spark, sf)
+    if fmt == "priced_tsv":
+        ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("value").alias("price"))
+        e = e.join(ev, "event_id")
+    path = scratch_path(spark, f"ratings-{fmt}")
+    write_ratings(e, path, fmt)
+    back = read_ratings(spark, path, fmt, keep_price=(fmt == "priced_tsv"))
+    return back.drop("event_id")
+
+
+@query("scan_tsv")
+def q_scan_tsv(spark, sf):
+    return _roundtrip(spark, sf, "tsv")
+
+
+@query("scan_double_colon")
+def q_scan_double_colon(spark, sf):
+    return _roundtrip(spark, sf, "double_colon")
+
+
+@query("scan_csv")
+def q_scan_csv(spark, sf):
+    return _roundtrip(spark, sf, "csv")
+
+
+@query("scan_priced")
+def q_scan_priced(spark, sf):
+    return _roundtrip(spark, sf, "priced_tsv")

@@ -97,3 +97,74 @@ SQL["block_item_similarity"] = f"WITH {BLOCK_SIM} SELECT * FROM SIM"
 SQL["topk_item_neighbors"] = f"WITH {BLOCK_SIM} SELECT * FROM NET"
 SQL["recommend_item_neighbors"] = f"WITH {ITEM_RECS} SELECT * FROM RECS"
 SQL["precision_recall"] = f"WITH {ITEM_RECS}, {pr_sql('RECS', 'TEST', 'TRAIN')}"
+
+
+# ---------------------------------------------------------------- profiles, filters
+POS = f"""{E}, PE AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM E)"""
+SQL["user_profiles"] = f"WITH {POS} SELECT user_id, pos, item_id, ts, event_id FROM PE"
+SQL["profile_positions"] = f"WITH {POS} SELECT user_id, item_id, min(pos) AS first_pos FROM PE GROUP BY 1, 2"
+SQL["profile_map"] = f"""WITH {POS}
+SELECT user_id, item_id, min(pos) AS first_pos, arg_max(ts, pos) AS last_ts FROM PE GROUP BY 1, 2"""
+SQL["active_users"] = f"""WITH {SPLIT}
+SELECT user_id, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items FROM TRAIN GROUP BY 1
+HAVING count(DISTINCT item_id) > {P.MIN_SESSION_ITEMS}"""
+SQL["known_users"] = f"WITH {SPLIT} SELECT * FROM TEST WHERE user_id IN (SELECT user_id FROM TRAIN)"
+SQL["unknown_users"] = f"""WITH {SPLIT}
+SELECT CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT user_id) AS BIGINT) AS users
+FROM TEST WHERE user_id NOT IN (SELECT user_id FROM TRAIN)"""
+SQL["item_catalog"] = f"WITH {SPLIT} SELECT DISTINCT item_id FROM TRAIN"
+SQL["recent_items"] = f"""WITH {SPLIT},
+K AS (SELECT * FROM S WHERE user_id IN (SELECT user_id FROM TRAIN)),
+L AS (SELECT event_id, user_id, is_test,
+        lag(item_id, 1) OVER w AS b1, lag(item_id, 2) OVER w AS b2, lag(item_id, 3) OVER w AS b3
+      FROM K WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, back, item_id FROM (
+  SELECT event_id, user_id, CAST(1 AS BIGINT) AS back, b1 AS item_id FROM L WHERE is_test
+  UNION ALL SELECT event_id, user_id, CAST(2 AS BIGINT), b2 FROM L WHERE is_test
+  UNION ALL SELECT event_id, user_id, CAST(3 AS BIGINT), b3 FROM L WHERE is_test)
+WHERE item_id IS NOT NULL"""
+SQL["ratings_summary"] = f"""WITH {SPLIT}
+SELECT min(ts) AS min_ts, max(ts) AS max_ts, CAST(count(DISTINCT user_id) AS BIGINT) AS users,
+       CAST(count(DISTINCT item_id) AS BIGINT) AS items,
+       CAST(count(*) FILTER (WHERE NOT is_test) AS BIGINT) AS train_events,
+       CAST(count(*) FILTER (WHERE is_test) AS BIGINT) AS test_events FROM S"""
+SQL["profile_intersect"] = f"""WITH {SPLIT}
+SELECT user_id, item_id FROM TRAIN INTERSECT SELECT user_id, item_id FROM TEST"""
+SQL["profile_union"] = f"""WITH {SPLIT}
+SELECT user_id, item_id FROM TRAIN UNION SELECT user_id, item_id FROM TEST"""
+SQL["profile_difference"] = f"""WITH {SPLIT}
+SELECT user_id, item_id FROM TEST EXCEPT SELECT user_id, item_id FROM TRAIN"""
+
+# ---------------------------------------------------------------- sessions
+SESS = f"""{POS},
+PM AS (SELECT user_id, item_id, min(pos) AS first_pos, arg_max(ts, pos) AS last_ts FROM PE GROUP BY 1, 2),
+PA AS (SELECT * FROM PM WHERE user_id IN (
+         SELECT user_id FROM PM GROUP BY 1 HAVING count(*) > {P.MIN_SESSION_ITEMS})),
+SG AS (SELECT *, CASE WHEN lag(last_ts) OVER w IS NULL OR last_ts - lag(last_ts) OVER w > {P.SESSION_GAP_E}
+                 THEN 1 ELSE 0 END AS g FROM PA WINDOW w AS (PARTITION BY user_id ORDER BY first_pos)),
+SS AS (SELECT *, CAST(sum(g) OVER (PARTITION BY user_id ORDER BY first_pos ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT)
+                 AS session_id FROM SG),
+SESS AS (SELECT user_id, session_id,
+                row_number() OVER (PARTITION BY user_id, session_id ORDER BY first_pos) - 1 AS n,
+                item_id, first_pos, last_ts FROM SS)"""
+SQL["user_sessions"] = f"WITH {SESS} SELECT * FROM SESS"
+SQL["gap_sessions"] = f"""WITH {SPLIT},
+G0 AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > {P.GAP_E} THEN 1 ELSE 0 END AS g
+       FROM TRAIN WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+G1 AS (SELECT *, CAST(sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT)
+       AS session_id FROM G0)
+SELECT user_id, session_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) - 1 AS n,
+       item_id, ts, event_id FROM G1"""
+SQL["session_corpus"] = f"""WITH {SESS}
+SELECT user_id, session_id, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY n) AS sentence FROM SESS GROUP BY 1, 2"""
+SQL["session_lines"] = f"""WITH {SESS}
+SELECT CAST(user_id AS VARCHAR) || chr(9) || string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY n) || ',' AS value
+FROM SESS GROUP BY user_id, session_id"""
+SQL["session_roundtrip"] = f"""WITH {SESS}
+SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY n) AS sentence FROM SESS GROUP BY user_id, session_id"""
+
+# ---------------------------------------------------------------- text sources
+for _k in ("scan_tsv", "scan_double_colon", "scan_csv"):
+    SQL[_k] = f"WITH {E} SELECT user_id, item_id, rating, ts FROM E"
+SQL["scan_priced"] = f"""WITH {E}
+SELECT E.user_id, E.item_id, E.rating, ev.value AS price, E.ts FROM E JOIN events ev USING (event_id)"""
