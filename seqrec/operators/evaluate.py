@@ -8,20 +8,17 @@ from pyspark.sql import functions as F
 METRIC_DIGITS = 6
 
 
-def precision_recall(recs: DataFrame, test: DataFrame, truth_users: DataFrame | None = None) -> DataFrame:
+def precision_recall(recs: DataFrame, truth: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """Macro precision / recall over users with a non-empty recommendation set.
 
-    ``recs`` holds ``(user_id, item_id)`` (duplicates ignored: sets), ``test``
-    the test events.  Truth items are counted only for ``truth_users`` when
-    given (the reference only records test items of users it could score).
-    One row: ``precision, recall, users`` (scored users) and ``norec``
-    (test users without recommendations).  Empty input gives null metrics.
+    ``recs`` and ``truth`` hold ``(user_id, item_id)`` rows (duplicates
+    ignored: both are sets).  ``population`` lists the users the run kept a
+    (possibly empty) list for -- default: the users of ``truth``.  One row:
+    ``precision, recall, users`` (scored users) and ``norec`` (population
+    users without recommendations).  No scored user gives null metrics.
     """
     r = recs.select("user_id", "item_id").distinct()
-    t = test.select("user_id", "item_id")
-    if truth_users is not None:
-        t = t.join(truth_users.select("user_id").distinct(), "user_id", "left_semi")
-    t = t.distinct()
+    t = truth.select("user_id", "item_id").distinct()
     r_size = r.groupBy("user_id").agg(F.count(F.lit(1)).alias("r_n"))
     t_size = t.groupBy("user_id").agg(F.count(F.lit(1)).alias("t_n"))
     hits = r.join(t, ["user_id", "item_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("h_n"))
@@ -31,5 +28,6 @@ def precision_recall(recs: DataFrame, test: DataFrame, truth_users: DataFrame |
         F.round(F.avg(F.col("h_n") / F.col("r_n")), METRIC_DIGITS).alias("precision"),
         F.round(F.avg(F.col("h_n") / F.col("t_n")), METRIC_DIGITS).alias("recall"),
         F.count(F.lit(1)).cast("bigint").alias("users"))
-    n_test_users = test.select(F.count_distinct("user_id").cast("bigint")).scalar()
-    return metrics.withColumn("norec", (n_test_users - F.col("users")).cast("bigint"))
+    pop = population if population is not None else truth
+    n_pop = pop.select(F.count_distinct("user_id").cast("bigint")).scalar()
+    return metrics.withColumn("norec", (n_pop - F.col("users")).cast("bigint"))

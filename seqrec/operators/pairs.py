@@ -20,13 +20,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqrec.session import cut
+
 DEFAULT_TILE_ROWS = 1_000_000
 
 
 def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str],
                         identity: Sequence[str],
                         condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-                        tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+                        tile_rows: int = DEFAULT_TILE_ROWS, materialize: bool = True) -> DataFrame:
     """Ordered pairs ``(a, b)`` of rows of ``df`` with equal ``group_cols``.
 
     Returns ``group_cols`` plus ``a_<c>`` / ``b_<c>`` for every ``c`` in
@@ -35,6 +37,9 @@ def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence
     is applied as part of the join.
     """
     g = list(group_cols)
+    if materialize:
+        # sized and joined: read once
+        df = cut(df.select(*dict.fromkeys([*g, *cols, *identity])))
     sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     hot = (sizes.where(F.col("_n") > F.lit(tile_rows))
            .select(*g, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_t")))

@@ -35,3 +35,83 @@ def block_item_similarity(train: DataFrame, gap, flush_open: bool = False,
                           tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
     """Blocks (``gap`` in ``ts`` units) then directed pair scores."""
     return block_pair_scores(consumption_blocks(train, gap, flush_open=flush_open), tile_rows)
+
+
+# ---------------------------------------------------------------- user-user
+
+
+def first_occurrences(events: DataFrame) -> DataFrame:
+    """``(user_id, item_id, first_pos[, first_ord])`` from events carrying ``pos``
+    (and optionally the global replay ordinal ``ord``)."""
+    aggs = [F.min("pos").alias("first_pos")]
+    if "ord" in events.columns:
+        aggs.append(F.min("ord").alias("first_ord"))
+    return events.groupBy("user_id", "item_id").agg(*aggs)
+
+
+def sequence_triples(first: DataFrame, delta: int) -> DataFrame:
+    """Item pairs that sit less than ``delta`` places apart in a user's profile.
+
+    Places are first occurrences.  Instead of a per-user self-join (quadratic
+    in the profile length), every item looks ahead ``delta - 1`` places and
+    meets its partner by an equi-join on ``(user_id, first_pos)``, a unique key:
+    the work is linear in profile length times ``delta`` and no user key is
+    ever hot in the join.  Returns ``(user_id, item_i, item_j[, born])`` with
+    ``item_i < item_j``; ``born`` is the replay ordinal at which the later of
+    the two items first arrived.
+    """
+    if delta < 2:
+        cols = [F.lit(None).cast("bigint").alias(c) for c in ("user_id", "item_i", "item_j")]
+        return first.sparkSession.range(0).select(*cols)
+    has_ord = "first_ord" in first.columns
+    a = (first.select("user_id", F.col("item_id").alias("a_item"), "first_pos",
+                      F.explode(F.sequence(F.lit(1), F.lit(delta - 1))).alias("_k"),
+                      *([F.col("first_ord").alias("a_ord")] if has_ord else []))
+         .withColumn("b_pos", F.col("first_pos") + F.col("_k")).drop("first_pos", "_k"))
+    b = first.select("user_id", F.col("item_id").alias("b_item"), F.col("first_pos").alias("b_pos"),
+                     *([F.col("first_ord").alias("b_ord")] if has_ord else []))
+    j = a.join(b, ["user_id", "b_pos"])
+    out = [F.col("user_id"), F.least("a_item", "b_item").alias("item_i"),
+           F.greatest("a_item", "b_item").alias("item_j")]
+    if has_ord:
+        out.append(F.greatest("a_ord", "b_ord").alias("born"))
+    return j.select(*out)
+
+
+def pair_contributions(triples: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+    """One row per (user pair, shared item pair): ``(user_a, user_b[, born])``, ``user_a < user_b``.
+
+    Users sharing an item pair meet inside the ``(item_i, item_j)`` group;
+    popular item pairs are tiled (see ``pairs_within_groups``).
+    """
+    has_born = "born" in triples.columns
+    cols = ["user_id"] + (["born"] if has_born else [])
+    pairs = pairs_within_groups(triples, ["item_i", "item_j"], cols, identity=["user_id"],
+                                condition=lambda a, b: a("user_id") < b("user_id"), tile_rows=tile_rows)
+    out = [F.col("a_user_id").alias("user_a"), F.col("b_user_id").alias("user_b")]
+    if has_born:
+        out.append(F.greatest("a_born", "b_born").alias("born"))
+    return pairs.select(*out)
+
+
+def mirror(sim: DataFrame, a: str = "user_a", b: str = "user_b") -> DataFrame:
+    """Symmetric closure of a ``a < b`` similarity table."""
+    rest = [c for c in sim.columns if c not in (a, b)]
+    return sim.unionByName(sim.select(F.col(b).alias(a), F.col(a).alias(b), *rest))
+
+
+def seq_user_similarity(events: DataFrame, delta: int, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+    """Number of item pairs common to two users that lie less than ``delta``
+    places apart in *both* profiles.  ``events`` must carry ``pos``.
+    Returns both directions ``(user_a, user_b, score BIGINT)``, positive only.
+    """
+    trip = sequence_triples(first_occurrences(events.drop("ord") if "ord" in events.columns else events), delta)
+    contrib = pair_contributions(trip, tile_rows)
+    sim = contrib.groupBy("user_a", "user_b").agg(F.count(F.lit(1)).cast("bigint").alias("score"))
+    return mirror(sim)
+
+
+def merge_similarity(old: DataFrame, delta: DataFrame, keys=("user_a", "user_b"), score: str = "score") -> DataFrame:
+    """Stored sums plus new contributions: bag union, then sum per key."""
+    return (old.select(*keys, score).unionByName(delta.select(*keys, score))
+            .groupBy(*keys).agg(F.sum(score).cast(old.schema[score].dataType).alias(score)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def topk_per_key(df: DataFrame, key: str, other: str, score: str, k: int,
+def topk_per_key(df: DataFrame, key, other: str, score: str, k: int,
                  rank: str = "rank") -> DataFrame:
     """Keep the ``k`` rows with the largest ``score`` per ``key``.
 
@@ -14,7 +14,8 @@ def topk_per_key(df: DataFrame, key: str, other: str, score: str, k: int,
     a WindowGroupLimit before the shuffle, so a key with a huge fan-out is cut
     to ``k`` rows per map task instead of arriving whole at one reducer.
     """
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(other).asc())
+    keys = [key] if isinstance(key, str) else list(key)
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), F.col(other).asc())
     return df.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
 
 

@@ -71,6 +71,10 @@ def q_holdout_by_time(spark, sf):
     return SP.holdout_by_time(events_ratings(spark, sf), test_pct=P.TEST_PCT)
 
 
+def PR_known(test, train):
+    return test.join(train.select("user_id"), "user_id", "left_semi")
+
+
 # ---------------------------------------------------------------- item-based
 
 @query("consumption_blocks")
@@ -102,7 +106,7 @@ def q_recommend_item_neighbors(spark, sf):
 def q_precision_recall(spark, sf):
     train, test = _train_test_e(spark, sf)
     recs = R.recommend_item_neighbors(train, test, _item_network_e(train), P.N_RECS)
-    return EV.precision_recall(recs, test, truth_users=train)
+    return EV.precision_recall(recs, PR_known(test, train), population=test)
 
 
 # ---------------------------------------------------------------- profiles, filters
@@ -258,3 +262,82 @@ def q_scan_csv(spark, sf):
 @query("scan_priced")
 def q_scan_priced(spark, sf):
     return _roundtrip(spark, sf, "priced_tsv")
+
+
+# ---------------------------------------------------------------- user-based
+
+from seqrec.operators import incremental as INC  # noqa: E402
+from seqrec.operators import neighbors as NB  # noqa: E402
+from seqrec.plans import user_based as UB  # noqa: E402
+
+UB_PARAMS = UB.UserBasedParams(delta=P.DELTA, k=P.K_USER, n=P.N_RECS, test_n=None, test_pct=P.TEST_PCT,
+                               every=None, every_pct=P.REFRESH_PCT)
+
+
+def _train_positions_e(spark, sf):
+    train, _ = _train_test_e(spark, sf)
+    return O.order_events(train)
+
+
+@query("seq_user_similarity")
+def q_seq_user_similarity(spark, sf):
+    return S.seq_user_similarity(_train_positions_e(spark, sf), P.DELTA)
+
+
+@query("topk_user_neighbors")
+def q_topk_user_neighbors(spark, sf):
+    train = _train_positions_e(spark, sf)
+    return NB.topk_user_neighbors(S.seq_user_similarity(train, P.DELTA), P.K_USER, users=train)
+
+
+@query("merge_similarity")
+def q_merge_similarity(spark, sf):
+    ev, t0, total = UB._split(events_ratings(spark, sf), UB_PARAMS)
+    trip = S.sequence_triples(S.first_occurrences(ev), P.DELTA)
+    contrib = S.pair_contributions(trip)
+    counted = lambda c: c.groupBy("user_a", "user_b").agg(F.count(F.lit(1)).cast("bigint").alias("score"))
+    old = counted(contrib.where(F.col("born") < t0))
+    new = counted(contrib.where(F.col("born") >= t0))
+    return S.mirror(S.merge_similarity(old, new))
+
+
+@query("versioned_similarity")
+def q_versioned_similarity(spark, sf):
+    ev, t0, total = UB._split(events_ratings(spark, sf), UB_PARAMS)
+    return INC.versioned_similarity(ev, t0, total, P.DELTA, UB.refresh_period(total, UB_PARAMS))
+
+
+@query("delta_profiles")
+def q_delta_profiles(spark, sf):
+    ev, t0, total = UB._split(events_ratings(spark, sf), UB_PARAMS)
+    return INC.delta_profiles(ev, t0, UB.refresh_period(total, UB_PARAMS)).select(
+        "user_id", "item_id", "ts", "event_id", "ord", "version")
+
+
+def _user_based_e(spark, sf):
+    return UB.user_based(events_ratings(spark, sf), UB_PARAMS)
+
+
+@query("network_as_of")
+def q_network_as_of(spark, sf):
+    return _user_based_e(spark, sf)["served"].select("event_id", "user_id", "sv", "bstar")
+
+
+@query("recommend_user_neighbors")
+def q_recommend_user_neighbors(spark, sf):
+    return _user_based_e(spark, sf)["recs"]
+
+
+@query("rec_sets")
+def q_rec_sets(spark, sf):
+    return _user_based_e(spark, sf)["recs"].select("user_id", "item_id").distinct()
+
+
+@query("precision_recall_user")
+def q_precision_recall_user(spark, sf):
+    return _user_based_e(spark, sf)["metrics"]
+
+
+@query("unknown_users_network")
+def q_unknown_users_network(spark, sf):
+    return _user_based_e(spark, sf)["cold"]

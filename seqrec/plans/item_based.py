@@ -35,6 +35,7 @@ def item_based(ratings: DataFrame, p: ItemBasedParams) -> dict[str, DataFrame]:
     train, test = train_part(split), test_part(split)
     net = item_network(train, p)
     recs = recommend_item_neighbors(train, test, net, p.n)
-    metrics = precision_recall(recs, test, truth_users=train)
+    truth = test.join(train.select("user_id"), "user_id", "left_semi")
+    metrics = precision_recall(recs, truth, population=test)
     return {"split": split, "train": train, "test": test, "network": net,
             "recs": recs, "metrics": metrics}

@@ -66,11 +66,16 @@ RECS AS (SELECT user_id, item_id, score, rank FROM (
          WHERE rank <= {P.N_RECS})"""
 
 
-def pr_sql(recs: str, test: str, truth_users: str | None) -> str:
-    """Macro precision / recall CTE tail (needs CTEs named by the arguments)."""
+def pr_sql(recs: str, test: str, truth_users: str | None, truth: str | None = None) -> str:
+    """Macro precision / recall CTE tail (needs CTEs named by the arguments).
+
+    Truth rows come from ``truth`` when given, else from ``test`` restricted
+    to ``truth_users``; ``test`` is the population for ``norec``.
+    """
     scope = f"WHERE user_id IN (SELECT user_id FROM {truth_users})" if truth_users else ""
+    src = truth or test
     return f"""RS AS (SELECT DISTINCT user_id, item_id FROM {recs}),
-TS AS (SELECT DISTINCT user_id, item_id FROM {test} {scope}),
+TS AS (SELECT DISTINCT user_id, item_id FROM {src} {scope if truth is None else ''}),
 PU AS (SELECT r.user_id, r.r_n, t.t_n, coalesce(h.h_n, 0) AS h_n
        FROM (SELECT user_id, count(*) AS r_n FROM RS GROUP BY 1) r
        JOIN (SELECT user_id, count(*) AS t_n FROM TS GROUP BY 1) t USING (user_id)
@@ -168,3 +173,100 @@ for _k in ("scan_tsv", "scan_double_colon", "scan_csv"):
     SQL[_k] = f"WITH {E} SELECT user_id, item_id, rating, ts FROM E"
 SQL["scan_priced"] = f"""WITH {E}
 SELECT E.user_id, E.item_id, E.rating, ev.value AS price, E.ts FROM E JOIN events ev USING (event_id)"""
+
+
+# ---------------------------------------------------------------- user-based
+UEV = f"""{E},
+R0 AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord, count(*) OVER () AS total FROM E),
+EV AS (SELECT user_id, item_id, rating, ts, event_id, ord, total - (total * {P.TEST_PCT}) // 100 AS t0,
+              greatest(1, (total * {P.REFRESH_PCT}) // 100) AS rp, total,
+              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM R0),
+PRM AS (SELECT max(t0) AS t0, max(total) AS total, max(rp) AS rp FROM EV)"""
+
+def utrain_cte():
+    return "UT AS (SELECT user_id, item_id, ts, event_id, pos FROM EV WHERE ord < t0)"
+
+UCON = f"""{UEV},
+FO AS (SELECT user_id, item_id, min(pos) AS first_pos, min(ord) AS first_ord FROM EV GROUP BY 1, 2),
+TRI AS (SELECT a.user_id, least(a.item_id, b.item_id) AS item_i, greatest(a.item_id, b.item_id) AS item_j,
+               greatest(a.first_ord, b.first_ord) AS born
+        FROM FO a JOIN FO b ON a.user_id = b.user_id AND b.first_pos > a.first_pos
+                             AND b.first_pos - a.first_pos < {P.DELTA}),
+CON AS (SELECT x.user_id AS user_a, y.user_id AS user_b, greatest(x.born, y.born) AS born
+        FROM TRI x JOIN TRI y ON x.item_i = y.item_i AND x.item_j = y.item_j AND x.user_id < y.user_id)"""
+
+UVS = f"""{UCON},
+INC AS (SELECT user_a, user_b,
+               CASE WHEN born <= t0 - 1 THEN t0 - 1 ELSE CAST(ceil(born / rp) AS BIGINT) * rp END AS bv,
+               count(*) AS cnt
+        FROM CON, PRM GROUP BY 1, 2, 3),
+VER AS (SELECT t0 - 1 AS version FROM PRM
+        UNION ALL SELECT unnest(range(CAST(ceil(t0 / rp) AS BIGINT) * rp, total, rp)) FROM PRM),
+VS AS (SELECT v.version, i.user_a, i.user_b, CAST(sum(i.cnt) AS BIGINT) AS score
+       FROM INC i JOIN VER v ON v.version >= i.bv GROUP BY 1, 2, 3)"""
+
+UNET = f"""{UVS},
+SIMV AS (SELECT version, user_a AS user_id, user_b AS neighbor_id, score FROM VS
+         UNION ALL SELECT version, user_b, user_a, score FROM VS),
+TU AS (SELECT DISTINCT user_id FROM EV, PRM WHERE EV.ord < PRM.t0),
+POOL AS (SELECT user_id FROM TU ORDER BY user_id LIMIT {2 * P.K_USER + 1}),
+ZER AS (SELECT PRM.t0 - 1 AS version, u.user_id, p.user_id AS neighbor_id, CAST(0 AS BIGINT) AS score
+        FROM TU u JOIN POOL p ON u.user_id <> p.user_id, PRM),
+ALLS AS (SELECT version, user_id, neighbor_id, max(score) AS score FROM (
+           SELECT * FROM SIMV UNION ALL SELECT * FROM ZER) GROUP BY 1, 2, 3),
+NET AS (SELECT * FROM (
+          SELECT *, row_number() OVER (PARTITION BY version, user_id ORDER BY score DESC, neighbor_id) AS rank
+          FROM ALLS) WHERE rank <= {P.K_USER}),
+TEV AS (SELECT event_id, user_id, item_id, ord,
+               CASE WHEN CAST(floor((ord - 1) / rp) AS BIGINT) * rp >= t0
+                    THEN CAST(floor((ord - 1) / rp) AS BIGINT) * rp ELSE t0 - 1 END AS sv
+        FROM EV WHERE ord >= t0),
+PRES AS (SELECT DISTINCT user_id, version FROM NET),
+SRV0 AS (SELECT t.event_id, max(p.version) AS bstar FROM TEV t JOIN PRES p
+         ON t.user_id = p.user_id AND p.version <= t.sv GROUP BY 1),
+SERVED AS (SELECT t.*, a.bstar FROM TEV t LEFT JOIN SRV0 a USING (event_id)),
+SC AS (SELECT event_id, user_id, item_id, ord, bstar FROM SERVED WHERE bstar IS NOT NULL),
+VOTES AS (SELECT s.event_id, s.user_id, s.ord, e.item_id, count(*) AS score
+          FROM SC s JOIN NET n ON n.user_id = s.user_id AND n.version = s.bstar
+          JOIN EV e ON e.user_id = n.neighbor_id AND e.ord < s.ord GROUP BY 1, 2, 3, 4),
+FRESH AS (SELECT v.* FROM VOTES v LEFT JOIN FO f ON f.user_id = v.user_id AND f.item_id = v.item_id
+          WHERE f.first_ord IS NULL OR f.first_ord >= v.ord),
+URECS AS (SELECT event_id, user_id, item_id, CAST(score AS BIGINT) AS score, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, item_id) AS rank FROM FRESH)
+          WHERE rank <= {P.N_RECS}),
+UTEST AS (SELECT user_id, item_id FROM EV WHERE ord >= t0)"""
+
+TRAIN_SIM = f"""{SPLIT},
+PT AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM TRAIN),
+FT AS (SELECT user_id, item_id, min(pos) AS first_pos FROM PT GROUP BY 1, 2),
+TT AS (SELECT a.user_id, least(a.item_id, b.item_id) AS item_i, greatest(a.item_id, b.item_id) AS item_j
+       FROM FT a JOIN FT b ON a.user_id = b.user_id AND b.first_pos > a.first_pos
+                            AND b.first_pos - a.first_pos < {P.DELTA}),
+CT AS (SELECT x.user_id AS user_a, y.user_id AS user_b, CAST(count(*) AS BIGINT) AS score
+       FROM TT x JOIN TT y ON x.item_i = y.item_i AND x.item_j = y.item_j AND x.user_id < y.user_id GROUP BY 1, 2),
+SIMT AS (SELECT user_a, user_b, score FROM CT UNION ALL SELECT user_b, user_a, score FROM CT)"""
+
+SQL["seq_user_similarity"] = f"WITH {TRAIN_SIM} SELECT * FROM SIMT"
+SQL["topk_user_neighbors"] = f"""WITH {TRAIN_SIM},
+TU AS (SELECT DISTINCT user_id FROM TRAIN),
+POOL AS (SELECT user_id FROM TU ORDER BY user_id LIMIT {2 * P.K_USER + 1}),
+ALLS AS (SELECT user_id, neighbor_id, max(score) AS score FROM (
+           SELECT user_a AS user_id, user_b AS neighbor_id, score FROM SIMT
+           UNION ALL SELECT u.user_id, p.user_id, CAST(0 AS BIGINT) FROM TU u JOIN POOL p ON u.user_id <> p.user_id)
+         GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, neighbor_id) AS rank FROM ALLS)
+WHERE rank <= {P.K_USER}"""
+SQL["merge_similarity"] = f"""WITH {UCON},
+M AS (SELECT user_a, user_b, CAST(count(*) AS BIGINT) AS score FROM CON GROUP BY 1, 2)
+SELECT user_a, user_b, score FROM M UNION ALL SELECT user_b, user_a, score FROM M"""
+SQL["versioned_similarity"] = f"WITH {UVS} SELECT * FROM VS"
+SQL["delta_profiles"] = f"""WITH {UEV}
+SELECT user_id, item_id, ts, event_id, ord,
+       CASE WHEN ord <= t0 - 1 THEN t0 - 1 ELSE CAST(ceil(ord / rp) AS BIGINT) * rp END AS version FROM EV"""
+SQL["network_as_of"] = f"WITH {UNET} SELECT event_id, user_id, sv, bstar FROM SERVED"
+SQL["recommend_user_neighbors"] = f"WITH {UNET} SELECT * FROM URECS"
+SQL["rec_sets"] = f"WITH {UNET} SELECT DISTINCT user_id, item_id FROM URECS"
+SQL["precision_recall_user"] = f"WITH {UNET}, {pr_sql('URECS', 'UTEST', None, truth='SC')}"
+SQL["unknown_users_network"] = f"""WITH {UNET}
+SELECT CAST(count(*) AS BIGINT) AS cold_events, CAST(count(DISTINCT user_id) AS BIGINT) AS cold_users
+FROM SERVED WHERE bstar IS NULL"""

@@ -15,7 +15,7 @@ K_USER = 20                             # user neighbours
 N_RECS = 10                             # recommendations per list
 DELTA = 10                              # position window of the user similarity
 PHASE_DAYS_E = 7                        # age phases on E (all ages < 30 days)
-REFRESH_EVERY = 500                     # events between network refreshes (E)
+REFRESH_PCT = 5                         # refresh the user network every 5 % of events
 N_EMB = 5                               # embedding / factor recommendations
 EMB_CANDIDATES = 60                     # candidate list length (embeddings)
 EMB_TOPN = 100                          # most_similar topn

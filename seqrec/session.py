@@ -62,3 +62,13 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.abspath(path)
+
+
+def cut(df):
+    """Materialise a frame that several branches reuse, cutting its lineage.
+
+    Reliable ``checkpoint()`` into the shared checkpoint folder: survives the
+    loss of executors (unlike a local checkpoint) and is computed once.
+    """
+    scratch_root(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -92,3 +92,75 @@ def precision_recall(recs: dict, truth: dict, all_test_users):
     if users == 0:
         return None, None, 0
     return p / users, r / users, users
+
+
+def _triples(items, delta):
+    first = {}
+    for i, it in enumerate(items):
+        first.setdefault(it, i)
+    out = set()
+    its = list(first)
+    for a in its:
+        for b in its:
+            if a < b and abs(first[a] - first[b]) < delta:
+                out.add((a, b))
+    return out
+
+
+def seq_similarity(profiles, delta):
+    """{(u, v): count} for u != v with a positive count."""
+    tr = {u: _triples(p, delta) for u, p in profiles.items()}
+    users = sorted(profiles)
+    sim = {}
+    for x, u in enumerate(users):
+        for v in users[x + 1:]:
+            c = len(tr[u] & tr[v])
+            if c > 0:
+                sim[(u, v)] = sim[(v, u)] = c
+    return sim
+
+
+def _top_lists(sim, users, k, pad):
+    lists = defaultdict(list)
+    for (u, v), s in sim.items():
+        lists[u].append((s, v))
+    if pad:
+        for u in users:
+            have = {v for _, v in lists[u]}
+            for v in users:
+                if v != u and v not in have:
+                    lists[u].append((0, v))
+    return {u: [v for s, v in sorted(l, key=lambda t: (-t[0], t[1]))[:k]] for u, l in lists.items() if l}
+
+
+def user_based_sequential(events, n_test, delta, k, n, every, pad=True):
+    ev = replay_order(events)
+    t0 = len(ev) - n_test
+    profiles = defaultdict(list)
+    for e in ev[:t0]:
+        profiles[e["user_id"]].append(e["item_id"])
+    network = _top_lists(seq_similarity(profiles, delta), sorted(profiles), k, pad)
+    per_event, recs, truth, cold = {}, defaultdict(set), defaultdict(set), 0
+    test_users = set()
+    for idx in range(t0, len(ev)):
+        e = ev[idx]
+        u = e["user_id"]
+        test_users.add(u)
+        if u in network:
+            seen = set(profiles[u])
+            votes = Counter()
+            for v in network[u]:
+                for it in profiles[v]:
+                    if it not in seen:
+                        votes[it] += 1
+            top = [i for i, _ in sorted(votes.items(), key=lambda t: (-t[1], t[0]))[:n]]
+            per_event[e["event_id"]] = top
+            recs[u] |= set(top)
+            truth[u].add(e["item_id"])
+        else:
+            cold += 1
+        profiles[u].append(e["item_id"])
+        if idx % every == 0:
+            for uu, lst in _top_lists(seq_similarity(profiles, delta), sorted(profiles), k, False).items():
+                network[uu] = lst
+    return per_event, recs, truth, test_users, cold
