@@ -31,3 +31,27 @@ def precision_recall(recs: DataFrame, truth: DataFrame, population: DataFrame |
     pop = population if population is not None else truth
     n_pop = pop.select(F.count_distinct("user_id").cast("bigint")).scalar()
     return metrics.withColumn("norec", (n_pop - F.col("users")).cast("bigint"))
+
+
+def precision_recall_multiset(rec_list: DataFrame, truth: DataFrame) -> DataFrame:
+    """List-valued variant: the precision denominator is the length of the
+    accumulated list *with* duplicates, hits and recall use distinct items.
+    Users of ``truth`` with an empty list are left out (their precision is
+    undefined).  One row: ``precision, recall, users``."""
+    listed = rec_list.groupBy("user_id").agg(F.count(F.lit(1)).alias("r_n"))
+    r = rec_list.select("user_id", "item_id").distinct()
+    t = truth.select("user_id", "item_id").distinct()
+    t_size = t.groupBy("user_id").agg(F.count(F.lit(1)).alias("t_n"))
+    hits = r.join(t, ["user_id", "item_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("h_n"))
+    per_user = (listed.join(t_size, "user_id").join(hits, "user_id", "left")
+                .select("r_n", "t_n", F.coalesce("h_n", F.lit(0)).alias("h_n")))
+    return per_user.agg(
+        F.round(F.avg(F.col("h_n") / F.col("r_n")), METRIC_DIGITS).alias("precision"),
+        F.round(F.avg(F.col("h_n") / F.col("t_n")), METRIC_DIGITS).alias("recall"),
+        F.count(F.lit(1)).cast("bigint").alias("users"))
+
+
+def mae(pred: DataFrame, label: str = "rating", prediction: str = "prediction") -> DataFrame:
+    """Mean absolute error over all rows: ``(mae, events)``."""
+    return pred.agg(F.round(F.avg(F.abs(F.col(prediction) - F.col(label))), METRIC_DIGITS).alias("mae"),
+                    F.count(F.lit(1)).cast("bigint").alias("events"))

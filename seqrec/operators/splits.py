@@ -71,17 +71,18 @@ def holdout_last_n(df: DataFrame, n: int | None = None, test_pct: int | None = N
     return df.withColumn("is_test", _at_or_after(b))
 
 
+def time_boundary(df: DataFrame, n: int | None = None, test_pct: int | None = None) -> Column:
+    """Timestamp of the ``n``-th newest event (scalar subquery)."""
+    return _newest_boundary(df, n, test_pct).getField("ts")
+
+
 def holdout_by_time(df: DataFrame, n: int | None = None, test_pct: int | None = None) -> DataFrame:
     """Threshold split: the ``n``-th newest timestamp starts the test period.
 
     Training is strictly earlier, so events sharing the boundary timestamp all
     go to test (test may exceed ``n``).  Adds ``is_test``.
     """
-    ranked = global_ordinal(df.select("ts", "event_id"), USER_ORDER, out="_o")
-    total = _row_count(df)
-    size = _test_size(total, n, test_pct)
-    boundary = ranked.where(F.col("_o") == total - size).select(F.max("ts")).scalar()
-    return df.withColumn("is_test", F.col("ts") >= boundary)
+    return df.withColumn("is_test", F.coalesce(F.col("ts") >= time_boundary(df, n, test_pct), F.lit(False)))
 
 
 def train_part(df: DataFrame) -> DataFrame:

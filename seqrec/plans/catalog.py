@@ -341,3 +341,61 @@ def q_precision_recall_user(spark, sf):
 @query("unknown_users_network")
 def q_unknown_users_network(spark, sf):
     return _user_based_e(spark, sf)["cold"]
+
+
+# ---------------------------------------------------------------- implicit kNN
+
+from seqrec.operators import decay as DC  # noqa: E402
+from seqrec.plans import implicit_knn as IK  # noqa: E402
+
+IK_PARAMS = IK.ImplicitParams(k=P.K_USER, n=P.N_RECS, test_n=None, test_pct=P.TEST_PCT,
+                              day_units=P.DAY_E, phase_days=P.PHASE_DAYS_E)
+
+
+def _time_split_e(spark, sf):
+    e = events_ratings(spark, sf)
+    t0 = SP.time_boundary(e, test_pct=P.TEST_PCT)
+    return e, t0, e.where(F.col("ts") < t0), e.where(F.col("ts") >= t0)
+
+
+@query("item_launch_time")
+def q_item_launch_time(spark, sf):
+    _, _, train, _ = _time_split_e(spark, sf)
+    return DC.item_launch_time(train)
+
+
+@query("age_buckets")
+def q_age_buckets(spark, sf):
+    _, t0, train, _ = _time_split_e(spark, sf)
+    return DC.age_buckets(train, t0, P.DAY_E, P.PHASE_DAYS_E).select("event_id", "user_id", "item_id", "i", "j")
+
+
+@query("pseudo_ratings")
+def q_pseudo_ratings(spark, sf):
+    _, t0, train, _ = _time_split_e(spark, sf)
+    return DC.pseudo_ratings(train, t0, P.DAY_E, P.PHASE_DAYS_E)
+
+
+@query("cosine_user_knn")
+def q_cosine_user_knn(spark, sf):
+    _, t0, train, _ = _time_split_e(spark, sf)
+    return IK.knn_network(train, t0, IK_PARAMS)
+
+
+@query("jaccard_user_knn")
+def q_jaccard_user_knn(spark, sf):
+    from dataclasses import replace
+    _, t0, train, _ = _time_split_e(spark, sf)
+    return IK.knn_network(train, t0, replace(IK_PARAMS, measure="jaccard"))
+
+
+@query("recommend_implicit_knn")
+def q_recommend_implicit_knn(spark, sf):
+    return IK.implicit_knn(events_ratings(spark, sf), IK_PARAMS)["recs"]
+
+
+@query("precision_recall_multiset")
+def q_precision_recall_multiset(spark, sf):
+    out = IK.implicit_knn(events_ratings(spark, sf), IK_PARAMS)
+    truth = out["test"].join(out["train"].select("user_id"), "user_id", "left_semi")
+    return EV.precision_recall_multiset(out["recs"], truth)

@@ -270,3 +270,67 @@ SQL["precision_recall_user"] = f"WITH {UNET}, {pr_sql('URECS', 'UTEST', None, tr
 SQL["unknown_users_network"] = f"""WITH {UNET}
 SELECT CAST(count(*) AS BIGINT) AS cold_events, CAST(count(DISTINCT user_id) AS BIGINT) AS cold_users
 FROM SERVED WHERE bstar IS NULL"""
+
+# ---------------------------------------------------------------- implicit kNN
+TSPLIT = f"""{E},
+R0 AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord, count(*) OVER () AS total FROM E),
+TB AS (SELECT max(ts) AS t0 FROM R0 WHERE ord = total - (total * {P.TEST_PCT}) // 100),
+XTR AS (SELECT E.* FROM E, TB WHERE E.ts < TB.t0),
+XTE AS (SELECT E.* FROM E, TB WHERE E.ts >= TB.t0),
+LAUNCH AS (SELECT item_id, min(ts) AS launch_ts FROM XTR GROUP BY 1),
+AGE AS (SELECT x.*, CAST(least(4, floor(floor((t0 - launch_ts) / {P.DAY_E}) / {P.PHASE_DAYS_E})) AS BIGINT) AS i,
+               CAST(least(4, floor(floor((t0 - ts) / {P.DAY_E}) / {P.PHASE_DAYS_E})) AS BIGINT) AS j
+        FROM XTR x JOIN LAUNCH USING (item_id), TB),
+PSEUDO AS (SELECT user_id, item_id,
+                  round((4 - j) + CAST(0.2 AS DOUBLE) * (5 - i), 2) AS weight FROM (
+             SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, event_id DESC) AS r FROM AGE)
+           WHERE r = 1)"""
+
+KNN = f"""{TSPLIT},
+KD AS (SELECT a.user_id AS user_a, b.user_id AS user_b, sum(a.weight * b.weight) AS dot
+       FROM PSEUDO a JOIN PSEUDO b ON a.item_id = b.item_id AND a.user_id < b.user_id GROUP BY 1, 2),
+KN AS (SELECT user_id, sqrt(sum(weight * weight)) AS nrm FROM PSEUDO GROUP BY 1),
+KC AS (SELECT user_a, user_b, round(dot / (na.nrm * nb.nrm), 6) AS score
+       FROM KD JOIN KN na ON na.user_id = user_a JOIN KN nb ON nb.user_id = user_b),
+KS AS (SELECT user_a AS user_id, user_b AS neighbor_id, score FROM KC
+       UNION ALL SELECT user_b, user_a, score FROM KC),
+KNET AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, neighbor_id) AS rank
+                        FROM KS) WHERE rank <= {P.K_USER}),
+TEVK AS (SELECT event_id, user_id, item_id, ts FROM XTE WHERE user_id IN (SELECT user_id FROM XTR)),
+HELD AS (SELECT DISTINCT user_id AS neighbor_id, item_id FROM XTR),
+KV AS (SELECT n.user_id, h.item_id, CAST(count(*) AS BIGINT) AS score FROM KNET n JOIN HELD h USING (neighbor_id)
+       WHERE n.user_id IN (SELECT user_id FROM TEVK) GROUP BY 1, 2),
+FIRSTK AS (SELECT user_id, item_id, ts AS fts, event_id AS feid FROM (
+             SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts, event_id) AS r FROM E) WHERE r = 1),
+KCAND AS (SELECT t.event_id, t.user_id, v.item_id, v.score FROM TEVK t JOIN KV v USING (user_id)
+          LEFT JOIN FIRSTK f ON f.user_id = t.user_id AND f.item_id = v.item_id
+          WHERE f.fts IS NULL OR NOT (f.fts < t.ts OR (f.fts = t.ts AND f.feid < t.event_id))),
+KRECS AS (SELECT event_id, user_id, item_id, score, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, item_id) AS rank FROM KCAND)
+          WHERE rank <= {P.N_RECS})"""
+
+SQL["item_launch_time"] = f"WITH {TSPLIT} SELECT * FROM LAUNCH"
+SQL["age_buckets"] = f"WITH {TSPLIT} SELECT event_id, user_id, item_id, i, j FROM AGE"
+SQL["pseudo_ratings"] = f"WITH {TSPLIT} SELECT * FROM PSEUDO"
+SQL["cosine_user_knn"] = f"WITH {KNN} SELECT * FROM KNET"
+SQL["jaccard_user_knn"] = f"""WITH {TSPLIT},
+SETS AS (SELECT DISTINCT user_id, item_id FROM XTR),
+JI AS (SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS c
+       FROM SETS a JOIN SETS b ON a.item_id = b.item_id AND a.user_id < b.user_id GROUP BY 1, 2),
+JN AS (SELECT user_id, count(*) AS n FROM SETS GROUP BY 1),
+JC AS (SELECT user_a, user_b, round(c / (na.n + nb.n - c), 6) AS score
+       FROM JI JOIN JN na ON na.user_id = user_a JOIN JN nb ON nb.user_id = user_b),
+JS AS (SELECT user_a AS user_id, user_b AS neighbor_id, score FROM JC UNION ALL SELECT user_b, user_a, score FROM JC)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, neighbor_id) AS rank FROM JS)
+WHERE rank <= {P.K_USER}"""
+SQL["recommend_implicit_knn"] = f"WITH {KNN} SELECT * FROM KRECS"
+SQL["precision_recall_multiset"] = f"""WITH {KNN},
+LS AS (SELECT user_id, count(*) AS r_n FROM KRECS GROUP BY 1),
+RD AS (SELECT DISTINCT user_id, item_id FROM KRECS),
+TD AS (SELECT DISTINCT user_id, item_id FROM TEVK),
+TN AS (SELECT user_id, count(*) AS t_n FROM TD GROUP BY 1),
+HN AS (SELECT user_id, count(*) AS h_n FROM RD JOIN TD USING (user_id, item_id) GROUP BY 1),
+PU AS (SELECT l.r_n, t.t_n, coalesce(h.h_n, 0) AS h_n FROM LS l JOIN TN t USING (user_id)
+       LEFT JOIN HN h USING (user_id))
+SELECT round(avg(h_n / r_n), 6) AS precision, round(avg(h_n / t_n), 6) AS recall,
+       CAST(count(*) AS BIGINT) AS users FROM PU"""
