@@ -399,3 +399,49 @@ def q_precision_recall_multiset(spark, sf):
     out = IK.implicit_knn(events_ratings(spark, sf), IK_PARAMS)
     truth = out["test"].join(out["train"].select("user_id"), "user_id", "left_semi")
     return EV.precision_recall_multiset(out["recs"], truth)
+
+
+# ---------------------------------------------------------------- embeddings
+
+from seqrec.operators import vectors as VE  # noqa: E402
+from seqrec.plans import embedding_based as EB  # noqa: E402
+from seqrec.sources.vectors import embeddings_table  # noqa: E402
+
+
+def _emb_inputs(spark, sf):
+    vec = embeddings_table(spark, sf)
+    ranks = vec.select("item_id", F.col("item_id").alias("vocab_rank"))
+    return vec, ranks
+
+
+def _emb_e(spark, sf):
+    vec, ranks = _emb_inputs(spark, sf)
+    return EB.recommend_embeddings(events_ratings(spark, sf), vec, ranks, n=P.N_EMB, test_n=None,
+                                   test_pct=P.TEST_PCT, recent=P.EMB_RECENT, topn=P.EMB_TOPN)
+
+
+@query("normalize_vectors")
+def q_normalize_vectors(spark, sf):
+    vec, _ = _emb_inputs(spark, sf)
+    return VE.vectors_long(VE.normalize_vectors(vec))
+
+
+@query("vocab_ranks")
+def q_vocab_ranks(spark, sf):
+    return VE.vocab_ranks(_sessions_e(spark, sf).select("item_id"))
+
+
+@query("most_similar")
+def q_most_similar(spark, sf):
+    return _emb_e(spark, sf)["candidates"]
+
+
+@query("recommend_embeddings")
+def q_recommend_embeddings(spark, sf):
+    return _emb_e(spark, sf)["recs"]
+
+
+@query("precision_recall_embeddings")
+def q_precision_recall_embeddings(spark, sf):
+    out = _emb_e(spark, sf)
+    return EV.precision_recall(out["recs"], out["targets"], population=out["test"])

@@ -334,3 +334,50 @@ PU AS (SELECT l.r_n, t.t_n, coalesce(h.h_n, 0) AS h_n FROM LS l JOIN TN t USING
        LEFT JOIN HN h USING (user_id))
 SELECT round(avg(h_n / r_n), 6) AS precision, round(avg(h_n / t_n), 6) AS recall,
        CAST(count(*) AS BIGINT) AS users FROM PU"""
+
+# ---------------------------------------------------------------- embeddings
+UVEC = """EMB AS (SELECT CAST(vec_id AS BIGINT) AS item_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+EL AS (SELECT item_id, CAST(generate_subscripts(v, 1) - 1 AS BIGINT) AS dim, unnest(v) AS x FROM EMB),
+EN AS (SELECT item_id, sqrt(sum(x * x)) AS nrm FROM EL GROUP BY 1),
+UL AS (SELECT item_id, dim, CASE WHEN nrm > 0 THEN x / nrm ELSE 0 END AS u FROM EL JOIN EN USING (item_id))"""
+
+DEEP = f"""{E},
+R0 AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord, count(*) OVER () AS total FROM E),
+DS AS (SELECT user_id, item_id, rating, ts, event_id, ord > total - (total * {P.TEST_PCT}) // 100 AS is_test
+       FROM R0 WHERE ord > 0),
+DTR AS (SELECT * FROM DS WHERE NOT is_test),
+DTE AS (SELECT * FROM DS WHERE is_test),
+DK AS (SELECT * FROM DS WHERE user_id IN (SELECT user_id FROM DTR)),
+DL AS (SELECT event_id, user_id, is_test, lag(item_id, 1) OVER w AS b1, lag(item_id, 2) OVER w AS b2,
+              lag(item_id, 3) OVER w AS b3 FROM DK WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+POS AS (SELECT event_id, b1 AS item_id FROM DL WHERE is_test AND b1 IS NOT NULL
+        UNION ALL SELECT event_id, b2 FROM DL WHERE is_test AND b2 IS NOT NULL
+        UNION ALL SELECT event_id, b3 FROM DL WHERE is_test AND b3 IS NOT NULL),
+{UVEC},
+KPOS AS (SELECT p.* FROM POS p WHERE p.item_id IN (SELECT item_id FROM EMB)),
+QS AS (SELECT p.event_id, ul.dim, sum(ul.u) / count(*) AS m FROM KPOS p JOIN UL ul USING (item_id) GROUP BY 1, 2),
+QN AS (SELECT event_id, sqrt(sum(m * m)) AS qn FROM QS GROUP BY 1),
+Q AS (SELECT event_id, dim, CASE WHEN qn > 0 THEN m / qn ELSE 0 END AS qu FROM QS JOIN QN USING (event_id)),
+QR AS (SELECT event_id, least(CASE WHEN min(item_id) < {60} THEN 70 ELSE 60 END,
+                              (SELECT count(*) FROM EMB)) AS r
+       FROM KPOS GROUP BY 1),
+SIMS AS (SELECT q.event_id, ul.item_id, round(sum(q.qu * ul.u), 6) AS sim
+         FROM Q q JOIN UL ul USING (dim) JOIN QR USING (event_id)
+         WHERE ul.item_id < QR.r
+           AND NOT EXISTS (SELECT 1 FROM KPOS k WHERE k.event_id = q.event_id AND k.item_id = ul.item_id)
+         GROUP BY 1, 2),
+MS AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY sim DESC, item_id) AS sim_rank
+                      FROM SIMS) WHERE sim_rank <= {P.EMB_TOPN}),
+DT AS (SELECT event_id, user_id, item_id FROM DTE WHERE user_id IN (SELECT user_id FROM DTR)),
+DF AS (SELECT m.event_id, t.user_id, m.item_id, m.sim FROM MS m JOIN DT t USING (event_id)
+       WHERE NOT EXISTS (SELECT 1 FROM DTR x WHERE x.user_id = t.user_id AND x.item_id = m.item_id)),
+DRECS AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY sim DESC, item_id) AS rank
+                         FROM DF) WHERE rank <= {P.N_EMB})"""
+
+SQL["normalize_vectors"] = f"WITH {UVEC} SELECT item_id, dim, round(u, 6) AS value FROM UL"
+SQL["vocab_ranks"] = f"""WITH {SESS},
+VF AS (SELECT item_id, CAST(count(*) AS BIGINT) AS freq FROM SESS GROUP BY 1)
+SELECT item_id, freq, row_number() OVER (ORDER BY freq DESC, item_id) - 1 AS vocab_rank FROM VF"""
+SQL["most_similar"] = f"WITH {DEEP} SELECT event_id, item_id, sim, sim_rank FROM MS"
+SQL["recommend_embeddings"] = f"WITH {DEEP} SELECT event_id, user_id, item_id, sim, rank FROM DRECS"
+SQL["precision_recall_embeddings"] = f"WITH {DEEP}, {pr_sql('DRECS', 'DTE', None, truth='DT')}"
