@@ -445,3 +445,121 @@ def q_recommend_embeddings(spark, sf):
 def q_precision_recall_embeddings(spark, sf):
     out = _emb_e(spark, sf)
     return EV.precision_recall(out["recs"], out["targets"], population=out["test"])
+
+
+# ---------------------------------------------------------------- models
+
+from seqrec.operators import models as MD  # noqa: E402
+from seqrec.session import cut  # noqa: E402
+from seqrec.sources.vectors import load_embeddings, save_embeddings  # noqa: E402
+
+ALS_RANK, ALS_ITERS = 10, 10
+W2V_SIZE, W2V_WINDOW, W2V_ITERS, W2V_SEED = 200, 3, 1, 339
+
+
+def _bias_e(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    return train, test, MD.bias_baseline(train)
+
+
+@query("bias_baseline")
+def q_bias_baseline(spark, sf):
+    _, _, m = _bias_e(spark, sf)
+    items = m["item_bias"].select(F.lit("item").alias("kind"), F.col("item_id").alias("id"),
+                                  F.round("b_i", 6).alias("bias"))
+    users = m["user_bias"].select(F.lit("user").alias("kind"), F.col("user_id").alias("id"),
+                                  F.round("b_u", 6).alias("bias"))
+    return items.unionByName(users)
+
+
+@query("predict_clamped")
+def q_predict_clamped(spark, sf):
+    _, test, m = _bias_e(spark, sf)
+    return MD.predict_clamped(test, m).select("event_id", "user_id", "item_id", "rating", "prediction")
+
+
+@query("mae_baseline")
+def q_mae_baseline(spark, sf):
+    _, test, m = _bias_e(spark, sf)
+    return EV.mae(MD.predict_clamped(test, m))
+
+
+def _factors_e(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    model, mu = MD.train_factors(train, rank=ALS_RANK, max_iter=ALS_ITERS)
+    return train, test, model, mu
+
+
+@query("train_factors")
+def q_train_factors(spark, sf):
+    _, test, model, mu = _factors_e(spark, sf)
+    return MD.factor_predictions(model, mu, test).select("event_id", "user_id", "item_id", "rating", "prediction")
+
+
+@query("mae_factors")
+def q_mae_factors(spark, sf):
+    _, test, model, mu = _factors_e(spark, sf)
+    return EV.mae(MD.factor_predictions(model, mu, test))
+
+
+@query("recommend_factors")
+def q_recommend_factors(spark, sf):
+    train, test, model, mu = _factors_e(spark, sf)
+    first = (train.unionByName(test).groupBy("user_id", "item_id")
+             .agg(F.min(F.struct("ts", "event_id")).alias("first_key")))
+    return MD.recommend_factors(model, mu, train, test, first, n=P.N_EMB)
+
+
+def _w2v_corpus(spark, sf, fit_on="train"):
+    train, _ = _train_test_e(spark, sf)
+    src = train if fit_on == "train" else events_ratings(spark, sf)
+    sess = SE.user_sessions(src, P.SESSION_GAP_E, P.MIN_SESSION_ITEMS)
+    return SE.session_corpus(sess)
+
+
+def _w2v(spark, sf, fit_on="train"):
+    corpus = cut(_w2v_corpus(spark, sf, fit_on))
+    return MD.train_item_embeddings(corpus, W2V_SIZE, W2V_WINDOW, W2V_ITERS, W2V_SEED)
+
+
+@query("item_embeddings")
+def q_item_embeddings(spark, sf):
+    return _w2v(spark, sf)[1]
+
+
+@query("embedding_store")
+def q_embedding_store(spark, sf):
+    path = scratch_path(spark, "vectors")
+    save_embeddings(_w2v(spark, sf)[1], path)
+    return load_embeddings(spark, path)
+
+
+@query("retrain_embeddings")
+def q_retrain_embeddings(spark, sf):
+    return _w2v(spark, sf, fit_on="all")[1]
+
+
+@query("recommend_embeddings_trained")
+def q_recommend_embeddings_trained(spark, sf):
+    _, vec = _w2v(spark, sf)
+    corpus_tokens = (_w2v_corpus(spark, sf).select(F.explode("tokens").alias("t"))
+                     .select(F.col("t").cast("bigint").alias("item_id")))
+    ranks = VE.vocab_ranks(corpus_tokens)
+    out = EB.recommend_embeddings(events_ratings(spark, sf), cut(vec), ranks, n=P.N_EMB, test_n=None,
+                                  test_pct=P.TEST_PCT, recent=P.EMB_RECENT, topn=P.EMB_TOPN)
+    return out["recs"]
+
+
+# ---------------------------------------------------------------- counters
+
+@query("run_counters")
+def q_run_counters(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    recs = R.recommend_item_neighbors(train, test, _item_network_e(train), P.N_RECS)
+    pr = EV.precision_recall(recs, PR_known(test, train), population=test)
+    scored = PR_known(test, train).select(F.count(F.lit(1)).cast("bigint")).scalar()
+    every = train.unionByName(test)
+    users = every.select(F.count_distinct("user_id").cast("bigint")).scalar()
+    items = every.select(F.count_distinct("item_id").cast("bigint")).scalar()
+    return pr.select(F.col("users").alias("pr_users"), "norec", scored.alias("scored_events"),
+                     users.alias("users"), items.alias("items"))

@@ -381,3 +381,26 @@ SELECT item_id, freq, row_number() OVER (ORDER BY freq DESC, item_id) - 1 AS voc
 SQL["most_similar"] = f"WITH {DEEP} SELECT event_id, item_id, sim, sim_rank FROM MS"
 SQL["recommend_embeddings"] = f"WITH {DEEP} SELECT event_id, user_id, item_id, sim, rank FROM DRECS"
 SQL["precision_recall_embeddings"] = f"WITH {DEEP}, {pr_sql('DRECS', 'DTE', None, truth='DT')}"
+
+# ---------------------------------------------------------------- models
+BIAS = f"""{SPLIT},
+MU AS (SELECT avg(rating) AS mu FROM TRAIN),
+BI AS (SELECT item_id, sum(rating - mu) / (count(*) + CAST(25 AS DOUBLE)) AS b_i FROM TRAIN, MU GROUP BY item_id),
+BU AS (SELECT user_id, sum(rating - mu - b_i) / (count(*) + CAST(10 AS DOUBLE)) AS b_u
+       FROM TRAIN JOIN BI USING (item_id), MU GROUP BY user_id),
+PRED AS (SELECT t.event_id, t.user_id, t.item_id, t.rating,
+                round(least(5.0, greatest(1.0, mu + coalesce(b_u, 0) + coalesce(b_i, 0))), 6) AS prediction
+         FROM TEST t LEFT JOIN BU USING (user_id) LEFT JOIN BI USING (item_id), MU)"""
+SQL["bias_baseline"] = f"""WITH {BIAS}
+SELECT 'item' AS kind, item_id AS id, round(b_i, 6) AS bias FROM BI
+UNION ALL SELECT 'user', user_id, round(b_u, 6) FROM BU"""
+SQL["predict_clamped"] = f"WITH {BIAS} SELECT * FROM PRED"
+SQL["mae_baseline"] = f"""WITH {BIAS}
+SELECT round(avg(abs(prediction - rating)), 6) AS mae, CAST(count(*) AS BIGINT) AS events FROM PRED"""
+SQL["run_counters"] = f"""WITH {ITEM_RECS},
+RS AS (SELECT DISTINCT user_id FROM RECS)
+SELECT CAST((SELECT count(*) FROM RS) AS BIGINT) AS pr_users,
+       CAST((SELECT count(DISTINCT user_id) FROM TEST) - (SELECT count(*) FROM RS) AS BIGINT) AS norec,
+       CAST((SELECT count(*) FROM TEST WHERE user_id IN (SELECT user_id FROM TRAIN)) AS BIGINT) AS scored_events,
+       CAST((SELECT count(DISTINCT user_id) FROM E) AS BIGINT) AS users,
+       CAST((SELECT count(DISTINCT item_id) FROM E) AS BIGINT) AS items"""
