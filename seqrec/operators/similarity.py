@@ -11,7 +11,8 @@ from seqrec.operators.pairs import DEFAULT_TILE_ROWS, pairs_within_groups
 SCORE_DIGITS = 6
 
 
-def block_pair_scores(blocks: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+def block_pair_scores(blocks: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS,
+                      digits: int | None = SCORE_DIGITS) -> DataFrame:
     """Directed item-item scores from closed blocks.
 
     For every two events of one block with different items at block places
@@ -27,8 +28,9 @@ def block_pair_scores(blocks: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) ->
         tile_rows=tile_rows)
     d = F.abs(F.col("a_idx") - F.col("b_idx")).cast("double")
     weight = F.when(F.col("a_ts") < F.col("b_ts"), F.lit(2.0)).otherwise(F.lit(1.0)) * (F.lit(1.0) + F.lit(1.0) / d)
+    total = F.sum(weight)
     return (pairs.groupBy(F.col("a_item_id").alias("src_item"), F.col("b_item_id").alias("dst_item"))
-            .agg(F.round(F.sum(weight), SCORE_DIGITS).alias("score")))
+            .agg((F.round(total, digits) if digits is not None else total).alias("score")))
 
 
 def block_item_similarity(train: DataFrame, gap, flush_open: bool = False,

@@ -563,3 +563,32 @@ def q_run_counters(spark, sf):
     items = every.select(F.count_distinct("item_id").cast("bigint")).scalar()
     return pr.select(F.col("users").alias("pr_users"), "norec", scored.alias("scored_events"),
                      users.alias("users"), items.alias("items"))
+
+
+# ---------------------------------------------------------------- streaming
+
+from seqrec.streaming import similarity as STR  # noqa: E402
+
+STREAM_CHUNKS = 4
+
+
+def _staged(spark, sf, which):
+    train, _ = _train_test_e(spark, sf)
+    src = train if which == "train" else events_ratings(spark, sf)
+    return STR.stage_chunks(src, scratch_path(spark, f"stream-src-{which}"), STREAM_CHUNKS)
+
+
+@query("stream_blocks")
+def q_stream_blocks(spark, sf):
+    blocks = STR.run_stream_blocks(spark, _staged(spark, sf, "train"), P.GAP_E)
+    return blocks.select("user_id", "block_id", "n", "idx", "item_id", "ts", "event_id")
+
+
+@query("stream_item_similarity")
+def q_stream_item_similarity(spark, sf):
+    return STR.run_stream_item_similarity(spark, _staged(spark, sf, "train"), P.GAP_E)
+
+
+@query("stream_user_similarity")
+def q_stream_user_similarity(spark, sf):
+    return STR.run_stream_user_similarity(spark, _staged(spark, sf, "all"), P.DELTA)

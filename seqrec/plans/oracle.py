@@ -404,3 +404,8 @@ SELECT CAST((SELECT count(*) FROM RS) AS BIGINT) AS pr_users,
        CAST((SELECT count(*) FROM TEST WHERE user_id IN (SELECT user_id FROM TRAIN)) AS BIGINT) AS scored_events,
        CAST((SELECT count(DISTINCT user_id) FROM E) AS BIGINT) AS users,
        CAST((SELECT count(DISTINCT item_id) FROM E) AS BIGINT) AS items"""
+
+# ---------------------------------------------------------------- streaming (batch equivalents)
+SQL["stream_blocks"] = SQL["consumption_blocks"]
+SQL["stream_item_similarity"] = SQL["block_item_similarity"]
+SQL["stream_user_similarity"] = SQL["merge_similarity"]
