@@ -28,7 +28,8 @@ DEFAULT_TILE_ROWS = 1_000_000
 def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str],
                         identity: Sequence[str],
                         condition: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-                        tile_rows: int = DEFAULT_TILE_ROWS, materialize: bool = True) -> DataFrame:
+                        tile_rows: int = DEFAULT_TILE_ROWS, materialize: bool = True,
+                        size_col: str | None = None) -> DataFrame:
     """Ordered pairs ``(a, b)`` of rows of ``df`` with equal ``group_cols``.
 
     Returns ``group_cols`` plus ``a_<c>`` / ``b_<c>`` for every ``c`` in
@@ -38,14 +39,19 @@ def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence
     """
     g = list(group_cols)
     if materialize:
-        # sized and joined: read once
-        df = cut(df.select(*dict.fromkeys([*g, *cols, *identity])))
-    sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (sizes.where(F.col("_n") > F.lit(tile_rows))
-           .select(*g, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_t")))
-    tagged = (df.join(F.broadcast(hot), g, "left")
-              .withColumn("_t", F.coalesce(F.col("_t"), F.lit(1)))
-              .withColumn("_tile", F.pmod(F.xxhash64(*identity), F.col("_t")).cast("int")))
+        # both join sides (and the sizing pass) read the upstream once
+        keep = [*g, *cols, *identity, *([size_col] if size_col else [])]
+        df = cut(df.select(*dict.fromkeys(keep)), "pairs-input")
+    if size_col is not None:
+        # group sizes already known per row: tile inline, no extra pass
+        tagged = df.withColumn("_t", F.greatest(F.lit(1), F.ceil(F.col(size_col) / F.lit(tile_rows))).cast("int"))
+    else:
+        sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+        hot = (sizes.where(F.col("_n") > F.lit(tile_rows))
+               .select(*g, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_t")))
+        tagged = (df.join(F.broadcast(hot), g, "left")
+                  .withColumn("_t", F.coalesce(F.col("_t"), F.lit(1))))
+    tagged = tagged.withColumn("_tile", F.pmod(F.xxhash64(*identity), F.col("_t")).cast("int"))
     spread = F.explode(F.sequence(F.lit(0), F.col("_t") - 1))
     left = tagged.select(*g, F.col("_tile").alias("_lt"), spread.alias("_rt"),
                          *[F.col(c).alias(f"a_{c}") for c in cols]).alias("_L")

@@ -21,11 +21,12 @@ def block_pair_scores(blocks: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS,
     first places of equal ``(item, ts)`` elements.  Returns
     ``(src_item, dst_item, score)`` with the score rounded to 6 digits.
     """
-    elems = blocks.select("user_id", "block_id", "n", "idx", "item_id", "ts")
+    sized = "block_size" in blocks.columns
+    elems = blocks.select("user_id", "block_id", "n", "idx", "item_id", "ts", *(["block_size"] if sized else []))
     pairs = pairs_within_groups(
         elems, ["user_id", "block_id"], ["idx", "item_id", "ts"], identity=["user_id", "block_id", "n"],
         condition=lambda a, b: (a("ts") <= b("ts")) & (a("item_id") != b("item_id")),
-        tile_rows=tile_rows)
+        tile_rows=tile_rows, size_col="block_size" if sized else None)
     d = F.abs(F.col("a_idx") - F.col("b_idx")).cast("double")
     weight = F.when(F.col("a_ts") < F.col("b_ts"), F.lit(2.0)).otherwise(F.lit(1.0)) * (F.lit(1.0) + F.lit(1.0) / d)
     total = F.sum(weight)

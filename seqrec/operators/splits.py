@@ -33,6 +33,12 @@ TOP_N_LIMIT = 5_000_000
 def _newest_boundary(df: DataFrame, n: int | None, test_pct: int | None) -> Column:
     """Struct ``(ts, event_id)`` of the n-th newest event (scalar subquery)."""
     keys = df.select("ts", "event_id")
+    if n is None:
+        # one cheap count decides between the bounded top-n and the ordinal
+        total_rows = keys.count()
+        n_test = (total_rows * int(test_pct)) // 100
+        if n_test <= TOP_N_LIMIT:
+            n = n_test
     if n is not None and n <= TOP_N_LIMIT:
         if n <= 0:
             return F.lit(None).cast("struct<ts:bigint,event_id:bigint>")

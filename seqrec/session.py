@@ -64,11 +64,13 @@ def local_path(path: str) -> str:
     return os.path.abspath(path)
 
 
-def cut(df):
+def cut(df, name: str = "cut"):
     """Materialise a frame that several branches reuse, cutting its lineage.
 
-    Reliable ``checkpoint()`` into the shared checkpoint folder: survives the
-    loss of executors (unlike a local checkpoint) and is computed once.
+    Written once as a Parquet table in the shared checkpoint folder and read
+    back: survives the loss of executors (unlike a local checkpoint), is
+    computed by a single job, and gives the optimizer real file statistics.
     """
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
