@@ -63,7 +63,9 @@ def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence
         cond = cond & (F.col(f"_L.{k}") == F.col(f"_R.{k}"))
     if condition is not None:
         cond = cond & condition(lambda c: F.col(f"_L.a_{c}"), lambda c: F.col(f"_R.b_{c}"))
-    joined = left.join(right, cond, "inner")
+    # Both sides are the whole input: a co-partitioned sort-merge join (spills,
+    # never broadcasts a data-sized table, keeps the shuffle's parallelism).
+    joined = left.hint("merge").join(right, cond, "inner")
     return joined.select(*[F.col(f"_L.{k}").alias(k) for k in g],
                          *[F.col(f"_L.a_{c}").alias(f"a_{c}") for c in cols],
                          *[F.col(f"_R.b_{c}").alias(f"b_{c}") for c in cols])

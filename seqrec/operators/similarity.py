@@ -98,9 +98,16 @@ def pair_contributions(triples: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -
 
 
 def mirror(sim: DataFrame, a: str = "user_a", b: str = "user_b") -> DataFrame:
-    """Symmetric closure of a ``a < b`` similarity table."""
+    """Symmetric closure of a ``a < b`` similarity table.
+
+    One pass: every row is emitted in both orientations by an ``explode``, so
+    the (expensive) input plan is not evaluated twice as a ``union`` would.
+    """
     rest = [c for c in sim.columns if c not in (a, b)]
-    return sim.unionByName(sim.select(F.col(b).alias(a), F.col(a).alias(b), *rest))
+    both = F.explode(F.array(F.struct(F.col(a).alias("_x"), F.col(b).alias("_y")),
+                             F.struct(F.col(b).alias("_x"), F.col(a).alias("_y"))))
+    return (sim.select(both.alias("_o"), *rest)
+            .select(F.col("_o._x").alias(a), F.col("_o._y").alias(b), *rest))
 
 
 def seq_user_similarity(events: DataFrame, delta: int, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
