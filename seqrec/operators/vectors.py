@@ -3,10 +3,13 @@ embedding-based recommendation."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqrec.functions.exprs import dot, unit_vector
+from seqrec.functions.exprs import unit_vector
 from seqrec.operators.ordering import global_ordinal
 from seqrec.operators.topk import topk_per_key
 
@@ -50,36 +53,56 @@ def candidate_vocab_size(positive_ranks: Column, vocab_size: Column) -> Column:
 
 
 def query_vectors(positives: DataFrame, unit: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Mean of the positives' unit vectors, renormalised, per query.
+    """Positives of each query: ``(event_id, pos_vecs, pos_items, pos_ranks)``.
 
     ``positives``: ``(event_id, item_id)`` rows (duplicates weigh twice);
-    unknown items are skipped.  Returns ``(event_id, qvec, pos_items, pos_ranks)``.
+    unknown items are skipped.  At most ``recent`` vectors per query.
     """
     j = positives.join(unit, "item_id").join(ranks.select("item_id", "vocab_rank"), "item_id")
-    agg = j.groupBy("event_id").agg(F.collect_list("vector").alias("_vs"),
-                                    F.collect_set("item_id").alias("pos_items"),
-                                    F.collect_set("vocab_rank").alias("pos_ranks"))
-    zero = F.array_repeat(F.lit(0.0), F.size(F.col("_vs")[0]))
-    total = F.aggregate("_vs", zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-    mean = F.transform(total, lambda x: x / F.size("_vs"))
-    return agg.select("event_id", unit_vector(mean).alias("qvec"), "pos_items", "pos_ranks")
+    return j.groupBy("event_id").agg(F.collect_list("vector").alias("pos_vecs"),
+                                     F.collect_set("item_id").alias("pos_items"),
+                                     F.collect_set("vocab_rank").alias("pos_ranks"))
+
+
+def _cosine_scorer(head: np.ndarray):
+    """Arrow-batched scorer: mean of a query's unit vectors, renormalised,
+    dotted with every row of ``head`` (the bounded vocabulary head)."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(vecs: pd.Series) -> pd.Series:
+        out = []
+        for lst in vecs:
+            m = np.mean(np.stack([np.asarray(v, dtype=np.float64) for v in lst]), axis=0)
+            n = np.sqrt(np.dot(m, m))
+            q = m / n if n > 0 else m
+            out.append(head @ q)
+        return pd.Series(out)
+    return score
 
 
 def most_similar(queries: DataFrame, unit: DataFrame, ranks: DataFrame, topn: int = 100) -> DataFrame:
     """Cosine neighbours of each query among the first ``R`` vocabulary entries
     (``R`` from ``candidate_vocab_size``), positives excluded, best ``topn``.
 
-    The searched vocabulary is at most ``MIN_CANDIDATES + WIDEN_STEP`` entries,
-    passed as a bounded array (scalar subquery) and exploded per query -- no
-    join against the vocabulary.  Returns ``(event_id, item_id, sim, sim_rank)``.
+    The searched vocabulary has at most ``MIN_CANDIDATES + WIDEN_STEP``
+    entries whatever the data size, so it is shipped to the tasks as a small
+    matrix and scored with one matrix-vector product per query inside an
+    Arrow-batched pandas UDF.  Returns ``(event_id, item_id, sim, sim_rank)``.
     """
     limit = MIN_CANDIDATES + WIDEN_STEP
     vocab_size = ranks.select(F.count(F.lit(1)).cast("bigint")).scalar()
-    head = (ranks.where(F.col("vocab_rank") < limit).join(unit, "item_id")
-            .agg(F.collect_list(F.struct("item_id", "vocab_rank", "vector")).alias("v")).select("v").scalar())
+    rows = (ranks.where(F.col("vocab_rank") < limit).join(unit, "item_id")
+            .select("item_id", "vocab_rank", "vector").orderBy("vocab_rank").collect())  # <= limit rows
+    if not rows:
+        return queries.sparkSession.createDataFrame(
+            [], "event_id bigint, item_id bigint, sim double, sim_rank bigint")
+    head = np.array([np.asarray(r.vector, dtype=np.float64) for r in rows])
+    ids = F.array(*[F.lit(int(r.item_id)).cast("bigint") for r in rows])
+    vranks = F.array(*[F.lit(int(r.vocab_rank)).cast("bigint") for r in rows])
     q = queries.withColumn("_r", candidate_vocab_size(F.col("pos_ranks"), vocab_size))
-    c = q.select("event_id", "qvec", "pos_items", "_r", F.explode(head).alias("c"))
-    c = c.where((F.col("c.vocab_rank") < F.col("_r")) & ~F.array_contains("pos_items", F.col("c.item_id")))
-    sims = c.select("event_id", F.col("c.item_id").alias("item_id"),
-                    F.round(dot("qvec", "c.vector"), SIM_DIGITS).alias("sim"))
+    c = q.select("event_id", "pos_items", "_r",
+                 F.posexplode(_cosine_scorer(head)(F.col("pos_vecs"))).alias("_k", "_s"))
+    c = (c.withColumn("item_id", F.element_at(ids, F.col("_k") + 1))
+         .where((F.element_at(vranks, F.col("_k") + 1) < F.col("_r"))
+                & ~F.array_contains("pos_items", F.col("item_id"))))
+    sims = c.select("event_id", "item_id", F.round("_s", SIM_DIGITS).alias("sim"))
     return topk_per_key(sims, "event_id", "item_id", "sim", topn, rank="sim_rank")

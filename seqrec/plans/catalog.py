@@ -19,6 +19,7 @@ from seqrec.operators import similarity as S
 from seqrec.operators import splits as SP
 from seqrec.operators import topk as T
 from seqrec.plans import params as P
+from seqrec.session import cut
 from seqrec.sources.ratings import events_ratings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,8 @@ def query(name: str):
 # ---------------------------------------------------------------- shared views
 
 def _split_e(spark, sf):
-    return SP.holdout_last_n(events_ratings(spark, sf), test_pct=P.TEST_PCT)
+    # typed + split once per plan; every branch reads this small columnar copy
+    return cut(SP.holdout_last_n(events_ratings(spark, sf), test_pct=P.TEST_PCT), "split-e")
 
 
 def _train_test_e(spark, sf):
@@ -355,7 +357,8 @@ IK_PARAMS = IK.ImplicitParams(k=P.K_USER, n=P.N_RECS, test_n=None, test_pct=P.TE
 def _time_split_e(spark, sf):
     e = events_ratings(spark, sf)
     t0 = SP.time_boundary(e, test_pct=P.TEST_PCT)
-    return e, t0, e.where(F.col("ts") < t0), e.where(F.col("ts") >= t0)
+    s = cut(e.withColumn("is_test", F.col("ts") >= t0), "time-split-e")
+    return e, t0, s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test")
 
 
 @query("item_launch_time")

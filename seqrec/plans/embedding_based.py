@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqrec.session import cut
+
 from seqrec.operators.profiles import recent_items
 from seqrec.operators.splits import holdout_last_n
 from seqrec.operators.topk import topk_per_key
@@ -22,7 +24,7 @@ def recommend_embeddings(ratings: DataFrame, vectors: DataFrame, ranks: DataFram
     Returns frames ``recs`` ``(event_id, user_id, item_id, sim, rank)``,
     ``test`` and ``train``.
     """
-    split = holdout_last_n(ratings, n=test_n, test_pct=test_pct, skip_first=skip_first)
+    split = cut(holdout_last_n(ratings, n=test_n, test_pct=test_pct, skip_first=skip_first), "split")
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where(F.col("is_test")).drop("is_test")
     users = train.select("user_id").distinct()

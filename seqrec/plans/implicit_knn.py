@@ -60,7 +60,7 @@ def recommend_implicit_knn(train: DataFrame, test: DataFrame, net: DataFrame, n:
 
 def implicit_knn(ratings: DataFrame, p: ImplicitParams) -> dict[str, DataFrame]:
     t0 = time_boundary(ratings, p.test_n, p.test_pct)
-    split = ratings.withColumn("is_test", F.coalesce(F.col("ts") >= t0, F.lit(False)))
+    split = cut(ratings.withColumn("is_test", F.coalesce(F.col("ts") >= t0, F.lit(False))), "split")
     train = split.where(~F.col("is_test")).drop("is_test")
     test = split.where(F.col("is_test")).drop("is_test")
     net = cut(knn_network(train, t0, p))

@@ -31,7 +31,7 @@ def item_network(train: DataFrame, p: ItemBasedParams) -> DataFrame:
 
 def item_based(ratings: DataFrame, p: ItemBasedParams) -> dict[str, DataFrame]:
     """All intermediate frames of the item-based recommender (lazy)."""
-    split = holdout_last_n(ratings, n=p.test_n, test_pct=p.test_pct)
+    split = cut(holdout_last_n(ratings, n=p.test_n, test_pct=p.test_pct), "split")
     train, test = train_part(split), test_part(split)
     net = item_network(train, p)
     recs = recommend_item_neighbors(train, test, net, p.n)
