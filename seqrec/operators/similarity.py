@@ -35,9 +35,20 @@ def block_pair_scores(blocks: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS,
 
 
 def block_item_similarity(train: DataFrame, gap, flush_open: bool = False,
-                          tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
-    """Blocks (``gap`` in ``ts`` units) then directed pair scores."""
-    return block_pair_scores(consumption_blocks(train, gap, flush_open=flush_open), tile_rows)
+                          tile_rows: int = DEFAULT_TILE_ROWS, hot_user_rows: int | None = None) -> DataFrame:
+    """Blocks (``gap`` in ``ts`` units) then directed pair scores.
+
+    When the heaviest user has more than ``hot_user_rows`` events (default
+    ``scan.HOT_USER_ROWS``) the blocks come from the skew-free bucketed scan
+    instead of per-user windows.
+    """
+    from seqrec.operators import scan
+    limit = scan.HOT_USER_ROWS if hot_user_rows is None else hot_user_rows
+    if scan.largest_user(train) > limit:
+        blocks = scan.consumption_blocks_scan(train, gap, flush_open=flush_open)
+    else:
+        blocks = consumption_blocks(train, gap, flush_open=flush_open)
+    return block_pair_scores(blocks, tile_rows)
 
 
 # ---------------------------------------------------------------- user-user

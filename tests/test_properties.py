@@ -63,3 +63,33 @@ def test_versioned_refresh_equals_replay(spark, seed, every):
     got = {k: [i for _, i in sorted(v)] for k, v in got.items()}
     per_event, *_ = BF.user_based_sequential(rows, 60, 4, 3, 4, every)
     assert got == {k: v for k, v in per_event.items() if v}
+
+
+@pytest.mark.parametrize("seed,bucket", [(11, 7), (12, 50)])
+def test_bucketed_scan_blocks_equal_windows(spark, seed, bucket):
+    from seqrec.operators.scan import consumption_blocks_scan
+    rows = random_log(seed, users=4)
+    df = to_df(spark, rows)
+    cols = ["user_id", "block_id", "n", "idx", "item_id", "ts", "event_id", "block_size"]
+    win = sorted(tuple(r) for r in B.consumption_blocks(df, 10).select(*cols).collect())
+    scan = sorted(tuple(r) for r in consumption_blocks_scan(df, 10, bucket_rows=bucket).select(*cols).collect())
+    assert win == scan
+
+
+def test_hot_user_switch_same_similarity(spark):
+    rows = random_log(13, users=3)
+    df = to_df(spark, rows)
+    plain = {tuple(r) for r in S.block_item_similarity(df, 10).collect()}
+    forced = {tuple(r) for r in S.block_item_similarity(df, 10, hot_user_rows=5).collect()}
+    assert plain == forced
+
+
+def test_positions_scan_equal_window(spark):
+    from seqrec.operators import ordering as O
+    from seqrec.operators.scan import positions_scan
+    df = to_df(spark, random_log(14, users=3))
+    win = sorted(tuple(r) for r in O.order_events(df).collect())
+    scan = sorted(tuple(r) for r in positions_scan(df, bucket_rows=9).select(*df.columns, "pos").collect())
+    assert win == scan
+    forced = sorted(tuple(r) for r in O.order_events(df, hot_user_rows=3).select(*df.columns, "pos").collect())
+    assert forced == win
