@@ -36,7 +36,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(cpus, 8))))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts)
     # warm the JVM and the parquet footer cache once, outside the timings
     spark.read.parquet(f"{sf_dir}/events.parquet").write.format("noop").mode("overwrite").save()
     times = {}
