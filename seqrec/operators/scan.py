@@ -119,3 +119,23 @@ def positions_scan(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> Dat
              "scanpos")
     s2 = prefix(s1, {"_uf": (F.when(F.col("_f"), F.col("_g")).otherwise(F.lit(_NEG)), "max")})
     return s2.select(*cols, (F.col("_g") - F.col("_uf")).cast("bigint").alias("pos"))
+
+
+def gap_segments_scan(df: DataFrame, gap, order=("ts", "event_id"), ts_col: str = "ts",
+                      bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    """Gap sessions without per-user windows: adds ``session_id`` and ``n``.
+
+    A new segment starts at a user's first row and wherever
+    ``ts_col - previous ts_col > gap`` in ``(user_id, *order)`` order.
+    """
+    cols = df.columns
+    base = ordinal_buckets(df, ["user_id", *order], bucket_rows)
+    s1 = lag_over_ordinal(base, ["user_id", ts_col])
+    first = F.col("_puser_id").isNull() | (F.col("_puser_id") != F.col("user_id"))
+    s1 = cut(s1.withColumn("_f", first)
+             .withColumn("_gp", first | (F.col(ts_col) - F.col(f"_p{ts_col}") > F.lit(gap))), "gapscan1")
+    s2 = cut(prefix(s1, {"_cs": (F.col("_gp").cast("bigint"), "sum"),
+                         "_ss": (F.when(F.col("_gp"), F.col("_g")).otherwise(F.lit(_NEG)), "max")}), "gapscan2")
+    s3 = prefix(s2, {"_cs0": (F.when(F.col("_f"), F.col("_cs") - 1).otherwise(F.lit(_NEG)), "max")})
+    return s3.select(*cols, (F.col("_cs") - F.col("_cs0") - 1).cast("bigint").alias("session_id"),
+                     (F.col("_g") - F.col("_ss")).cast("bigint").alias("n"))

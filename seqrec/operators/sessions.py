@@ -12,7 +12,7 @@ from seqrec.operators.profiles import profile_map
 MAX_SENTENCE = 1000
 
 
-def user_sessions(df: DataFrame, gap, min_items: int = 3) -> DataFrame:
+def user_sessions(df: DataFrame, gap, min_items: int = 3, hot_user_rows: int | None = None) -> DataFrame:
     """Sessions of users with more than ``min_items`` distinct items.
 
     Walks the ordered-map profile (one row per item at its *first* place,
@@ -24,6 +24,11 @@ def user_sessions(df: DataFrame, gap, min_items: int = 3) -> DataFrame:
     pm = profile_map(df)
     sizes = pm.groupBy("user_id").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > min_items)
     pm = pm.join(sizes.select("user_id"), "user_id", "left_semi")
+    from seqrec.operators import scan
+    limit = scan.HOT_USER_ROWS if hot_user_rows is None else hot_user_rows
+    if scan.largest_user(pm) > limit:
+        seg = scan.gap_segments_scan(pm, gap, order=("first_pos",), ts_col="last_ts")
+        return seg.select("user_id", "session_id", "n", "item_id", "first_pos", "last_ts")
     w = Window.partitionBy("user_id").orderBy("first_pos")
     prev = F.lag("last_ts").over(w)
     g = F.when(prev.isNull() | (F.col("last_ts") - prev > F.lit(gap)), 1).otherwise(0)

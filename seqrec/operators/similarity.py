@@ -42,12 +42,7 @@ def block_item_similarity(train: DataFrame, gap, flush_open: bool = False,
     ``scan.HOT_USER_ROWS``) the blocks come from the skew-free bucketed scan
     instead of per-user windows.
     """
-    from seqrec.operators import scan
-    limit = scan.HOT_USER_ROWS if hot_user_rows is None else hot_user_rows
-    if scan.largest_user(train) > limit:
-        blocks = scan.consumption_blocks_scan(train, gap, flush_open=flush_open)
-    else:
-        blocks = consumption_blocks(train, gap, flush_open=flush_open)
+    blocks = consumption_blocks(train, gap, flush_open=flush_open, hot_user_rows=hot_user_rows)
     return block_pair_scores(blocks, tile_rows)
 
 

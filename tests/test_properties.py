@@ -93,3 +93,15 @@ def test_positions_scan_equal_window(spark):
     assert win == scan
     forced = sorted(tuple(r) for r in O.order_events(df, hot_user_rows=3).select(*df.columns, "pos").collect())
     assert forced == win
+
+
+def test_gap_and_user_sessions_scan_equal_window(spark):
+    from seqrec.operators import sessions as SE
+    df = to_df(spark, random_log(15, users=3))
+    cols = ["user_id", "session_id", "n", "item_id", "ts", "event_id"]
+    win = sorted(tuple(r) for r in B.gap_sessions(df, 10).select(*cols).collect())
+    forced = sorted(tuple(r) for r in B.gap_sessions(df, 10, hot_user_rows=2).select(*cols).collect())
+    assert win == forced
+    u_win = sorted(tuple(r) for r in SE.user_sessions(df, 10, 3).collect())
+    u_scan = sorted(tuple(r) for r in SE.user_sessions(df, 10, 3, hot_user_rows=2).collect())
+    assert u_win == u_scan
