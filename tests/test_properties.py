@@ -105,3 +105,12 @@ def test_gap_and_user_sessions_scan_equal_window(spark):
     u_win = sorted(tuple(r) for r in SE.user_sessions(df, 10, 3).collect())
     u_scan = sorted(tuple(r) for r in SE.user_sessions(df, 10, 3, hot_user_rows=2).collect())
     assert u_win == u_scan
+
+
+def test_blocks_switch_uses_scan(spark):
+    df = to_df(spark, random_log(16, users=3))
+    cols = ["user_id", "block_id", "n", "idx", "item_id", "ts", "event_id", "block_size"]
+    win = sorted(tuple(r) for r in B.consumption_blocks(df, 10).select(*cols).collect())
+    hot = B.consumption_blocks(df, 10, hot_user_rows=2)
+    assert "_g" not in hot.columns
+    assert sorted(tuple(r) for r in hot.select(*cols).collect()) == win
