@@ -595,3 +595,23 @@ def q_stream_item_similarity(spark, sf):
 @query("stream_user_similarity")
 def q_stream_user_similarity(spark, sf):
     return STR.run_stream_user_similarity(spark, _staged(spark, sf, "all"), P.DELTA)
+
+
+# ---------------------------------------------------------------- remaining inventory keys
+
+@query("exclude_seen")
+def q_exclude_seen(spark, sf):
+    train, test = _train_test_e(spark, sf)
+    return R.item_neighbor_votes(train, test, _item_network_e(train), exclude_seen=True)
+
+
+@query("candidate_widening")
+def q_candidate_widening(spark, sf):
+    vec, ranks = _emb_inputs(spark, sf)
+    out = _emb_e(spark, sf)
+    pos = PR.recent_items(out["train"].unionByName(out["test"]).join(out["train"].select("user_id").distinct(),
+                                                                   "user_id", "left_semi"),
+                          out["targets"], P.EMB_RECENT).select("event_id", "item_id")
+    q = VE.query_vectors(pos, VE.normalize_vectors(vec), ranks)
+    size = ranks.select(F.count(F.lit(1)).cast("bigint")).scalar()
+    return q.select("event_id", VE.candidate_vocab_size(F.col("pos_ranks"), size).alias("r"))

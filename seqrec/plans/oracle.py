@@ -409,3 +409,7 @@ SELECT CAST((SELECT count(*) FROM RS) AS BIGINT) AS pr_users,
 SQL["stream_blocks"] = SQL["consumption_blocks"]
 SQL["stream_item_similarity"] = SQL["block_item_similarity"]
 SQL["stream_user_similarity"] = SQL["merge_similarity"]
+
+# ---------------------------------------------------------------- remaining inventory keys
+SQL["exclude_seen"] = f"WITH {ITEM_RECS} SELECT user_id, item_id, score FROM FRESH"
+SQL["candidate_widening"] = f"WITH {DEEP} SELECT event_id, CAST(r AS BIGINT) AS r FROM QR"
