@@ -615,3 +615,23 @@ def q_candidate_widening(spark, sf):
     q = VE.query_vectors(pos, VE.normalize_vectors(vec), ranks)
     size = ranks.select(F.count(F.lit(1)).cast("bigint")).scalar()
     return q.select("event_id", VE.candidate_vocab_size(F.col("pos_ranks"), size).alias("r"))
+
+
+# ---------------------------------------------------------------- view L (orders x lineitem)
+
+from seqrec.sources.ratings import lineitem_ratings  # noqa: E402
+
+
+@query("typed_ratings_orders")
+def q_typed_ratings_orders(spark, sf):
+    return lineitem_ratings(spark, sf)
+
+
+@query("recommend_item_neighbors_orders")
+def q_recommend_item_neighbors_orders(spark, sf):
+    split = cut(SP.holdout_last_n(lineitem_ratings(spark, sf), test_pct=P.TEST_PCT), "split-l")
+    train, test = SP.train_part(split).drop("is_test"), SP.test_part(split).drop("is_test")
+    sim = S.block_item_similarity(train, P.GAP_L)
+    net = T.topk_neighbors(sim, P.K_ITEM, src="src_item", dst="dst_item").select(
+        F.col("src_item").alias("src"), F.col("dst_item").alias("dst"), "score", "rank")
+    return R.recommend_item_neighbors(train, test, net, P.N_RECS)

@@ -413,3 +413,30 @@ SQL["stream_user_similarity"] = SQL["merge_similarity"]
 # ---------------------------------------------------------------- remaining inventory keys
 SQL["exclude_seen"] = f"WITH {ITEM_RECS} SELECT user_id, item_id, score FROM FRESH"
 SQL["candidate_widening"] = f"WITH {DEEP} SELECT event_id, CAST(r AS BIGINT) AS r FROM QR"
+
+
+# ---------------------------------------------------------------- view L
+LV = """LJ AS (SELECT CAST(o.o_custkey AS BIGINT) AS user_id, CAST(l.l_partkey AS BIGINT) AS item_id,
+               CAST(ceil(l.l_quantity / 10) AS DOUBLE) AS rating, epoch_us(o.o_orderdate) // 1000000 AS ts,
+               l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+LV AS (SELECT user_id, item_id, rating, ts,
+              row_number() OVER (ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS event_id
+       FROM LJ)"""
+
+
+def item_recs_sql(view_ctes: str, view: str, gap: int) -> str:
+    """The item-based chain (split, blocks, similarity, network, recs) over any ratings view."""
+    split = f"""{view_ctes},
+R0 AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord, count(*) OVER () AS total FROM {view}),
+S AS (SELECT user_id, item_id, rating, ts, event_id,
+             ord >= total - (total * {P.TEST_PCT}) // 100 AS is_test FROM R0),
+TRAIN AS (SELECT user_id, item_id, rating, ts, event_id FROM S WHERE NOT is_test),
+TEST AS (SELECT user_id, item_id, rating, ts, event_id FROM S WHERE is_test)"""
+    body = ITEM_RECS[ITEM_RECS.index("G0 AS ("):]
+    body = body.replace(f"> {P.GAP_E} THEN 1", f"> {gap} THEN 1", 1)
+    return f"{split},\n{body}"
+
+
+SQL["typed_ratings_orders"] = f"WITH {LV} SELECT user_id, item_id, rating, ts, event_id FROM LV"
+SQL["recommend_item_neighbors_orders"] = f"WITH {item_recs_sql(LV, 'LV', P.GAP_L)} SELECT * FROM RECS"

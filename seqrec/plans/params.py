@@ -22,3 +22,4 @@ EMB_TOPN = 100                          # most_similar topn
 EMB_RECENT = 3                          # recent items as positives
 SESSION_GAP_E = 24 * 3_600 * MICROS_PER_SECOND
 MIN_SESSION_ITEMS = 3                   # users need more than this many items
+GAP_L = 30 * 86_400                     # block gap on view L (ts in seconds, dates only)
