@@ -58,6 +58,13 @@ def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence
     right = tagged.select(*g, spread.alias("_lt"), F.col("_tile").alias("_rt"),
                           *[F.col(c).alias(f"b_{c}") for c in cols]).alias("_R")
     keys = [*g, "_lt", "_rt"]
+    # The join output is up to group-size squared while its input is small in
+    # bytes: AQE would coalesce this shuffle into a few tasks.  Pin both sides
+    # to the session's shuffle width on the exact join keys (co-partitioned,
+    # so the sort-merge join adds no exchange); hot groups are already tiled.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = left.repartition(width, *[F.col(k) for k in keys]).alias("_L")
+    right = right.repartition(width, *[F.col(k) for k in keys]).alias("_R")
     cond = F.lit(True)
     for k in keys:
         cond = cond & (F.col(f"_L.{k}") == F.col(f"_R.{k}"))
