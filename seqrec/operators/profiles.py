@@ -55,14 +55,18 @@ def item_catalog(df: DataFrame) -> DataFrame:
     return df.select("item_id").distinct()
 
 
-def recent_items(events: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
+def recent_items(events: DataFrame, targets: DataFrame, n: int = 3, hot_user_rows: int | None = None) -> DataFrame:
     """The last ``n`` items consumed strictly before each target event.
 
     ``events`` is the growing history (training plus test), ``targets`` the
     events to look back from.  Returns ``(event_id, user_id, back, item_id)``
     with ``back = 1`` the latest.  Uses ``lag`` (bounded look-back, no
-    per-user array).
+    per-user array); heavy users switch to ``scan.recent_items_scan``.
     """
+    from seqrec.operators import scan
+    limit = scan.HOT_USER_ROWS if hot_user_rows is None else hot_user_rows
+    if scan.largest_user(events) > limit:
+        return scan.recent_items_scan(events, targets, n)
     w = user_window()
     lagged = events.select("user_id", "event_id", "ts",
                            *[F.lag("item_id", k).over(w).alias(f"_b{k}") for k in range(1, n + 1)])

@@ -139,3 +139,17 @@ def gap_segments_scan(df: DataFrame, gap, order=("ts", "event_id"), ts_col: str
     s3 = prefix(s2, {"_cs0": (F.when(F.col("_f"), F.col("_cs") - 1).otherwise(F.lit(_NEG)), "max")})
     return s3.select(*cols, (F.col("_cs") - F.col("_cs0") - 1).cast("bigint").alias("session_id"),
                      (F.col("_g") - F.col("_ss")).cast("bigint").alias("n"))
+
+
+def recent_items_scan(events: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
+    """``recent_items`` without per-user windows: the item ``k`` places back is
+    the row at ordinal ``_g - k`` when it belongs to the same user -- an
+    equi-join on a unique key, so no user is ever a hot join key."""
+    g = global_ordinal(events.select("user_id", "item_id", "ts", "event_id"),
+                       ["user_id", "ts", "event_id"], out="_g")
+    look = g.select(F.col("_g").alias("_h"), F.col("user_id").alias("_hu"), "item_id")
+    t = (g.join(targets.select("event_id"), "event_id", "left_semi")
+         .select("event_id", "user_id", "_g", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("back"))
+         .withColumn("_h", F.col("_g") - F.col("back")))
+    return (t.join(look, "_h").where(F.col("_hu") == F.col("user_id"))
+            .select("event_id", "user_id", F.col("back").cast("bigint").alias("back"), "item_id"))

@@ -114,3 +114,14 @@ def test_blocks_switch_uses_scan(spark):
     hot = B.consumption_blocks(df, 10, hot_user_rows=2)
     assert "_g" not in hot.columns
     assert sorted(tuple(r) for r in hot.select(*cols).collect()) == win
+
+
+def test_recent_items_scan_equal_window(spark):
+    from pyspark.sql import functions as F
+
+    from seqrec.operators.profiles import recent_items
+    df = to_df(spark, random_log(17, users=3))
+    targets = df.where(F.col("event_id") % 3 == 0)
+    win = sorted(tuple(r) for r in recent_items(df, targets, 3).collect())
+    hot = sorted(tuple(r) for r in recent_items(df, targets, 3, hot_user_rows=2).collect())
+    assert win == hot and len(win) > 0
