@@ -635,3 +635,12 @@ def q_recommend_item_neighbors_orders(spark, sf):
     net = T.topk_neighbors(sim, P.K_ITEM, src="src_item", dst="dst_item").select(
         F.col("src_item").alias("src"), F.col("dst_item").alias("dst"), "score", "rank")
     return R.recommend_item_neighbors(train, test, net, P.N_RECS)
+
+
+@query("metrics_roundtrip")
+def q_metrics_roundtrip(spark, sf):
+    from seqrec.sources.metrics_io import write_metrics
+    path = scratch_path(spark, "metrics")
+    write_metrics(q_precision_recall(spark, sf), path)
+    back = spark.read.schema("precision double, recall double, users bigint, norec bigint").json(path)
+    return back

@@ -440,3 +440,4 @@ TEST AS (SELECT user_id, item_id, rating, ts, event_id FROM S WHERE is_test)"""
 
 SQL["typed_ratings_orders"] = f"WITH {LV} SELECT user_id, item_id, rating, ts, event_id FROM LV"
 SQL["recommend_item_neighbors_orders"] = f"WITH {item_recs_sql(LV, 'LV', P.GAP_L)} SELECT * FROM RECS"
+SQL["metrics_roundtrip"] = SQL["precision_recall"]
