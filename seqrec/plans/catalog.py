@@ -12,15 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrec.operators import blocks as B
+from seqrec.operators import decay as DC
 from seqrec.operators import evaluate as EV
+from seqrec.operators import incremental as INC
+from seqrec.operators import models as MD
+from seqrec.operators import neighbors as NB
 from seqrec.operators import ordering as O
+from seqrec.operators import profiles as PR
 from seqrec.operators import recommend as R
+from seqrec.operators import sessions as SE
+from seqrec.operators import setops as SO
 from seqrec.operators import similarity as S
 from seqrec.operators import splits as SP
 from seqrec.operators import topk as T
+from seqrec.operators import vectors as VE
+from seqrec.plans import embedding_based as EB
+from seqrec.plans import implicit_knn as IK
+from seqrec.plans import item_based as IB
 from seqrec.plans import params as P
-from seqrec.session import cut
-from seqrec.sources.ratings import events_ratings
+from seqrec.plans import user_based as UB
+from seqrec.session import cut, scratch_path
+from seqrec.sources import sessions_io as SIO
+from seqrec.sources.ratings import events_ratings, lineitem_ratings, read_ratings, write_ratings
+from seqrec.sources.vectors import embeddings_table, load_embeddings, save_embeddings
+from seqrec.streaming import similarity as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -45,10 +60,11 @@ def _train_test_e(spark, sf):
     return SP.train_part(s).drop("is_test"), SP.test_part(s).drop("is_test")
 
 
+ITEM_PARAMS = IB.ItemBasedParams(gap=P.GAP_E, k=P.K_ITEM, n=P.N_RECS, test_n=None, test_pct=P.TEST_PCT)
+
+
 def _item_network_e(train):
-    sim = S.block_item_similarity(train, P.GAP_E)
-    return T.topk_neighbors(sim, P.K_ITEM, src="src_item", dst="dst_item").select(
-        F.col("src_item").alias("src"), F.col("dst_item").alias("dst"), "score", "rank")
+    return IB.item_network(train, ITEM_PARAMS)
 
 
 # ---------------------------------------------------------------- profiles / order
@@ -113,13 +129,6 @@ def q_precision_recall(spark, sf):
 
 # ---------------------------------------------------------------- profiles, filters
 
-from seqrec.operators import profiles as PR  # noqa: E402
-from seqrec.operators import sessions as SE  # noqa: E402
-from seqrec.operators import setops as SO  # noqa: E402
-from seqrec.session import scratch_path  # noqa: E402
-from seqrec.sources import sessions_io as SIO  # noqa: E402
-from seqrec.sources.ratings import read_ratings, write_ratings  # noqa: E402
-
 
 @query("user_profiles")
 def q_user_profiles(spark, sf):
@@ -268,9 +277,6 @@ def q_scan_priced(spark, sf):
 
 # ---------------------------------------------------------------- user-based
 
-from seqrec.operators import incremental as INC  # noqa: E402
-from seqrec.operators import neighbors as NB  # noqa: E402
-from seqrec.plans import user_based as UB  # noqa: E402
 
 UB_PARAMS = UB.UserBasedParams(delta=P.DELTA, k=P.K_USER, n=P.N_RECS, test_n=None, test_pct=P.TEST_PCT,
                                every=None, every_pct=P.REFRESH_PCT)
@@ -347,8 +353,6 @@ def q_unknown_users_network(spark, sf):
 
 # ---------------------------------------------------------------- implicit kNN
 
-from seqrec.operators import decay as DC  # noqa: E402
-from seqrec.plans import implicit_knn as IK  # noqa: E402
 
 IK_PARAMS = IK.ImplicitParams(k=P.K_USER, n=P.N_RECS, test_n=None, test_pct=P.TEST_PCT,
                               day_units=P.DAY_E, phase_days=P.PHASE_DAYS_E)
@@ -406,10 +410,6 @@ def q_precision_recall_multiset(spark, sf):
 
 # ---------------------------------------------------------------- embeddings
 
-from seqrec.operators import vectors as VE  # noqa: E402
-from seqrec.plans import embedding_based as EB  # noqa: E402
-from seqrec.sources.vectors import embeddings_table  # noqa: E402
-
 
 def _emb_inputs(spark, sf):
     vec = embeddings_table(spark, sf)
@@ -452,9 +452,6 @@ def q_precision_recall_embeddings(spark, sf):
 
 # ---------------------------------------------------------------- models
 
-from seqrec.operators import models as MD  # noqa: E402
-from seqrec.session import cut  # noqa: E402
-from seqrec.sources.vectors import load_embeddings, save_embeddings  # noqa: E402
 
 ALS_RANK, ALS_ITERS = 10, 10
 W2V_SIZE, W2V_WINDOW, W2V_ITERS, W2V_SEED = 200, 3, 1, 339
@@ -570,7 +567,6 @@ def q_run_counters(spark, sf):
 
 # ---------------------------------------------------------------- streaming
 
-from seqrec.streaming import similarity as STR  # noqa: E402
 
 STREAM_CHUNKS = 4
 
@@ -619,8 +615,6 @@ def q_candidate_widening(spark, sf):
 
 # ---------------------------------------------------------------- view L (orders x lineitem)
 
-from seqrec.sources.ratings import lineitem_ratings  # noqa: E402
-
 
 @query("typed_ratings_orders")
 def q_typed_ratings_orders(spark, sf):
