@@ -19,10 +19,12 @@ from seqrec.plans.catalog import REGISTRY  # noqa: E402
 from seqrec.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "block_item_similarity",      # item-based similarity build (timed by the reference)
+    "block_item_similarity",      # item-based similarity build
+    "topk_item_neighbors",        # similarity + top-K: the item-based timer of the reference
     "recommend_item_neighbors",   # item-based top-N (flagship)
     "precision_recall",           # item-based end to end
-    "seq_user_similarity",        # user-based similarity build (timed by the reference)
+    "seq_user_similarity",        # user-based similarity build
+    "topk_user_neighbors",        # first network build: the user-based timer of the reference
     "recommend_user_neighbors",   # user-based with refreshed networks, per test event
     "cosine_user_knn",            # implicit kNN build (timed by the reference)
     "recommend_implicit_knn",
