@@ -125,3 +125,21 @@ def test_recent_items_scan_equal_window(spark):
     win = sorted(tuple(r) for r in recent_items(df, targets, 3).collect())
     hot = sorted(tuple(r) for r in recent_items(df, targets, 3, hot_user_rows=2).collect())
     assert win == hot and len(win) > 0
+
+
+@pytest.mark.parametrize("seed", [18, 19])
+def test_zero_padding_equals_sequential(spark, seed):
+    from seqrec.operators import ordering as O
+    from seqrec.operators.neighbors import topk_user_neighbors
+    rows = random_log(seed, users=9, items=40, n=70)
+    df = O.order_events(to_df(spark, rows))
+    net = topk_user_neighbors(S.seq_user_similarity(df, 3), 4, users=df).collect()
+    got = defaultdict(list)
+    for r in sorted(net, key=lambda r: (r.user_id, r.rank)):
+        got[r.user_id].append(r.neighbor_id)
+    profiles = defaultdict(list)
+    for e in BF.replay_order(rows):
+        profiles[e["user_id"]].append(e["item_id"])
+    want = BF._top_lists(BF.seq_similarity(profiles, 3), sorted(profiles), 4, True)
+    assert dict(got) == want
+    assert any(len([1 for r in net if r.user_id == u and r.score == 0]) for u in want)
