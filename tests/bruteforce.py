@@ -35,20 +35,29 @@ def blocks_sequential(train, gap):
 
 
 def block_scores(closed):
+    """Net effect per unordered pair of events with different items in a block:
+    the earlier item gains 2 * (1 + 1/d) towards the later one, equal times
+    give 1 + 1/d in both directions; d is the distance of first places of the
+    two (item, ts) elements."""
     score = defaultdict(float)
     for _, blk in closed:
-        first = {}
-        for i, el in enumerate(blk):
-            first.setdefault(el, i)
-        for x in blk:
-            for y in blk:
-                if x[0] == y[0]:
+        place = {}
+        for k in range(len(blk) - 1, -1, -1):
+            place[blk[k]] = k  # ends at the first occurrence
+        n = len(blk)
+        for p in range(n):
+            for q in range(p + 1, n):
+                (ia, ta), (ib, tb) = blk[p], blk[q]
+                if ia == ib:
                     continue
-                w = 1.0 + 1.0 / abs(first[x] - first[y])
-                if x[1] < y[1]:
-                    score[(x[0], y[0])] += w
+                w = 1.0 + 1.0 / abs(place[blk[p]] - place[blk[q]])
+                if ta == tb:
+                    score[(ia, ib)] += w
+                    score[(ib, ia)] += w
+                elif ta < tb:
+                    score[(ia, ib)] += 2 * w
                 else:
-                    score[(y[0], x[0])] += w
+                    score[(ib, ia)] += 2 * w
     return {k: round(v, 6) for k, v in score.items()}
 
 
