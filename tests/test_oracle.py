@@ -56,3 +56,10 @@ def test_every_query_has_a_callable():
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
     assert len(q) >= 60
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
+def test_item_based_regression_value(spark):
+    """SURVEY §7.2: E at sf0.01, newest 20 % held out, 6 h gap, K=20, N=10."""
+    m = entry.queries()["precision_recall"](spark, "/root/testdata/sf0.01").collect()[0]
+    assert (m.precision, m.recall, m.users, m.norec) == (0.110667, 0.088403, 150, 0)
