@@ -63,3 +63,10 @@ def test_item_based_regression_value(spark):
     """SURVEY §7.2: E at sf0.01, newest 20 % held out, 6 h gap, K=20, N=10."""
     m = entry.queries()["precision_recall"](spark, "/root/testdata/sf0.01").collect()[0]
     assert (m.precision, m.recall, m.users, m.norec) == (0.110667, 0.088403, 150, 0)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
+def test_user_based_regression_value(spark):
+    """Sequential replay (refresh every 500 events, delta 10, K=20, N=10) gave these values."""
+    m = entry.queries()["precision_recall_user"](spark, "/root/testdata/sf0.01").collect()[0]
+    assert (m.precision, m.recall, m.users) == (0.100427, 0.164092, 150)
