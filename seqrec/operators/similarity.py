@@ -58,7 +58,7 @@ def first_occurrences(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "item_id").agg(*aggs)
 
 
-def sequence_triples(first: DataFrame, delta: int) -> DataFrame:
+def sequence_triples(first: DataFrame, delta: int, string_larger: bool = False) -> DataFrame:
     """Item pairs that sit less than ``delta`` places apart in a user's profile.
 
     Places are first occurrences.  Instead of a per-user self-join (quadratic
@@ -84,6 +84,10 @@ def sequence_triples(first: DataFrame, delta: int) -> DataFrame:
            F.greatest("a_item", "b_item").alias("item_j")]
     if has_ord:
         out.append(F.greatest("a_ord", "b_ord").alias("born"))
+        if string_larger:
+            # first arrival of the item that is larger as a string (compat refresh rule)
+            larger_a = F.col("a_item").cast("string") > F.col("b_item").cast("string")
+            out.append(F.when(larger_a, F.col("a_ord")).otherwise(F.col("b_ord")).alias("jarr"))
     return j.select(*out)
 
 
@@ -94,12 +98,15 @@ def pair_contributions(triples: DataFrame, tile_rows: int = DEFAULT_TILE_ROWS) -
     popular item pairs are tiled (see ``pairs_within_groups``).
     """
     has_born = "born" in triples.columns
-    cols = ["user_id"] + (["born"] if has_born else [])
+    has_j = "jarr" in triples.columns
+    cols = ["user_id"] + (["born"] if has_born else []) + (["jarr"] if has_j else [])
     pairs = pairs_within_groups(triples, ["item_i", "item_j"], cols, identity=["user_id"],
                                 condition=lambda a, b: a("user_id") < b("user_id"), tile_rows=tile_rows)
     out = [F.col("a_user_id").alias("user_a"), F.col("b_user_id").alias("user_b")]
     if has_born:
         out.append(F.greatest("a_born", "b_born").alias("born"))
+    if has_j:
+        out.append(F.greatest("a_jarr", "b_jarr").alias("jarr"))
     return pairs.select(*out)
 
 

@@ -173,3 +173,43 @@ def user_based_sequential(events, n_test, delta, k, n, every, pad=True):
             for uu, lst in _top_lists(seq_similarity(profiles, delta), sorted(profiles), k, False).items():
                 network[uu] = lst
     return per_event, recs, truth, test_users, cold
+
+
+def compat_versions(events, n_test, delta, every):
+    """Versions of the user similarity under the reference's delta rule:
+    at a refresh, a common pair {i, j} (i < j as strings, both within delta
+    places in both profiles) is added when j first arrived for u or v since
+    the previous refresh.  Returns {version: {(u, v): score}} with u < v."""
+    ev = replay_order(events)
+    t0 = len(ev) - n_test
+    profiles, first_ord = defaultdict(list), defaultdict(dict)
+    for k, e in enumerate(ev[:t0]):
+        profiles[e["user_id"]].append(e["item_id"])
+        first_ord[e["user_id"]].setdefault(e["item_id"], k)
+    cur = {k: v for k, v in seq_similarity(profiles, delta).items() if k[0] < k[1]}
+    out = {t0 - 1: dict(cur)}
+    prev = t0 - 1
+    for k in range(t0, len(ev)):
+        e = ev[k]
+        profiles[e["user_id"]].append(e["item_id"])
+        first_ord[e["user_id"]].setdefault(e["item_id"], k)
+        if k % every:
+            continue
+        place = {u: {} for u in profiles}
+        for u, items in profiles.items():
+            for pos, it in enumerate(items):
+                place[u].setdefault(it, pos)
+        users = sorted(profiles)
+        for x, u in enumerate(users):
+            for v in users[x + 1:]:
+                common = sorted(set(profiles[u]) & set(profiles[v]), key=str)
+                for a in range(len(common)):
+                    for b in range(a + 1, len(common)):
+                        i, j = common[a], common[b]
+                        if abs(place[u][i] - place[u][j]) >= delta or abs(place[v][i] - place[v][j]) >= delta:
+                            continue
+                        if prev < first_ord[u][j] <= k or prev < first_ord[v][j] <= k:
+                            cur[(u, v)] = cur.get((u, v), 0) + 1
+        out[k] = dict(cur)
+        prev = k
+    return out
