@@ -13,7 +13,8 @@ TABLES = "events embeddings orders lineitem".split()
 CHECKED = ["typed_ratings", "holdout_last_n", "consumption_blocks", "block_item_similarity",
            "recommend_item_neighbors", "precision_recall", "user_sessions", "seq_user_similarity",
            "recommend_user_neighbors", "pseudo_ratings", "recommend_implicit_knn", "recommend_embeddings",
-           "mae_baseline"]
+           "mae_baseline", "typed_ratings_orders", "recommend_item_neighbors_orders", "versioned_similarity",
+           "stream_item_similarity"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
