@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import minhash
+from seqrec.llm import langid, minhash, multiindex
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +17,22 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))["classes"]
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash,)}
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with cosine >= 0.95 of every vector: vec_id, n_links, component_id, kept."""
+    return multiindex.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def _remainder(mod: int):
+    """crc32 of doc_id as text, modulo mod."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them: doc_id, held_out, lang_pred, score."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_remainder(3) == 1, F.lit(False)))
+    profiles = langid.fit(docs.where(_remainder(3) != 1))
+    return langid.predict(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op6_language)}
 SQL: dict[str, str] = {}
