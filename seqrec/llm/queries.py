@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import langid, minhash, multiindex
+from seqrec.llm import langid, minhash, multiindex, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +34,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op6_language)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labelled ones: doc_id, held_out, score, predicted."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.where(_remainder(5) != 0).join(labels, "doc_id"))
+    return toxicity.score(docs.withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False))), model)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op6_language, op9_toxicity)}
 SQL: dict[str, str] = {}
