@@ -12,7 +12,11 @@ from seqrec.session import cut
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language", stages.language),
     ("near_duplicates", stages.near_duplicates),
+    ("secrets", stages.secret_scan),
+    ("mixing", stages.mixing_weights),
+    ("packing", stages.pack),
 ]
 
 #: The stages learn models and sample by hash; SQL cannot express them.  tests/llm holds run() against a plain version.

@@ -209,20 +209,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = cut(star.distinct(), "pairs")
     links = _verified(star, docs, width, threshold, idf_value)
 
-    def labelled(links):
-        found = components(links)
-        return member.join(found, member["doc"] == found["node"], "left").select(
-            "band", "value", "doc", F.coalesce("component", "doc").alias("part"))
+    found = components(links)
+
+    def labelled(found, rows_):
+        return rows_.drop("part").join(found, rows_["doc"] == found["node"], "left").withColumn("part", F.coalesce("component", "doc")).drop("node", "component")
+
+    def joined(found, more):
+        """Components after more links, of which few join different ones."""
+        a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab")
+        again = components(more.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b")))
+        again = again.select(F.col("node").alias("of"), F.col("component").alias("to"))
+        old = found.join(again, found["component"] == again["of"], "left").select("node", F.coalesce("to", "component").alias("component"))
+        return cut(old.unionByName(again.select(F.col("of").alias("node"), F.col("to").alias("component"))).distinct(), "components")
 
     def mixed(rows_, *key):
         sizes = rows_.groupBy(*key).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"))
         return rows_.join(sizes.where("lo < hi").drop("lo", "hi"), list(key))
 
     def across(rows_, *key):
+        rows_ = rows_.drop("size")
         other = rows_.select(*key, F.col("doc").alias("b"), F.col("part").alias("part_b"))
         return rows_.withColumnRenamed("doc", "a").join(other, list(key)).where("a < b and part <> part_b").select("a", "b")
 
-    open_ = cut(mixed(labelled(links), "band", "value"), "open")
+    open_ = cut(mixed(labelled(found, member), "band", "value"), "open")
     large = open_.where(F.col("size") > small)
     both = large.select("doc", "part", F.col("band").alias("band_1"), F.col("value").alias("value_1")).join(
         large.select("doc", F.col("band").alias("band_2"), F.col("value").alias("value_2")), "doc").where("band_1 < band_2")
@@ -234,15 +243,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = cut(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
                .join(star, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, docs, width, threshold, idf_value))
-        if not sub.isEmpty():
-            part = components(links)
-            again = sub.drop("part").join(part, sub["doc"] == part["node"], "left").select(*sub_key, "doc", F.coalesce("component", "doc").alias("part"))
-            rest = across(mixed(again, *sub_key), *sub_key).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            rest = cut(rest.join(star.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-            if not rest.isEmpty():
-                links = links.unionByName(_verified(rest, docs, width, threshold, idf_value))
-    found = components(links).withColumnRenamed("component", "class_id")
+        new = _verified(more, docs, width, threshold, idf_value)
+        links, found = links.unionByName(new), joined(found, new)
+        rest = across(mixed(labelled(found, sub), *sub_key), *sub_key).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        rest = cut(rest.join(star.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            new = _verified(rest, docs, width, threshold, idf_value)
+            links, found = links.unionByName(new), joined(found, new)
+    found = found.withColumnRenamed("component", "class_id")
     classes = prints.join(firsts, ["f1", "f2"], "left").join(found, F.col("first") == found["node"], "left").select(
-        "doc_id", F.when(F.col("words") > 0, F.coalesce("class_id", "first")).otherwise(F.col("doc_id")).alias("class_id"))
+        "doc_id", F.when(F.col("words") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "first"))).otherwise(F.col("doc_id")).alias("class_id"))
     return {"classes": classes.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))), "links": links}

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import langid, minhash, multiindex, toxicity
+from seqrec.llm import classlm, langid, minhash, mixing, multiindex, packing, quality, secrets, toxicity, wrappers
+from seqrec.session import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(mod: int):
+    """crc32 of doc_id as text, modulo mod."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicate texts of every document: doc_id, class_id, kept."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))["classes"]
@@ -22,9 +28,25 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-def _remainder(mod: int):
-    """crc32 of doc_id as text, modulo mod."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by a class-based bigram model learned from six sevenths of them."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classlm.fit(docs.where(F.coalesce(_remainder(7) != 2, F.lit(True))))
+    scored = classlm.score(docs.withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False))), model)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: page_id, url, text, n_chars."""
+    pages = _table(spark, sf_dir, "pages")
+    texts = wrappers.extract(pages, cut(wrappers.infer(pages), "wrappers"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first quality verdict of every document, with counts of its whole text."""
+    docs = quality.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_words_left")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +56,28 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def vocabulary() -> str:
+    """Path of the public byte-level vocabulary."""
+    import public_tokenizers
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of at most 1024 ids."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), vocabulary(), derive={"ids_crc32": F.crc32}, ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base rules' spans, and all spans as text."""
+    paths = secrets.scan(_table(spark, sf_dir, "documents"))["paths"]
+    number = lambda no: F.size(F.filter("spans", lambda s: s["rule_no"] == no)).cast("bigint")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["rule_no"] < len(secrets.BASE))
+    return paths.select("doc_id", *[number(no).alias(f"n_{r.kind}") for no, r in enumerate(secrets.BASE)],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labelled ones: doc_id, held_out, score, predicted."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,5 +86,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", F.coalesce(_remainder(5) == 0, F.lit(False))), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op6_language, op9_toxicity)}
+#: Shares of the tokens that mixing aims at, by what the labels say of a document.
+MIX = {"good": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labels table: toxic, else low or good quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "good")
+    return _table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain")).where("domain is not null")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of every document for the target weights: doc_id, n_tokens, its posterior of each domain, rate."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = mixing.mix(docs, docs.join(domain_labels(spark, sf_dir), "doc_id"), MIX)
+    return made["rates"].select("doc_id", "n_tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(made["domains"])], "rate")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op3_class_lm, op4_wrappers, op5_quality, op6_language, op7_packing, op8_secrets, op9_toxicity, op10_mixing)}
 SQL: dict[str, str] = {}
