@@ -147,8 +147,7 @@ def q_profile_map(spark, sf):
 
 @query("active_users")
 def q_active_users(spark, sf):
-    train, _ = _train_test_e(spark, sf)
-    return PR.active_users(train, P.MIN_SESSION_ITEMS)
+    return PR.active_users(events_ratings(spark, sf), P.MIN_SESSION_ITEMS)
 
 
 @query("known_users")
@@ -165,8 +164,7 @@ def q_unknown_users(spark, sf):
 
 @query("item_catalog")
 def q_item_catalog(spark, sf):
-    train, _ = _train_test_e(spark, sf)
-    return PR.item_catalog(train)
+    return PR.item_catalog(events_ratings(spark, sf))
 
 
 @query("recent_items")
@@ -219,8 +217,7 @@ def q_user_sessions(spark, sf):
 
 @query("gap_sessions")
 def q_gap_sessions(spark, sf):
-    train, _ = _train_test_e(spark, sf)
-    return B.gap_sessions(train, P.GAP_E).select("user_id", "session_id", "n", "item_id", "ts", "event_id")
+    return B.gap_sessions(events_ratings(spark, sf), P.GAP_E).select("user_id", "session_id", "n", "item_id", "ts", "event_id")
 
 
 @query("session_corpus")
@@ -412,9 +409,12 @@ def q_precision_recall_multiset(spark, sf):
 
 
 def _emb_inputs(spark, sf):
+    """The vectors, and the vocabulary of the training sessions by frequency (items without a vector are not in it)."""
     vec = embeddings_table(spark, sf)
-    ranks = vec.select("item_id", F.col("item_id").alias("vocab_rank"))
-    return vec, ranks
+    split = SP.holdout_last_n(events_ratings(spark, sf), test_pct=P.TEST_PCT, skip_first=True)
+    sessions = SE.user_sessions(SP.train_part(split).drop("is_test"), P.SESSION_GAP_E, P.MIN_SESSION_ITEMS)
+    known = sessions.select("item_id").join(vec.select("item_id"), "item_id", "left_semi")
+    return vec, cut(VE.vocab_ranks(known), "vocabulary")
 
 
 def _emb_e(spark, sf):
@@ -425,8 +425,7 @@ def _emb_e(spark, sf):
 
 @query("normalize_vectors")
 def q_normalize_vectors(spark, sf):
-    vec, _ = _emb_inputs(spark, sf)
-    return VE.vectors_long(VE.normalize_vectors(vec))
+    return VE.vectors_long(VE.normalize_vectors(embeddings_table(spark, sf)))
 
 
 @query("vocab_ranks")

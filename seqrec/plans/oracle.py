@@ -110,14 +110,14 @@ SQL["user_profiles"] = f"WITH {POS} SELECT user_id, pos, item_id, ts, event_id F
 SQL["profile_positions"] = f"WITH {POS} SELECT user_id, item_id, min(pos) AS first_pos FROM PE GROUP BY 1, 2"
 SQL["profile_map"] = f"""WITH {POS}
 SELECT user_id, item_id, min(pos) AS first_pos, arg_max(ts, pos) AS last_ts FROM PE GROUP BY 1, 2"""
-SQL["active_users"] = f"""WITH {SPLIT}
-SELECT user_id, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items FROM TRAIN GROUP BY 1
+SQL["active_users"] = f"""WITH {E}
+SELECT user_id, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items FROM E GROUP BY 1
 HAVING count(DISTINCT item_id) > {P.MIN_SESSION_ITEMS}"""
 SQL["known_users"] = f"WITH {SPLIT} SELECT * FROM TEST WHERE user_id IN (SELECT user_id FROM TRAIN)"
 SQL["unknown_users"] = f"""WITH {SPLIT}
 SELECT CAST(count(*) AS BIGINT) AS events, CAST(count(DISTINCT user_id) AS BIGINT) AS users
 FROM TEST WHERE user_id NOT IN (SELECT user_id FROM TRAIN)"""
-SQL["item_catalog"] = f"WITH {SPLIT} SELECT DISTINCT item_id FROM TRAIN"
+SQL["item_catalog"] = f"WITH {E} SELECT DISTINCT item_id FROM E"
 SQL["recent_items"] = f"""WITH {SPLIT},
 K AS (SELECT * FROM S WHERE user_id IN (SELECT user_id FROM TRAIN)),
 L AS (SELECT event_id, user_id, is_test,
@@ -141,7 +141,8 @@ SQL["profile_difference"] = f"""WITH {SPLIT}
 SELECT user_id, item_id FROM TEST EXCEPT SELECT user_id, item_id FROM TRAIN"""
 
 # ---------------------------------------------------------------- sessions
-SESS = f"""{POS},
+def sess_cte(src: str) -> str:
+    return f"""PE AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM {src}),
 PM AS (SELECT user_id, item_id, min(pos) AS first_pos, arg_max(ts, pos) AS last_ts FROM PE GROUP BY 1, 2),
 PA AS (SELECT * FROM PM WHERE user_id IN (
          SELECT user_id FROM PM GROUP BY 1 HAVING count(*) > {P.MIN_SESSION_ITEMS})),
@@ -152,10 +153,13 @@ SS AS (SELECT *, CAST(sum(g) OVER (PARTITION BY user_id ORDER BY first_pos ROWS
 SESS AS (SELECT user_id, session_id,
                 row_number() OVER (PARTITION BY user_id, session_id ORDER BY first_pos) - 1 AS n,
                 item_id, first_pos, last_ts FROM SS)"""
+
+
+SESS = f"{E}, {sess_cte('E')}"
 SQL["user_sessions"] = f"WITH {SESS} SELECT * FROM SESS"
-SQL["gap_sessions"] = f"""WITH {SPLIT},
+SQL["gap_sessions"] = f"""WITH {E},
 G0 AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > {P.GAP_E} THEN 1 ELSE 0 END AS g
-       FROM TRAIN WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+       FROM E WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 G1 AS (SELECT *, CAST(sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT)
        AS session_id FROM G0)
 SELECT user_id, session_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) - 1 AS n,
@@ -354,16 +358,20 @@ POS AS (SELECT event_id, b1 AS item_id FROM DL WHERE is_test AND b1 IS NOT NULL
         UNION ALL SELECT event_id, b2 FROM DL WHERE is_test AND b2 IS NOT NULL
         UNION ALL SELECT event_id, b3 FROM DL WHERE is_test AND b3 IS NOT NULL),
 {UVEC},
-KPOS AS (SELECT p.* FROM POS p WHERE p.item_id IN (SELECT item_id FROM EMB)),
+{sess_cte('DTR')},
+VR AS (SELECT item_id, row_number() OVER (ORDER BY count(*) DESC, item_id) - 1 AS vocab_rank
+       FROM SESS WHERE item_id IN (SELECT item_id FROM EMB) GROUP BY item_id),
+VL AS (SELECT ul.*, vr.vocab_rank FROM UL ul JOIN VR vr USING (item_id)),
+KPOS AS (SELECT p.*, vr.vocab_rank FROM POS p JOIN VR vr USING (item_id)),
 QS AS (SELECT p.event_id, ul.dim, sum(ul.u) / count(*) AS m FROM KPOS p JOIN UL ul USING (item_id) GROUP BY 1, 2),
 QN AS (SELECT event_id, sqrt(sum(m * m)) AS qn FROM QS GROUP BY 1),
 Q AS (SELECT event_id, dim, CASE WHEN qn > 0 THEN m / qn ELSE 0 END AS qu FROM QS JOIN QN USING (event_id)),
-QR AS (SELECT event_id, least(CASE WHEN min(item_id) < {60} THEN 70 ELSE 60 END,
-                              (SELECT count(*) FROM EMB)) AS r
+QR AS (SELECT event_id, least(CASE WHEN min(vocab_rank) < {60} THEN 70 ELSE 60 END,
+                              (SELECT count(*) FROM VR)) AS r
        FROM KPOS GROUP BY 1),
 SIMS AS (SELECT q.event_id, ul.item_id, round(sum(q.qu * ul.u), 6) AS sim
-         FROM Q q JOIN UL ul USING (dim) JOIN QR USING (event_id)
-         WHERE ul.item_id < QR.r
+         FROM Q q JOIN VL ul USING (dim) JOIN QR USING (event_id)
+         WHERE ul.vocab_rank < QR.r
            AND NOT EXISTS (SELECT 1 FROM KPOS k WHERE k.event_id = q.event_id AND k.item_id = ul.item_id)
          GROUP BY 1, 2),
 MS AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY sim DESC, item_id) AS sim_rank
