@@ -6,8 +6,9 @@ its distance to anything filed there (the multi-sequence traversal) until the bo
 wanted cosine allows, and compares itself with what it finds, in double precision.
 
 The bound: something filed under codeword i is nearer to i than to the query's own codeword, hence beyond the bisector
-of the two; the squared distances to the bisectors of both halves add up.  With target_recall 1 no link
-is lost; below 1 the traversal stops at the bound that covers this share of the links inside the codebook sample.
+of the two; the squared distances to the bisectors of both halves add up.  With target_recall 1 the traversal goes as
+far as any link can lie, which loses none; below 1 it stops at the bound that covers this share of partners at the least
+cosine, drawn around the vectors of the codebook sample.
 """
 
 from __future__ import annotations
@@ -83,17 +84,28 @@ def _visits(first: np.ndarray, second: np.ndarray, bound: float) -> tuple[np.nda
 
 
 def _bound(x: np.ndarray, books, cosine: float, target_recall: float, seed: int) -> float:
-    """Where the traversal may stop."""
+    """Where the traversal may stop: the bound that covers the wanted share of links.
+
+    Partners at exactly the least cosine are drawn in random directions around sampled vectors, and the links
+    inside the sample are taken too; the larger of both bounds counts.  Links nearer than the least cosine need less.
+    """
     most = 2 * (1 - cosine) + 1e-9
     if target_recall >= 1:
         return most
-    x = x[np.random.default_rng(seed).permutation(len(x))[:4096]]
-    a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-    if not len(a):
-        return most
+    rng = np.random.default_rng(seed)
+    x = x[rng.permutation(len(x))[:4096]]
     half = x.shape[1] // 2
-    needed = sum(h[a, _nearest(x[:, s], c)[b]] for s, c in zip((slice(0, half), slice(half, None)), books) for _, h in [_bisectors(x[:, s], c)])
-    return min(most, float(np.quantile(needed, target_recall)) + 1e-9)
+
+    def needed(a: np.ndarray, b: np.ndarray) -> float:
+        beyond = sum(_bisectors(a[:, s], c)[1][np.arange(len(a)), _nearest(b[:, s], c)] for s, c in zip((slice(0, half), slice(half, None)), books))
+        return float(np.quantile(beyond, target_recall)) + 1e-9
+
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.maximum(np.sqrt((away * away).sum(1, keepdims=True)), 1e-300)
+    found = needed(x, cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * away)
+    a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+    return min(most, max(found, needed(x[a], x[b])) if len(a) else found)
 
 
 def _linked(cosine: float):
@@ -129,7 +141,7 @@ def _linked(cosine: float):
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95,
-                 sample: int = 20_000, per_cell: int = 32, target_recall: float = 1.0, seed: int = 5) -> DataFrame:
+                 sample: int = 20_000, per_cell: int = 128, target_recall: float = 0.9999, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row.
 
     n_links counts the other rows whose cosine is at least `cosine`; component_id is the smallest vec_id reachable
@@ -140,7 +152,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(kind).alias("vec"))
     sound = (F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & F.coalesce(F.forall("vec", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x)), F.lit(False))
              & F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False)))
     good = rows.where(sound)
@@ -189,8 +202,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(where[at:at + 8192])],
                                                  names=["rid", "vec", "copies", "own", "cell"])
 
-    index = cut(distinct.select("rid", "vec", "copies").mapInArrow(filed, "rid bigint, vec array<double>, copies bigint, cell bigint"), "index")
-    visits = cut(index.mapInArrow(probes, "rid bigint, vec array<double>, copies bigint, own bigint, cell bigint"), "visits")
+    index = cut(distinct.select("rid", "vec", "copies").mapInArrow(filed, f"rid bigint, vec {kind}, copies bigint, cell bigint"), "index")
+    visits = cut(index.mapInArrow(probes, f"rid bigint, vec {kind}, copies bigint, own bigint, cell bigint"), "visits")
     blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m_blocks"))
     blocks = cut(blocks.join(visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_blocks")), "cell"), "blocks")
 

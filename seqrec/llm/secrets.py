@@ -58,7 +58,7 @@ def _matches(rules: tuple[Rule, ...]):
         text = F.col("_text")
         zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"),
                               F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)).alias("part"))
-        rows = F.transform(F.filter(zipped, lambda z: z["hit"].isNotNull()), lambda z, k, no=no: F.struct(
+        rows = F.transform(F.filter(zipped, lambda z: z["hit"].isNotNull()), lambda z, k: F.struct(
             F.lit(no).alias("rule_no"), k.alias("k"), F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"), F.length(z["part"]).alias("part")))
         empty = F.array().cast("array<struct<rule_no:int,k:int,gap:int,hit:int,part:int>>")
         parts.append(F.when(F.array_contains("_rules", no) & text.rlike(rule.pattern), rows).otherwise(empty))

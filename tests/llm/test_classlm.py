@@ -29,8 +29,8 @@ def grammar(rng, n):
     return " ".join(f"{side}{'abc'[k % 3]}{rng.randrange(30)}" for k in range(n))
 
 
-def make(spark, train, docs, **options):
-    model = classlm.fit(cases.frame(spark, train).repartition(3), units=40, buckets=8, classes=6, **options)
+def make(spark, train, docs, units=40, **options):
+    model = classlm.fit(cases.frame(spark, train).repartition(3), units=units, buckets=8, classes=6, **options)
     return model, classlm.score(cases.frame(spark, docs), model).collect()
 
 
@@ -82,7 +82,7 @@ def test_counts_and_scores(spark):
 def test_gain_on_held_out_text(spark):
     rng = random.Random(5)
     train = [(k, grammar(rng, 60)) for k in range(400)]
-    _, got = make(spark, train, [(k, grammar(rng, 60)) for k in range(40)])
+    _, got = make(spark, train, [(k, grammar(rng, 60)) for k in range(40)], units=200)
     assert sum(r["score"] for r in got) > 0.85 * sum(r["base_score"] for r in got)
     assert all(r["perplexity"] > 1 for r in got)
 

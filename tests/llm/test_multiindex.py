@@ -24,12 +24,21 @@ def test_links_equal_brute_force(spark):
     rng.shuffle(ids)
     links, parts = brute(ids, x)
     df = spark.createDataFrame([(i, v.tolist(), 1, 7) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>, copies int, cell int").repartition(3)
-    got = multiindex.near_vectors(df).collect()
+    got = multiindex.near_vectors(df, target_recall=1.0).collect()
     assert {r["vec_id"]: r["n_links"] for r in got} == links and sum(links.values()) > 1000
     assert {r["vec_id"]: r["component_id"] for r in got} == parts
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_default_recall_on_the_embeddings_table(spark):
+    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 3000")
+    rows = df.collect()
+    links, parts = brute([r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], float))
+    got = multiindex.near_vectors(df).collect()
+    assert sum(r["n_links"] for r in got) >= 0.999 * sum(links.values()) > 0
+    assert sum(parts[r["vec_id"]] == r["component_id"] for r in got) >= 0.999 * len(rows)
+
+
 def test_recall_below_one_keeps_most_links(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(300, 16))
