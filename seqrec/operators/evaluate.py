@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 METRIC_DIGITS = 6
 
 
+def _per_user(recs: DataFrame, truth: DataFrame, listed) -> DataFrame:
+    """``(user_id, r_n, t_n, h_n)`` of users with recommendations and truth; ``recs`` is read once.
+
+    ``listed`` aggregates a user's distinct items, ``_m`` being how often each was recommended.
+    """
+    r = recs.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_m"))
+    t = truth.select("user_id", "item_id").distinct()
+    t_size = t.groupBy("user_id").agg(F.count(F.lit(1)).alias("t_n"))
+    hit = r.join(t.withColumn("_hit", F.lit(1)), ["user_id", "item_id"], "left")
+    return hit.groupBy("user_id").agg(listed.alias("r_n"), F.count("_hit").alias("h_n")).join(t_size, "user_id")
+
+
 def precision_recall(recs: DataFrame, truth: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """Macro precision / recall over users with a non-empty recommendation set.
 
@@ -17,13 +29,7 @@ def precision_recall(recs: DataFrame, truth: DataFrame, population: DataFrame |
     ``precision, recall, users`` (scored users) and ``norec`` (population
     users without recommendations).  No scored user gives null metrics.
     """
-    r = recs.select("user_id", "item_id").distinct()
-    t = truth.select("user_id", "item_id").distinct()
-    r_size = r.groupBy("user_id").agg(F.count(F.lit(1)).alias("r_n"))
-    t_size = t.groupBy("user_id").agg(F.count(F.lit(1)).alias("t_n"))
-    hits = r.join(t, ["user_id", "item_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("h_n"))
-    per_user = (r_size.join(t_size, "user_id").join(hits, "user_id", "left")
-                .select("user_id", "r_n", "t_n", F.coalesce("h_n", F.lit(0)).alias("h_n")))
+    per_user = _per_user(recs, truth, F.count(F.lit(1)))
     metrics = per_user.agg(
         F.round(F.avg(F.col("h_n") / F.col("r_n")), METRIC_DIGITS).alias("precision"),
         F.round(F.avg(F.col("h_n") / F.col("t_n")), METRIC_DIGITS).alias("recall"),
@@ -38,13 +44,7 @@ def precision_recall_multiset(rec_list: DataFrame, truth: DataFrame) -> DataFram
     accumulated list *with* duplicates, hits and recall use distinct items.
     Users of ``truth`` with an empty list are left out (their precision is
     undefined).  One row: ``precision, recall, users``."""
-    listed = rec_list.groupBy("user_id").agg(F.count(F.lit(1)).alias("r_n"))
-    r = rec_list.select("user_id", "item_id").distinct()
-    t = truth.select("user_id", "item_id").distinct()
-    t_size = t.groupBy("user_id").agg(F.count(F.lit(1)).alias("t_n"))
-    hits = r.join(t, ["user_id", "item_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("h_n"))
-    per_user = (listed.join(t_size, "user_id").join(hits, "user_id", "left")
-                .select("r_n", "t_n", F.coalesce("h_n", F.lit(0)).alias("h_n")))
+    per_user = _per_user(rec_list, truth, F.sum("_m"))
     return per_user.agg(
         F.round(F.avg(F.col("h_n") / F.col("r_n")), METRIC_DIGITS).alias("precision"),
         F.round(F.avg(F.col("h_n") / F.col("t_n")), METRIC_DIGITS).alias("recall"),

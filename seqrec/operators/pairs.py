@@ -8,9 +8,8 @@ into ``t = ceil(size / tile_rows)`` tiles by a hash of the row identity; tile
 ``a`` of the left side meets tile ``b`` of the right side for every ``(a, b)``,
 so the group's pairs spread over ``t * t`` join keys while each row is
 replicated only ``t`` times.  Ordinary groups get ``t = 1`` (no replication).
-
-The hot-group table holds at most ``rows / tile_rows`` entries, which bounds
-its broadcast independently of the data's key distribution.
+One join key yields at most ``tile_rows ** 2`` pairs, about 17 million, whatever
+the size of its group; join keys are spread by hash, and AQE may split further.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from seqrec.session import cut
 
-DEFAULT_TILE_ROWS = 1_000_000
+DEFAULT_TILE_ROWS = 4096
 
 
 def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence[str],
@@ -49,8 +48,7 @@ def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence
         sizes = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
         hot = (sizes.where(F.col("_n") > F.lit(tile_rows))
                .select(*g, F.ceil(F.col("_n") / F.lit(tile_rows)).cast("int").alias("_t")))
-        tagged = (df.join(F.broadcast(hot), g, "left")
-                  .withColumn("_t", F.coalesce(F.col("_t"), F.lit(1))))
+        tagged = df.join(hot, g, "left").withColumn("_t", F.coalesce(F.col("_t"), F.lit(1)))
     tagged = tagged.withColumn("_tile", F.pmod(F.xxhash64(*identity), F.col("_t")).cast("int"))
     spread = F.explode(F.sequence(F.lit(0), F.col("_t") - 1))
     left = tagged.select(*g, F.col("_tile").alias("_lt"), spread.alias("_rt"),
@@ -58,20 +56,13 @@ def pairs_within_groups(df: DataFrame, group_cols: Sequence[str], cols: Sequence
     right = tagged.select(*g, spread.alias("_lt"), F.col("_tile").alias("_rt"),
                           *[F.col(c).alias(f"b_{c}") for c in cols]).alias("_R")
     keys = [*g, "_lt", "_rt"]
-    # The join output is up to group-size squared while its input is small in
-    # bytes: AQE would coalesce this shuffle into a few tasks.  Pin both sides
-    # to the session's shuffle width on the exact join keys (co-partitioned,
-    # so the sort-merge join adds no exchange); hot groups are already tiled.
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = left.repartition(width, *[F.col(k) for k in keys]).alias("_L")
-    right = right.repartition(width, *[F.col(k) for k in keys]).alias("_R")
     cond = F.lit(True)
     for k in keys:
         cond = cond & (F.col(f"_L.{k}") == F.col(f"_R.{k}"))
     if condition is not None:
         cond = cond & condition(lambda c: F.col(f"_L.a_{c}"), lambda c: F.col(f"_R.b_{c}"))
-    # Both sides are the whole input: a co-partitioned sort-merge join (spills,
-    # never broadcasts a data-sized table, keeps the shuffle's parallelism).
+    # Both sides are the whole input: a sort-merge join (spills, never broadcasts a
+    # data-sized table, and AQE may split its partitions).
     joined = left.hint("merge").join(right, cond, "inner")
     return joined.select(*[F.col(f"_L.{k}").alias(k) for k in g],
                          *[F.col(f"_L.a_{c}").alias(f"a_{c}") for c in cols],

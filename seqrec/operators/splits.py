@@ -1,8 +1,8 @@
 """Time-based hold-out splits.
 
 Both splits mark rows with ``is_test`` instead of returning two frames so
-that one scan feeds both sides.  Sizes come from scalar subqueries (executed
-once, folded into a literal), never from a global window or a ``collect``.
+that one scan feeds both sides.  The boundary is one key, found by histograms
+of a fixed number of buckets at every size: no global window, sort or top-n.
 """
 
 from __future__ import annotations
@@ -10,45 +10,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqrec.operators.ordering import USER_ORDER, global_ordinal
+#: Buckets of one histogram; what reaches the driver in one step.
+STEP_BUCKETS = 1 << 14
 
 
-def _row_count(df: DataFrame) -> Column:
-    return df.select(F.count(F.lit(1)).cast("bigint")).scalar()
+def _rank_in_histogram(df: DataFrame, name: str, n: int) -> tuple[int, int]:
+    """(value, rank inside it) of the ``n``-th largest value of an integer column, ``1 <= n <= rows``.
 
-
-def _test_size(total: Column, n: int | None, test_pct: int | None) -> Column:
-    if (n is None) == (test_pct is None):
-        raise ValueError("give exactly one of n or test_pct")
-    if n is not None:
-        return F.lit(int(n)).cast("bigint")
-    return F.floor(total * F.lit(int(test_pct)) / F.lit(100)).cast("bigint")
-
-
-# Up to this many test rows the boundary comes from a bounded top-n
-# (TakeOrderedAndProject keeps n keys per task); beyond it from an ordinal.
-TOP_N_LIMIT = 5_000_000
+    One histogram of ``STEP_BUCKETS`` equal ranges finds the range that holds the value, the next one splits that
+    range, until a range is one value.  64 bits take five steps at most; every step is one partial aggregation.
+    """
+    value = F.col(name)
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    lo, hi = ends["lo"], ends["hi"]
+    while lo < hi:
+        width = (hi - lo) // STEP_BUCKETS + 1
+        inside = df.where((value >= F.lit(lo)) & (value <= F.lit(hi)))
+        counts = inside.groupBy(F.expr(f"({name} - ({lo}L)) div {width}L").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+        for b, c in sorted(((r["b"], r["c"]) for r in counts.collect()), reverse=True):
+            if n <= c:
+                break
+            n -= c
+        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+    return lo, n
 
 
 def _newest_boundary(df: DataFrame, n: int | None, test_pct: int | None) -> Column:
-    """Struct ``(ts, event_id)`` of the n-th newest event (scalar subquery)."""
+    """Struct ``(ts, event_id)`` of the n-th newest event, as a literal; null if ``n`` is 0.
+
+    Events without a time count as older than all others and are never the boundary.
+    """
+    if (n is None) == (test_pct is None):
+        raise ValueError("give exactly one of n or test_pct")
     keys = df.select("ts", "event_id")
-    if n is None:
-        # one cheap count decides between the bounded top-n and the ordinal
-        total_rows = keys.count()
-        n_test = (total_rows * int(test_pct)) // 100
-        if n_test <= TOP_N_LIMIT:
-            n = n_test
-    if n is not None and n <= TOP_N_LIMIT:
-        if n <= 0:
-            return F.lit(None).cast("struct<ts:bigint,event_id:bigint>")
-        top = keys.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(int(n))
-        return top.select(F.min(F.struct("ts", "event_id"))).scalar()
-    ranked = global_ordinal(keys, USER_ORDER, out="_o")
-    total = _row_count(df)
-    size = _test_size(total, n, test_pct)
-    at = F.when(size > 0, F.greatest(total - size, F.lit(0)))
-    return ranked.where(F.col("_o") == at).select(F.struct("ts", "event_id")).scalar()
+    sizes = keys.agg(F.count(F.lit(1)).alias("all"), F.count("ts").alias("timed")).first()
+    n = int(n) if n is not None else (sizes["all"] * int(test_pct)) // 100
+    n = min(n, sizes["timed"])
+    if n <= 0:
+        return F.lit(None).cast("struct<ts:bigint,event_id:bigint>")
+    ts, left = _rank_in_histogram(keys.where("ts is not null"), "ts", n)
+    event_id, _ = _rank_in_histogram(keys.where(F.col("ts") == F.lit(ts)), "event_id", left)
+    return F.struct(F.lit(ts).cast("bigint").alias("ts"), F.lit(event_id).cast("bigint").alias("event_id"))
 
 
 def _at_or_after(b: Column, strict: bool = False) -> Column:
@@ -67,18 +69,19 @@ def holdout_last_n(df: DataFrame, n: int | None = None, test_pct: int | None = N
     event is dropped, the boundary event trains, and the test set is ``n - 1``
     events long.
     """
-    if (n is None) == (test_pct is None):
-        raise ValueError("give exactly one of n or test_pct")
     b = _newest_boundary(df, n, test_pct)
     if skip_first:
-        first = df.select(F.min(F.struct("ts", "event_id"))).scalar()
+        oldest = df.select(F.min(F.struct("ts", "event_id")).alias("k")).first()["k"]
+        if oldest is None:
+            return df.withColumn("is_test", F.lit(False))
+        first = F.struct(F.lit(oldest["ts"]).cast("bigint").alias("ts"), F.lit(oldest["event_id"]).cast("bigint").alias("event_id"))
         return (df.where(_at_or_after(first, strict=True))
                 .withColumn("is_test", _at_or_after(b, strict=True)))
     return df.withColumn("is_test", _at_or_after(b))
 
 
 def time_boundary(df: DataFrame, n: int | None = None, test_pct: int | None = None) -> Column:
-    """Timestamp of the ``n``-th newest event (scalar subquery)."""
+    """Timestamp of the ``n``-th newest event."""
     return _newest_boundary(df, n, test_pct).getField("ts")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqrec.operators.decay import pseudo_ratings
@@ -49,9 +49,17 @@ def recommend_implicit_knn(train: DataFrame, test: DataFrame, net: DataFrame, n:
     votes = (net.join(tev.select("user_id").distinct(), "user_id", "left_semi")
              .join(held, "neighbor_id").groupBy("user_id", "item_id")
              .agg(F.count(F.lit(1)).cast("bigint").alias("score")))
-    first = (train.unionByName(test.select(*train.columns))
-             .groupBy("user_id", "item_id").agg(F.min(F.struct("ts", "event_id")).alias("_f")))
-    cand = tev.join(votes, "user_id").join(first, ["user_id", "item_id"], "left")
+    # Training items are seen at every test event; of the others an event can only rule out
+    # what the user consumes in test, so the best n + (those items) candidates are enough.
+    own = train.select("user_id", "item_id").distinct()
+    later = (test.join(own, ["user_id", "item_id"], "left_anti").groupBy("user_id", "item_id")
+             .agg(F.min(F.struct("ts", "event_id")).alias("_f")))
+    spare = later.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c"))
+    best = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
+    kept = (votes.join(own, ["user_id", "item_id"], "left_anti").join(spare, "user_id", "left")
+            .withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.lit(n) + F.coalesce("_c", F.lit(0)))
+            .select("user_id", "item_id", "score"))
+    cand = tev.join(kept.join(later, ["user_id", "item_id"], "left"), "user_id")
     seen = (F.col("_f.ts") < F.col("ts")) | ((F.col("_f.ts") == F.col("ts")) & (F.col("_f.event_id") < F.col("event_id")))
     fresh = cand.where(F.col("_f").isNull() | ~seen)
     top = topk_per_key(fresh, "event_id", "item_id", "score", n)
