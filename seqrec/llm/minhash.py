@@ -8,12 +8,16 @@ tasks read has a fixed size whatever the input.
 
 Improved consistent weighted sampling draws one (shingle, level) per hash function with collision probability equal
 to the weighted Jaccard similarity.  `rows` samples make a band; documents that share a band are candidates.  Members
-of a bucket are compared with its least document first.  Buckets that then still hold several components are
-compared further: small ones pair by pair, large ones after a split by a second shared band.
+of a bucket are compared with its least document first.  Where a bucket then still holds several components, the documents of
+different ones are compared too: in a small bucket all of them, in large ones those that share a rare shingle (an exact
+prefix filter), so that documents which merely share a passage never meet.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,6 +180,47 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float, i
     return cut(texts.mapInArrow(run, "a bigint, b bigint, similarity double"), "links")
 
 
+def _rare_shingles(docs: DataFrame, crowded: DataFrame, width: int, threshold: float, idf_value, buckets: int = 1 << 20) -> DataFrame:
+    """(doc, part, shingle, after, whole): the rarest shingles of each crowded document, by which any link of two of them shows.
+
+    after is the document's weight from this shingle on, in one order of all shingles, and whole its weight altogether.  Two
+    documents whose weighted Jaccard similarity is t share at least t / (1 + t) of their summed weights, all of it from their first
+    common shingle on: so that shingle is here, and `after` of both is at least that much.  Any order will do; the one by how
+    many crowded documents hold a shingle (counted by hash bucket, a table of fixed size) keeps passages that many share out.
+    """
+    texts = cut(docs.join(crowded.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "part", "text"), "crowded")
+
+    def count(batches):
+        held = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, data, offsets in T.text_chunks(batch.column(0)):
+                held += np.bincount((weighted_shingles(*_words(data, offsets), width, idf_value.value)[1] % _U(buckets)).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["bucket", "n"])
+
+    held = texts.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    order = np.zeros(buckets, np.int32)
+    order[held["bucket"].to_numpy(np.int64)] = np.minimum(held["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    order_value = texts.sparkSession.sparkContext.broadcast(order)
+
+    def rare(batches):
+        for batch in batches:
+            for begin, data, offsets in T.text_chunks(batch.column(2)):
+                row, value, weight = weighted_shingles(*_words(data, offsets), width, idf_value.value)
+                by = np.lexsort((value, order_value.value[(value % _U(buckets)).astype(np.int64)], row))
+                row, value, weight = row[by], value[by], weight[by].astype(np.float64)
+                edges = np.searchsorted(row, np.arange(len(offsets)))
+                before = np.cumsum(weight) - weight
+                whole = T.row_sums(weight, edges)[row]
+                after = whole - (before - before[np.minimum(edges[:-1], max(0, len(before) - 1))][row])
+                keep = after >= threshold * whole * (1 - 1e-6)
+                at = pa.array(begin + row[keep])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(value[keep].view(np.int64)), pa.array(after[keep]), pa.array(whole[keep])],
+                                                 names=["doc", "part", "shingle", "after", "whole"])
+
+    return cut(texts.mapInArrow(rare, "doc bigint, part bigint, shingle bigint, after double, whole double"), "rare")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     threshold: float = 0.8, bands: int = 20, rows: int = 5, idf_buckets: int = 1 << 18,
                     small: int = 32, seed: int = 7) -> dict[str, DataFrame]:
@@ -226,30 +271,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sizes = rows_.groupBy(*key).agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"))
         return rows_.join(sizes.where("lo < hi").drop("lo", "hi"), list(key))
 
-    def across(rows_, *key):
+    def across(rows_, key, enough=None):
         rows_ = rows_.drop("size")
-        other = rows_.select(*key, F.col("doc").alias("b"), F.col("part").alias("part_b"))
-        return rows_.withColumnRenamed("doc", "a").join(other, list(key)).where("a < b and part <> part_b").select("a", "b")
+        other = rows_.select(*[F.col(c).alias(c if c in key else f"{c}_b") for c in rows_.columns])
+        apart = (F.col("doc") < F.col("doc_b")) & (F.col("part") != F.col("part_b"))
+        same = [rows_[c] == other[c] for c in key]
+        return rows_.join(other, reduce(and_, same) & (apart if enough is None else apart & enough)).select(F.col("doc_b").alias("a"), F.col("doc").alias("b"))
 
     open_ = cut(mixed(labelled(found, member), "band", "value"), "open")
-    large = open_.where(F.col("size") > small)
-    both = large.select("doc", "part", F.col("band").alias("band_1"), F.col("value").alias("value_1")).join(
-        large.select("doc", F.col("band").alias("band_2"), F.col("value").alias("value_2")), "doc").where("band_1 < band_2")
-    sub_key = ["band_1", "value_1", "band_2", "value_2"]
-    sub = cut(mixed(both, *sub_key).drop("size"), "open2")
-    sub_pivots = sub.groupBy(*sub_key).agg(F.min(F.struct("doc", "part")).alias("p"))
-    sub_star = sub.join(sub_pivots, sub_key).where("doc <> p.doc and part <> p.part").select(F.col("doc").alias("a"), F.col("p.doc").alias("b"))
-    more = across(open_.where(F.col("size") <= small), "band", "value").unionByName(sub_star)
-    more = cut(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-               .join(star, ["a", "b"], "left_anti"), "pairs")
+    crowded = open_.where(F.col("size") > small).select("doc", "part").distinct()
+    more = across(open_.where(F.col("size") <= small), ["band", "value"])
+    if not crowded.isEmpty():
+        enough = F.least("after", "after_b") >= threshold / (1 + threshold) * (1 - 1e-6) * (F.col("whole") + F.col("whole_b"))
+        more = more.unionByName(across(mixed(_rare_shingles(docs, crowded, width, threshold, idf_value), "shingle"), ["shingle"], enough))
+    more = cut(more.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         new = _verified(more, docs, width, threshold, idf_value)
         links, found = links.unionByName(new), joined(found, new)
-        rest = across(mixed(labelled(found, sub), *sub_key), *sub_key).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        rest = cut(rest.join(star.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-        if not rest.isEmpty():
-            new = _verified(rest, docs, width, threshold, idf_value)
-            links, found = links.unionByName(new), joined(found, new)
     found = found.withColumnRenamed("component", "class_id")
     classes = prints.join(firsts, ["f1", "f2"], "left").join(found, F.col("first") == found["node"], "left").select(
         "doc_id", F.when(F.col("words") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "first"))).otherwise(F.col("doc_id")).alias("class_id"))
