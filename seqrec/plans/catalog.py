@@ -6,6 +6,7 @@ Every query reads the driver's tables through a ratings view (E from
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,11 @@ def q_holdout_last_n(spark, sf):
     return _split_e(spark, sf)
 
 
+@query("holdout_last_n_skip_first")
+def q_holdout_last_n_skip_first(spark, sf):
+    return SP.holdout_last_n(events_ratings(spark, sf), test_pct=P.TEST_PCT, skip_first=True)
+
+
 @query("holdout_by_time")
 def q_holdout_by_time(spark, sf):
     return SP.holdout_by_time(events_ratings(spark, sf), test_pct=P.TEST_PCT)
@@ -247,9 +253,9 @@ def _roundtrip(spark, sf, fmt):
         ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("value").alias("price"))
         e = e.join(ev, "event_id")
     path = scratch_path(spark, f"ratings-{fmt}")
-    write_ratings(e, path, fmt)
-    back = read_ratings(spark, path, fmt, keep_price=(fmt == "priced_tsv"))
-    return back.drop("event_id")
+    # part files in replay order, so that reading numbers the events as before
+    write_ratings(e.repartitionByRange("event_id").sortWithinPartitions("event_id"), path, fmt)
+    return read_ratings(spark, path, fmt, keep_price=(fmt == "priced_tsv"))
 
 
 @query("scan_tsv")
@@ -634,6 +640,8 @@ def q_recommend_item_neighbors_orders(spark, sf):
 def q_metrics_roundtrip(spark, sf):
     from seqrec.sources.metrics_io import write_metrics
     path = scratch_path(spark, "metrics")
-    write_metrics(q_precision_recall(spark, sf), path)
-    back = spark.read.schema("precision double, recall double, users bigint, norec bigint").json(path)
-    return back
+    began = time.monotonic()
+    metrics = cut(q_precision_recall(spark, sf), "metrics")
+    write_metrics(metrics, path, seconds=time.monotonic() - began)
+    back = spark.read.schema("precision double, recall double, users bigint, norec bigint, seconds double").json(path)
+    return back.withColumn("timed", F.col("seconds") > 0).drop("seconds")

@@ -92,6 +92,9 @@ SQL["event_order"] = f"""WITH {E}
 SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord,
           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM E"""
 SQL["holdout_last_n"] = f"WITH {SPLIT} SELECT * FROM S"
+SQL["holdout_last_n_skip_first"] = f"""WITH {E},
+R0 AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord, count(*) OVER () AS total FROM E)
+SELECT user_id, item_id, rating, ts, event_id, ord > total - (total * {P.TEST_PCT}) // 100 AS is_test FROM R0 WHERE ord > 0"""
 SQL["holdout_by_time"] = f"""WITH {E},
 R0 AS (SELECT ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS ord, count(*) OVER () AS total FROM E),
 B0 AS (SELECT max(ts) AS b FROM R0 WHERE ord = total - (total * {P.TEST_PCT}) // 100)
@@ -174,9 +177,11 @@ SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY n) AS sentence
 
 # ---------------------------------------------------------------- text sources
 for _k in ("scan_tsv", "scan_double_colon", "scan_csv"):
-    SQL[_k] = f"WITH {E} SELECT user_id, item_id, rating, ts FROM E"
+    SQL[_k] = f"""WITH {E}
+SELECT user_id, item_id, rating, ts, row_number() OVER (ORDER BY event_id) - 1 AS event_id FROM E"""
 SQL["scan_priced"] = f"""WITH {E}
-SELECT E.user_id, E.item_id, E.rating, ev.value AS price, E.ts FROM E JOIN events ev USING (event_id)"""
+SELECT E.user_id, E.item_id, E.rating, ev.value AS price, E.ts, row_number() OVER (ORDER BY E.event_id) - 1 AS event_id
+FROM E JOIN events ev USING (event_id)"""
 
 
 # ---------------------------------------------------------------- user-based
@@ -448,4 +453,4 @@ TEST AS (SELECT user_id, item_id, rating, ts, event_id FROM S WHERE is_test)"""
 
 SQL["typed_ratings_orders"] = f"WITH {LV} SELECT user_id, item_id, rating, ts, event_id FROM LV"
 SQL["recommend_item_neighbors_orders"] = f"WITH {item_recs_sql(LV, 'LV', P.GAP_L)} SELECT * FROM RECS"
-SQL["metrics_roundtrip"] = SQL["precision_recall"]
+SQL["metrics_roundtrip"] = f"SELECT *, true AS timed FROM ({SQL['precision_recall']})"

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+#: Scratch paths handed out, by application.
+_made: dict[str, list[str]] = {}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "seqrec") -> SparkSession:
     """Session used by tests and bench; a cluster passes its own session."""
@@ -19,6 +24,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
@@ -33,8 +39,9 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder for cut lineage and round-trip files.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or the checkpoint folder
-    already set on the context).  Only when neither is set -- local runs and
-    tests -- a fresh temporary folder is created and registered.
+    already set on the context).  A local session without either gets a fresh
+    temporary folder, removed when the driver ends; any other session must
+    name a folder that all its machines share.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,7 +51,10 @@ def scratch_root(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     local = tempfile.mkdtemp(prefix="seqrec-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
@@ -52,16 +62,27 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the scratch root (never reused)."""
     root = scratch_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; a failure to look raises."""
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so python-side code can open the path."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.abspath(path)
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the tables that ``cut`` and ``scratch_path`` have made in this session."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        fs, where = _file_system(spark, path)
+        fs.delete(where, True)
 
 
 def cut(df, name: str = "cut"):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqrec.functions.exprs import epoch_micros, epoch_seconds
+from seqrec.operators.ordering import global_ordinal
 
 RATINGS_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()),
@@ -33,14 +34,8 @@ _TEXT_COLS = ["user_id", "item_id", "rating", "ts"]
 _PRICED_COLS = ["user_id", "item_id", "rating", "price", "ts"]
 
 
-def read_ratings(spark: SparkSession, path: str, fmt: str = "tsv", header: bool = False,
-                 keep_price: bool = False) -> DataFrame:
-    """Read a delimited rating log into the canonical schema.
-
-    Every field is read as a string and cast with ``try_cast``; lines that do
-    not parse (a header, junk) are dropped instead of failing the job.
-    ``event_id`` follows file order (monotonic, not dense).
-    """
+def _parsed(spark: SparkSession, path: str, fmt: str, header: bool) -> DataFrame:
+    """Every line with its typed fields, its place in the input and ``ok``: whether all fields could be read."""
     if fmt not in SEPARATORS:
         raise ValueError(f"unknown ratings format {fmt!r}")
     names = _PRICED_COLS if fmt == "priced_tsv" else _TEXT_COLS
@@ -53,23 +48,41 @@ def read_ratings(spark: SparkSession, path: str, fmt: str = "tsv", header: bool
         F.expr("try_cast(trim(rating) as double)").alias("rating"),
         *([F.expr("try_cast(trim(price) as double)").alias("price")] if fmt == "priced_tsv" else []),
         F.expr("try_cast(trim(ts) as bigint)").alias("ts"),
-    ).where("user_id is not null and item_id is not null and rating is not null and ts is not null")
-    out = typed.withColumn("event_id", F.monotonically_increasing_id())
+        F.concat_ws(SEPARATORS[fmt], *[F.coalesce(n, F.lit("")) for n in names]).alias("line"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"))
+    return typed.withColumn("ok", F.expr("user_id is not null and item_id is not null and rating is not null and ts is not null"))
+
+
+def read_ratings(spark: SparkSession, path: str, fmt: str = "tsv", header: bool = False,
+                 keep_price: bool = False) -> DataFrame:
+    """Read a delimited rating log into the canonical schema.
+
+    Every field is read as a string and cast with ``try_cast``; lines that do
+    not parse (a header, junk) are left to ``rejected_lines``.  ``event_id`` is
+    the dense place of a line among those kept, files in order of their paths.
+    """
+    rows = _parsed(spark, path, fmt, header).where("ok").drop("line", "ok")
+    out = global_ordinal(rows, ["_file", "_block", "_place"], out="event_id")
     cols = ["user_id", "item_id", "rating", "ts", "event_id"]
     if fmt == "priced_tsv" and keep_price:
         cols.insert(3, "price")
     return out.select(*cols)
 
 
+def rejected_lines(spark: SparkSession, path: str, fmt: str = "tsv", header: bool = False) -> DataFrame:
+    """The lines that ``read_ratings`` leaves out: ``(file, line)``."""
+    return _parsed(spark, path, fmt, header).where("not ok").select(F.col("_file").alias("file"), "line")
+
+
 def write_ratings(df: DataFrame, path: str, fmt: str = "tsv") -> None:
     """Write the four text columns (plus price for ``priced_tsv``) as one dialect.
 
     Multi-character separators are not supported by the CSV writer, so lines
-    are assembled with ``concat_ws`` and written as text.
+    are assembled and written as text; a null field stays in place, empty.
     """
     names = _PRICED_COLS if fmt == "priced_tsv" else _TEXT_COLS
-    rating = F.col("rating").cast("string")
-    parts = [F.col(n).cast("string") if n != "rating" else rating for n in names]
+    parts = [F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]
     (df.select(F.concat_ws(SEPARATORS[fmt], *parts).alias("value"))
        .write.mode("overwrite").text(path))
 
@@ -97,8 +110,6 @@ def lineitem_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     ts = epoch_seconds("o_orderdate")
-    # Unique, order-preserving tie-break key packed from the line identity.
-    from seqrec.operators.ordering import global_ordinal
     base = j.select(
         F.col("o_custkey").cast("bigint").alias("user_id"),
         F.col("l_partkey").cast("bigint").alias("item_id"),
