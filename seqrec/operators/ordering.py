@@ -51,18 +51,10 @@ def global_ordinal(df: DataFrame, order: Sequence[str], out: str = "ord",
             .drop("_pid", "_idx", "_off"))
 
 
-def order_events(df: DataFrame, user: str = "user_id", hot_user_rows: int | None = None) -> DataFrame:
-    """Add ``pos``: the 0-based place of each event in its user's history.
-
-    A per-user ``row_number`` normally; when the heaviest user exceeds
-    ``hot_user_rows`` (default ``scan.HOT_USER_ROWS``) the skew-free bucketed
-    scan over the global ordinal is used instead.
-    """
+def order_events(df: DataFrame) -> DataFrame:
+    """Add ``pos``: the 0-based place of each event in its user's history."""
     from seqrec.operators import scan
-    limit = scan.HOT_USER_ROWS if hot_user_rows is None else hot_user_rows
-    if user == "user_id" and scan.largest_user(df) > limit:
-        return scan.positions_scan(df)
-    return df.withColumn("pos", (F.row_number().over(user_window(user)) - 1).cast("bigint"))
+    return scan.positions(df)
 
 
 def event_order(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqrec.operators.ordering import USER_ORDER, order_events, user_window
+from seqrec.operators import scan
+from seqrec.operators.ordering import order_events, user_window
 
 
 def user_profiles(df: DataFrame) -> DataFrame:
@@ -55,26 +56,14 @@ def item_catalog(df: DataFrame) -> DataFrame:
     return df.select("item_id").distinct()
 
 
-def recent_items(events: DataFrame, targets: DataFrame, n: int = 3, hot_user_rows: int | None = None) -> DataFrame:
+def recent_items(events: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
     """The last ``n`` items consumed strictly before each target event.
 
     ``events`` is the growing history (training plus test), ``targets`` the
     events to look back from.  Returns ``(event_id, user_id, back, item_id)``
-    with ``back = 1`` the latest.  Uses ``lag`` (bounded look-back, no
-    per-user array); heavy users switch to ``scan.recent_items_scan``.
+    with ``back = 1`` the latest.
     """
-    from seqrec.operators import scan
-    limit = scan.HOT_USER_ROWS if hot_user_rows is None else hot_user_rows
-    if scan.largest_user(events) > limit:
-        return scan.recent_items_scan(events, targets, n)
-    w = user_window()
-    lagged = events.select("user_id", "event_id", "ts",
-                           *[F.lag("item_id", k).over(w).alias(f"_b{k}") for k in range(1, n + 1)])
-    hit = lagged.join(targets.select("event_id"), "event_id", "left_semi")
-    stacked = hit.select("event_id", "user_id", F.explode(F.array(*[
-        F.struct(F.lit(k).cast("bigint").alias("back"), F.col(f"_b{k}").alias("item_id"))
-        for k in range(1, n + 1)])).alias("r"))
-    return stacked.select("event_id", "user_id", "r.back", "r.item_id").where(F.col("item_id").isNotNull())
+    return scan.recent_items(events, targets, n)
 
 
 def sample_items(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -84,7 +73,8 @@ def sample_items(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     user with a bounded top-n (WindowGroupLimit).
     """
     d = df.select("user_id", "item_id").distinct()
-    w = Window.partitionBy("user_id").orderBy(F.xxhash64("item_id", F.lit(seed)), "item_id")
+    drawn = F.md5(F.concat_ws(":", F.col("item_id").cast("string"), F.lit(str(seed))).cast("binary"))
+    w = Window.partitionBy("user_id").orderBy(drawn, "item_id")
     return d.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -98,16 +88,6 @@ def ratings_summary(split: DataFrame) -> DataFrame:
         F.count_if(F.col("is_test")).cast("bigint").alias("test_events"))
 
 
-def profile_array(df: DataFrame) -> DataFrame:
-    """Edge helper: profile as ``ARRAY<item_id>`` in replay order, per user.
-
-    Only for presentation of bounded profiles; operators use the long form.
-    """
-    return (df.groupBy("user_id")
-            .agg(F.array_sort(F.collect_list(F.struct(*USER_ORDER, "item_id"))).alias("_p"))
-            .select("user_id", F.col("_p.item_id").alias("items")))
-
-
 __all__ = ["user_profiles", "profile_positions", "profile_map", "active_users", "known_users",
            "unknown_users", "item_catalog", "recent_items", "sample_items", "ratings_summary",
-           "profile_array", "user_window"]
+           "user_window"]

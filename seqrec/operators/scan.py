@@ -6,7 +6,7 @@ dense global ordinal in ``(user, ts, event_id)`` order (range-partitioned, so
 a heavy user spans many partitions) and cut into buckets of exactly
 ``bucket_rows`` consecutive rows.  A running sum / max or a lag is a window
 *per bucket* plus a carry from all earlier buckets; the carry table has one
-row per bucket (``rows / bucket_rows``), which bounds its broadcast.  Because
+row per bucket (``rows / bucket_rows``) and is joined like any other.  Because
 users are contiguous in the ordinal, per-user quantities follow from global
 ones: a user's first ordinal is a running max of "first row" marks, etc.
 """
@@ -20,18 +20,9 @@ from seqrec.operators.ordering import global_ordinal
 from seqrec.session import cut
 
 DEFAULT_BUCKET_ROWS = 1_000_000
-# Above this many events for one user the per-user window plans are replaced
-# by the bucketed scan (decided from one cheap aggregate).
-HOT_USER_ROWS = 5_000_000
 _NEG = -1
 
 
-def largest_user(df: DataFrame, user: str = "user_id") -> int:
-    """Event count of the heaviest user (one scalar, partial aggregation)."""
-    r = df.groupBy(user).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0]
-    return int(r or 0)
-
-
 def ordinal_buckets(df: DataFrame, order, bucket_rows: int) -> DataFrame:
     g = global_ordinal(df, list(order), out="_g")
     return g.withColumn("_b", F.floor(F.col("_g") / F.lit(bucket_rows)).cast("bigint"))
@@ -53,7 +44,7 @@ def prefix(df: DataFrame, specs: dict[str, tuple[Column, str]]) -> DataFrame:
     tot = df.groupBy("_b").agg(*[agg[op](e).alias(f"{o}_t") for o, (e, op) in specs.items()])
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select("_b", *[agg[op](f"{o}_t").over(before).alias(f"{o}_c") for o, (e, op) in specs.items()])
-    out = local.join(F.broadcast(carry), "_b", "left")
+    out = local.join(carry, "_b", "left")
     for o, (_, op) in specs.items():
         if op == "sum":
             out = out.withColumn(o, F.coalesce(F.col(f"{o}_c"), F.lit(0)) + F.col(f"{o}_l"))
@@ -68,15 +59,15 @@ def lag_over_ordinal(df: DataFrame, cols: list[str]) -> DataFrame:
     w = _bucket_window()
     last = (df.groupBy("_b").agg(*[F.max_by(c, "_g").alias(f"_x{c}") for c in cols])
             .select((F.col("_b") + 1).alias("_b"), *[f"_x{c}" for c in cols]))
-    out = df.select("*", *[F.lag(c).over(w).alias(f"_q{c}") for c in cols]).join(F.broadcast(last), "_b", "left")
+    out = df.select("*", *[F.lag(c).over(w).alias(f"_q{c}") for c in cols]).join(last, "_b", "left")
     for c in cols:
         out = out.withColumn(f"_p{c}", F.coalesce(F.col(f"_q{c}"), F.col(f"_x{c}"))).drop(f"_q{c}", f"_x{c}")
     return out
 
 
-def consumption_blocks_scan(df: DataFrame, gap, flush_open: bool = False,
-                            bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
-    """Same result as ``blocks.consumption_blocks`` without per-user windows.
+def consumption_blocks(df: DataFrame, gap, flush_open: bool = False,
+                       bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+    """Blocks of users' histories (the rule is in ``blocks``) without per-user windows.
 
     Steps (each a bucket window + carry, cut in between so no stage is
     recomputed): previous row -> first-of-user flag and gap flag ``g``;
@@ -103,14 +94,15 @@ def consumption_blocks_scan(df: DataFrame, gap, flush_open: bool = False,
     d = (s4.withColumn("block_id", (F.col("_cb") - F.col("_cb0") - 1).cast("bigint"))
          .withColumn("n", (F.col("_g") - F.col("_bs")).cast("bigint")))
     if not flush_open:
-        last = d.groupBy("user_id").agg(F.max("block_id").alias("_last"))
-        d = d.join(last, "user_id").where(F.col("block_id") < F.col("_last")).drop("_last")
+        # a block is closed if the same user starts another one
+        closed = d.where(F.col("_brk") & (F.col("block_id") > 0)).select("user_id", (F.col("block_id") - 1).alias("block_id"))
+        d = d.join(closed, ["user_id", "block_id"], "left_semi")
     d = d.withColumn("idx", F.min("n").over(Window.partitionBy("user_id", "block_id", "item_id", "ts")))
     sizes = d.groupBy("user_id", "block_id").agg(F.count(F.lit(1)).alias("block_size"))
     return d.join(sizes, ["user_id", "block_id"]).select(*cols, "block_id", "n", "idx", "block_size")
 
 
-def positions_scan(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+def positions(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """``pos`` (place in the user's history) without per-user windows."""
     cols = df.columns
     base = ordinal_buckets(df, ["user_id", "ts", "event_id"], bucket_rows)
@@ -121,7 +113,7 @@ def positions_scan(df: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> Dat
     return s2.select(*cols, (F.col("_g") - F.col("_uf")).cast("bigint").alias("pos"))
 
 
-def gap_segments_scan(df: DataFrame, gap, order=("ts", "event_id"), ts_col: str = "ts",
+def gap_segments(df: DataFrame, gap, order=("ts", "event_id"), ts_col: str = "ts",
                       bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Gap sessions without per-user windows: adds ``session_id`` and ``n``.
 
@@ -141,8 +133,8 @@ def gap_segments_scan(df: DataFrame, gap, order=("ts", "event_id"), ts_col: str
                      (F.col("_g") - F.col("_ss")).cast("bigint").alias("n"))
 
 
-def recent_items_scan(events: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
-    """``recent_items`` without per-user windows: the item ``k`` places back is
+def recent_items(events: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
+    """The last ``n`` items before each target, without per-user windows: the item ``k`` places back is
     the row at ordinal ``_g - k`` when it belongs to the same user -- an
     equi-join on a unique key, so no user is ever a hot join key."""
     g = global_ordinal(events.select("user_id", "item_id", "ts", "event_id"),

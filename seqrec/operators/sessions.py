@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqrec.operators import scan
 from seqrec.operators.profiles import profile_map
 
-# Spark's Word2Vec cuts sentences at this many tokens; chunking the corpus at
-# the same length keeps every array bounded without changing training.
-MAX_SENTENCE = 1000
 
-
-def user_sessions(df: DataFrame, gap, min_items: int = 3, hot_user_rows: int | None = None) -> DataFrame:
+def user_sessions(df: DataFrame, gap, min_items: int = 3) -> DataFrame:
     """Sessions of users with more than ``min_items`` distinct items.
 
     Walks the ordered-map profile (one row per item at its *first* place,
@@ -24,34 +21,20 @@ def user_sessions(df: DataFrame, gap, min_items: int = 3, hot_user_rows: int | N
     pm = profile_map(df)
     sizes = pm.groupBy("user_id").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > min_items)
     pm = pm.join(sizes.select("user_id"), "user_id", "left_semi")
-    from seqrec.operators import scan
-    limit = scan.HOT_USER_ROWS if hot_user_rows is None else hot_user_rows
-    if scan.largest_user(pm) > limit:
-        seg = scan.gap_segments_scan(pm, gap, order=("first_pos",), ts_col="last_ts")
-        return seg.select("user_id", "session_id", "n", "item_id", "first_pos", "last_ts")
-    w = Window.partitionBy("user_id").orderBy("first_pos")
-    prev = F.lag("last_ts").over(w)
-    g = F.when(prev.isNull() | (F.col("last_ts") - prev > F.lit(gap)), 1).otherwise(0)
-    s = pm.withColumn("_g", g).withColumn(
-        "session_id", (F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("bigint"))
-    sw = Window.partitionBy("user_id", "session_id").orderBy("first_pos")
-    return (s.withColumn("n", (F.row_number().over(sw) - 1).cast("bigint"))
-            .select("user_id", "session_id", "n", "item_id", "first_pos", "last_ts"))
-
-
-def session_corpus(sessions: DataFrame, max_len: int = MAX_SENTENCE) -> DataFrame:
-    """Token sentences ``(user_id, session_id, chunk, tokens ARRAY<STRING>)``.
-
-    Sessions longer than ``max_len`` are cut into consecutive chunks.
+    seg = scan.gap_segments(pm, gap, order=("first_pos",), ts_col="last_ts")
+    return seg.select("user_id", "session_id", "n", "item_id", "first_pos", "last_ts")
+
+
+def session_corpus(sessions: DataFrame) -> DataFrame:
+    """Token sentences ``(user_id, session_id, tokens ARRAY<STRING>)``, one per session, never cut.
+
+    A sentence is one value, as the trainer needs it; sessions are bounded by the gap.
     """
-    c = sessions.withColumn("chunk", F.floor(F.col("n") / F.lit(max_len)).cast("bigint"))
-    return (c.groupBy("user_id", "session_id", "chunk")
-            .agg(F.array_sort(F.collect_list(F.struct("n", F.col("item_id").cast("string").alias("t"))))
-                 .alias("_s"))
-            .select("user_id", "session_id", "chunk", F.col("_s.t").alias("tokens")))
+    return (sessions.groupBy("user_id", "session_id")
+            .agg(F.array_sort(F.collect_list(F.struct("n", F.col("item_id").cast("string").alias("t")))).alias("_s"))
+            .select("user_id", "session_id", F.col("_s.t").alias("tokens")))
 
 
 def session_sentences(sessions: DataFrame) -> DataFrame:
     """Space-joined sentence per session: ``(user_id, session_id, sentence)``."""
-    corpus = session_corpus(sessions, max_len=1 << 30)
-    return corpus.select("user_id", "session_id", F.array_join("tokens", " ").alias("sentence"))
+    return session_corpus(sessions).select("user_id", "session_id", F.array_join("tokens", " ").alias("sentence"))

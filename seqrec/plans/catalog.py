@@ -228,6 +228,12 @@ def q_gap_sessions(spark, sf):
 
 @query("session_corpus")
 def q_session_corpus(spark, sf):
+    corpus = SE.session_corpus(_sessions_e(spark, sf))
+    return corpus.select("user_id", "session_id", F.posexplode("tokens").alias("n", "token")).withColumn("n", F.col("n").cast("bigint"))
+
+
+@query("session_sentences")
+def q_session_sentences(spark, sf):
     return SE.session_sentences(_sessions_e(spark, sf))
 
 
@@ -535,8 +541,8 @@ def q_item_embeddings(spark, sf):
 @query("embedding_store")
 def q_embedding_store(spark, sf):
     path = scratch_path(spark, "vectors")
-    save_embeddings(_w2v(spark, sf)[1], path)
-    return load_embeddings(spark, path)
+    save_embeddings(embeddings_table(spark, sf), path)
+    return VE.vectors_long(load_embeddings(spark, path))
 
 
 @query("retrain_embeddings")

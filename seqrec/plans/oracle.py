@@ -167,7 +167,8 @@ G1 AS (SELECT *, CAST(sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id RO
        AS session_id FROM G0)
 SELECT user_id, session_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) - 1 AS n,
        item_id, ts, event_id FROM G1"""
-SQL["session_corpus"] = f"""WITH {SESS}
+SQL["session_corpus"] = f"WITH {SESS} SELECT user_id, session_id, n, CAST(item_id AS VARCHAR) AS token FROM SESS"
+SQL["session_sentences"] = f"""WITH {SESS}
 SELECT user_id, session_id, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY n) AS sentence FROM SESS GROUP BY 1, 2"""
 SQL["session_lines"] = f"""WITH {SESS}
 SELECT CAST(user_id AS VARCHAR) || chr(9) || string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY n) || ',' AS value
@@ -388,6 +389,10 @@ DRECS AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDE
                          FROM DF) WHERE rank <= {P.N_EMB})"""
 
 SQL["normalize_vectors"] = f"WITH {UVEC} SELECT item_id, dim, round(u, 6) AS value FROM UL"
+SQL["embedding_store"] = f"WITH {UVEC} SELECT item_id, dim, round(x, 6) AS value FROM EL"
+SQL["sample_items"] = f"""WITH {SPLIT}, DI AS (SELECT DISTINCT user_id, item_id FROM TRAIN)
+SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5(item_id || ':7'), item_id) AS r FROM DI)
+WHERE r <= 5"""
 SQL["vocab_ranks"] = f"""WITH {SESS},
 VF AS (SELECT item_id, CAST(count(*) AS BIGINT) AS freq FROM SESS GROUP BY 1)
 SELECT item_id, freq, row_number() OVER (ORDER BY freq DESC, item_id) - 1 AS vocab_rank FROM VF"""

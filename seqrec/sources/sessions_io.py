@@ -10,7 +10,7 @@ from seqrec.operators.sessions import session_corpus
 
 def session_lines(sessions: DataFrame) -> DataFrame:
     """One text line per session (``value`` column), trailing comma included."""
-    corpus = session_corpus(sessions, max_len=1 << 30)
+    corpus = session_corpus(sessions)
     return corpus.select(F.concat(F.col("user_id").cast("string"), F.lit("\t"),
                                   F.array_join("tokens", ","), F.lit(",")).alias("value"))
 

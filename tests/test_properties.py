@@ -67,64 +67,56 @@ def test_versioned_refresh_equals_replay(spark, seed, every):
 
 @pytest.mark.parametrize("seed,bucket", [(11, 7), (12, 50)])
 def test_bucketed_scan_blocks_equal_windows(spark, seed, bucket):
-    from seqrec.operators.scan import consumption_blocks_scan
+    from seqrec.operators import scan as SC
     rows = random_log(seed, users=4)
     df = to_df(spark, rows)
     cols = ["user_id", "block_id", "n", "idx", "item_id", "ts", "event_id", "block_size"]
     win = sorted(tuple(r) for r in B.consumption_blocks(df, 10).select(*cols).collect())
-    scan = sorted(tuple(r) for r in consumption_blocks_scan(df, 10, bucket_rows=bucket).select(*cols).collect())
+    scan = sorted(tuple(r) for r in SC.consumption_blocks(df, 10, bucket_rows=bucket).select(*cols).collect())
     assert win == scan
 
 
-def test_hot_user_switch_same_similarity(spark):
-    rows = random_log(13, users=3)
-    df = to_df(spark, rows)
-    plain = {tuple(r) for r in S.block_item_similarity(df, 10).collect()}
-    forced = {tuple(r) for r in S.block_item_similarity(df, 10, hot_user_rows=5).collect()}
-    assert plain == forced
-
+def test_positions_equal_window(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
 
-def test_positions_scan_equal_window(spark):
-    from seqrec.operators import ordering as O
-    from seqrec.operators.scan import positions_scan
+    from seqrec.operators import scan as SC
     df = to_df(spark, random_log(14, users=3))
-    win = sorted(tuple(r) for r in O.order_events(df).collect())
-    scan = sorted(tuple(r) for r in positions_scan(df, bucket_rows=9).select(*df.columns, "pos").collect())
-    assert win == scan
-    forced = sorted(tuple(r) for r in O.order_events(df, hot_user_rows=3).select(*df.columns, "pos").collect())
-    assert forced == win
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    win = sorted(tuple(r) for r in df.withColumn("pos", place.cast("bigint")).collect())
+    for rows in (1, 9, 1000):
+        assert sorted(tuple(r) for r in SC.positions(df, bucket_rows=rows).select(*df.columns, "pos").collect()) == win
+
 
+def test_gap_sessions_equal_window_at_any_bucket(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
 
-def test_gap_and_user_sessions_scan_equal_window(spark):
-    from seqrec.operators import sessions as SE
+    from seqrec.operators import scan as SC
     df = to_df(spark, random_log(15, users=3))
     cols = ["user_id", "session_id", "n", "item_id", "ts", "event_id"]
-    win = sorted(tuple(r) for r in B.gap_sessions(df, 10).select(*cols).collect())
-    forced = sorted(tuple(r) for r in B.gap_sessions(df, 10, hot_user_rows=2).select(*cols).collect())
-    assert win == forced
-    u_win = sorted(tuple(r) for r in SE.user_sessions(df, 10, 3).collect())
-    u_scan = sorted(tuple(r) for r in SE.user_sessions(df, 10, 3, hot_user_rows=2).collect())
-    assert u_win == u_scan
-
-
-def test_blocks_switch_uses_scan(spark):
-    df = to_df(spark, random_log(16, users=3))
-    cols = ["user_id", "block_id", "n", "idx", "item_id", "ts", "event_id", "block_size"]
-    win = sorted(tuple(r) for r in B.consumption_blocks(df, 10).select(*cols).collect())
-    hot = B.consumption_blocks(df, 10, hot_user_rows=2)
-    assert "_g" not in hot.columns
-    assert sorted(tuple(r) for r in hot.select(*cols).collect()) == win
-
-
-def test_recent_items_scan_equal_window(spark):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    prev = F.lag("ts").over(w)
+    d = df.withColumn("g", F.when(prev.isNull() | (F.col("ts") - prev > 10), 1).otherwise(0))
+    d = d.withColumn("session_id", F.sum("g").over(w) - 1)
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("ts", "event_id")) - 1)
+    win = sorted(tuple(r) for r in d.select(*cols).collect())
+    assert sorted(tuple(r) for r in B.gap_sessions(df, 10).select(*cols).collect()) == win
+    for rows in (1, 7):
+        assert sorted(tuple(r) for r in SC.gap_segments(df, 10, bucket_rows=rows).select(*cols).collect()) == win
+
+
+def test_recent_items_equal_window(spark):
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from seqrec.operators.profiles import recent_items
     df = to_df(spark, random_log(17, users=3))
     targets = df.where(F.col("event_id") % 3 == 0)
-    win = sorted(tuple(r) for r in recent_items(df, targets, 3).collect())
-    hot = sorted(tuple(r) for r in recent_items(df, targets, 3, hot_user_rows=2).collect())
-    assert win == hot and len(win) > 0
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lagged = df.select("event_id", "user_id", *[F.lag("item_id", k).over(w).alias(f"b{k}") for k in (1, 2, 3)]).where(F.col("event_id") % 3 == 0)
+    win = sorted((r["event_id"], r["user_id"], k, r[f"b{k}"]) for r in lagged.collect() for k in (1, 2, 3) if r[f"b{k}"] is not None)
+    assert sorted(tuple(r) for r in recent_items(df, targets, 3).collect()) == win and len(win) > 0
 
 
 @pytest.mark.parametrize("seed", [18, 19])
