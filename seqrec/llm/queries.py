@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqrec.llm import classlm, langid, minhash, mixing, multiindex, packing, quality, secrets, toxicity, wrappers
+from seqrec.llm.sql import SQL  # noqa: F401  (registered beside the queries)
 from seqrec.session import cut
 
 
@@ -104,4 +105,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op3_class_lm, op4_wrappers, op5_quality, op6_language, op7_packing, op8_secrets, op9_toxicity, op10_mixing)}
-SQL: dict[str, str] = {}
