@@ -112,11 +112,11 @@ def redact(docs: DataFrame, paths: DataFrame, id_col: str = "doc_id", text_col:
     paths is scan()'s table over the same rows; rows are matched by id and blob, so repeated rows stay as they are.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = paths.where(F.size("spans") > 0).dropDuplicates([id_col, "blob"]).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), "spans")
+    some = paths.where(F.size("spans") > 0).dropDuplicates([id_col, "blob"]).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     joined = docs.withColumn("_of", F.sha2(text, 256)).join(some, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_blob")), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(
         F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at")))
     done = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    new = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.aggregate("spans", state, step, done))
+    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("_spans", state, step, done))
     return joined.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in docs.columns])
