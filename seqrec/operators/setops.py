@@ -22,8 +22,3 @@ def profile_union(a: DataFrame, b: DataFrame) -> DataFrame:
 def profile_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per user, items of ``a`` not in ``b`` (distinct; anti join)."""
     return _pairs(a).distinct().join(_pairs(b), ["user_id", "item_id"], "left_anti")
-
-
-def multiset_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Bag union (duplicates kept) by column name."""
-    return a.unionByName(b)

@@ -193,9 +193,6 @@ EV AS (SELECT user_id, item_id, rating, ts, event_id, ord, total - (total * {P.T
               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM R0),
 PRM AS (SELECT max(t0) AS t0, max(total) AS total, max(rp) AS rp FROM EV)"""
 
-def utrain_cte():
-    return "UT AS (SELECT user_id, item_id, ts, event_id, pos FROM EV WHERE ord < t0)"
-
 UCON = f"""{UEV},
 FO AS (SELECT user_id, item_id, min(pos) AS first_pos, min(ord) AS first_ord FROM EV GROUP BY 1, 2),
 TRI AS (SELECT a.user_id, least(a.item_id, b.item_id) AS item_i, greatest(a.item_id, b.item_id) AS item_j,
