@@ -601,6 +601,31 @@ def q_run_counters(spark, sf):
                      users.alias("users"), items.alias("items"))
 
 
+@query("run_counters_user")
+def q_run_counters_user(spark, sf):
+    out = _user_based_e(spark, sf)
+    scored = out["served"].where(F.col("bstar").isNotNull()).select(F.count(F.lit(1)).cast("bigint")).scalar()
+    cold = out["cold"]
+    return out["metrics"].select(F.col("users").alias("pr_users"), "norec", scored.alias("scored_events"),
+                                 cold.select("cold_events").scalar().alias("cold_events"), cold.select("cold_users").scalar().alias("cold_users"))
+
+
+@query("run_counters_implicit")
+def q_run_counters_implicit(spark, sf):
+    out = IK.implicit_knn(events_ratings(spark, sf), IK_PARAMS)
+    recs = cut(out["recs"], "recs")
+    known = out["test"].join(out["train"].select("user_id"), "user_id", "left_semi")
+    return recs.agg(F.count_distinct("user_id").cast("bigint").alias("users_with_recs"), F.count_distinct("event_id").cast("bigint").alias("events_with_recs"),
+                    F.count(F.lit(1)).cast("bigint").alias("recs")).withColumn("scored_events", known.select(F.count(F.lit(1)).cast("bigint")).scalar())
+
+
+@query("run_counters_embeddings")
+def q_run_counters_embeddings(spark, sf):
+    out = _emb_e(spark, sf)
+    metrics = EV.precision_recall(out["recs"], out["targets"], population=out["test"])
+    return metrics.select(F.col("users").alias("pr_users"), "norec", out["targets"].select(F.count(F.lit(1)).cast("bigint")).scalar().alias("scored_events"))
+
+
 # ---------------------------------------------------------------- streaming
 
 

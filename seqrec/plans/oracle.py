@@ -423,6 +423,16 @@ SELECT CAST((SELECT count(*) FROM RS) AS BIGINT) AS pr_users,
        CAST((SELECT count(DISTINCT user_id) FROM E) AS BIGINT) AS users,
        CAST((SELECT count(DISTINCT item_id) FROM E) AS BIGINT) AS items"""
 
+SQL["run_counters_user"] = f"""SELECT p.users AS pr_users, p.norec, s.scored_events, c.cold_events, c.cold_users
+FROM ({SQL['precision_recall_user']}) p, ({SQL['unknown_users_network']}) c,
+     (WITH {UNET} SELECT CAST(count(*) AS BIGINT) AS scored_events FROM SERVED WHERE bstar IS NOT NULL) s"""
+SQL["run_counters_implicit"] = f"""WITH {KNN}
+SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS users_with_recs, CAST(count(DISTINCT event_id) AS BIGINT) AS events_with_recs,
+       CAST(count(*) AS BIGINT) AS recs,
+       (SELECT CAST(count(*) AS BIGINT) FROM XTE WHERE user_id IN (SELECT user_id FROM XTR)) AS scored_events FROM KRECS"""
+SQL["run_counters_embeddings"] = f"""SELECT p.users AS pr_users, p.norec, t.scored_events
+FROM ({SQL['precision_recall_embeddings']}) p, (WITH {DEEP} SELECT CAST(count(*) AS BIGINT) AS scored_events FROM DT) t"""
+
 # ---------------------------------------------------------------- streaming (batch equivalents)
 SQL["stream_blocks"] = SQL["consumption_blocks"]
 SQL["stream_item_similarity"] = SQL["block_item_similarity"]
