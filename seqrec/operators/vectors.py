@@ -4,10 +4,10 @@ embedding-based recommendation."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqrec.functions.exprs import unit_vector
 from seqrec.operators.ordering import global_ordinal
@@ -65,17 +65,17 @@ def query_vectors(positives: DataFrame, unit: DataFrame, ranks: DataFrame) -> Da
 
 
 def _cosine_scorer(head: np.ndarray):
-    """Arrow-batched scorer: mean of a query's unit vectors, renormalised,
-    dotted with every row of ``head`` (the bounded vocabulary head)."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(vecs: pd.Series) -> pd.Series:
-        out = []
-        for lst in vecs:
-            m = np.mean(np.stack([np.asarray(v, dtype=np.float64) for v in lst]), axis=0)
-            n = np.sqrt(np.dot(m, m))
-            q = m / n if n > 0 else m
-            out.append(head @ q)
-        return pd.Series(out)
+    """Mean of a query's unit vectors, renormalised, dotted with every row of
+    ``head`` (the bounded vocabulary head): one matrix product per Arrow batch."""
+    @F.arrow_udf("array<double>")
+    def score(queries: pa.Array) -> pa.Array:
+        counts = pc.list_value_length(queries).to_numpy(zero_copy_only=False)
+        vectors = queries.flatten()
+        x = np.asarray(vectors.flatten()).reshape(len(vectors), -1)
+        mean = np.add.reduceat(x, np.cumsum(counts) - counts) / counts[:, None]
+        size = np.sqrt((mean * mean).sum(1, keepdims=True))
+        out = np.divide(mean, size, out=mean, where=size > 0) @ head.T
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(head), dtype=np.int32), out.ravel())
     return score
 
 
@@ -85,8 +85,8 @@ def most_similar(queries: DataFrame, unit: DataFrame, ranks: DataFrame, topn: in
 
     The searched vocabulary has at most ``MIN_CANDIDATES + WIDEN_STEP``
     entries whatever the data size, so it is shipped to the tasks as a small
-    matrix and scored with one matrix-vector product per query inside an
-    Arrow-batched pandas UDF.  Returns ``(event_id, item_id, sim, sim_rank)``.
+    matrix and scored with one matrix product per batch inside an
+    Arrow-batched UDF.  Returns ``(event_id, item_id, sim, sim_rank)``.
     """
     limit = MIN_CANDIDATES + WIDEN_STEP
     vocab_size = ranks.select(F.count(F.lit(1)).cast("bigint")).scalar()
