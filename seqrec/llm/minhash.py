@@ -1,7 +1,8 @@
 """Near-duplicate texts: consistent weighted samples of TF-IDF shingles, banded, then verified exactly.
 
 A text is the bag of its five-word shingles (lower-cased A-Z; a shorter text is one shingle).  The weight of
-a shingle is its count times the mean inverse document frequency of its words.  Word frequencies stand
+a shingle is its count times the mean, over its words, of the square root of the inverse document frequency (1 + ln of the share's
+inverse); the root keeps rare words from outvoting the rest of a text.  Word frequencies stand
 for shingle frequencies on purpose: a shingle's own frequency falls apart with the number of its copies, so large
 groups of copies would talk themselves below the threshold.  They are kept by hash bucket, so the table that
 tasks read has a fixed size whatever the input.
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n_docs = prints.count()
     df = np.zeros(idf_buckets)
     df[held["bucket"].to_numpy(np.int64)] = held["n"].to_numpy(float)
-    idf_value = spark.sparkContext.broadcast((1 + np.log((1 + n_docs) / (1 + df))).astype(np.float32))
+    idf_value = spark.sparkContext.broadcast(np.sqrt(1 + np.log((1 + n_docs) / (1 + df))).astype(np.float32))
 
     firsts = prints.where("words > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
     signed = cut(docs.mapInArrow(*_signatures(width, bands, rows, seed, idf_value)), "signatures")
@@ -252,6 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = member.groupBy("band", "value").agg(F.min("doc").alias("b"), F.max("doc").alias("last")).where("b < last")
     star = member.join(pivots.drop("last"), ["band", "value"]).where("doc <> b").select(F.col("doc").alias("a"), "b")
     star = cut(star.distinct(), "pairs")
+    # all documents that share a bucket are here: only their texts are moved, and once
+    shared = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    docs = cut(docs.join(shared, "doc_id", "left_semi"), "texts")
     links = _verified(star, docs, width, threshold, idf_value)
 
     found = components(links)

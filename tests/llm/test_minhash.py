@@ -15,7 +15,7 @@ def brute(rows, threshold=0.8):
     for _, t in rows:
         held.update({cases.lower(w) for w in cases.words(t)})
     n = len(rows)
-    idf = {w: 1 + math.log((1 + n) / (1 + c)) for w, c in held.items()}
+    idf = {w: math.sqrt(1 + math.log((1 + n) / (1 + c))) for w, c in held.items()}
 
     def bag(text):
         w = [cases.lower(x) for x in cases.words(text)]
