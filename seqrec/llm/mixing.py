@@ -91,7 +91,7 @@ def _rate(domains: int, steps: list[list[float]]) -> Column:
     return rate
 
 
-def rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], most_steps: int = 60, tolerance: float = 1e-5) -> DataFrame:
+def rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], most_steps: int = 200, tolerance: float = 1e-5) -> DataFrame:
     """docs (n_tokens, posterior) with `rate`, its expected copies; the total number of tokens stays what it is.
 
     weights: the share of the tokens wanted for each domain, scaled to sum to 1; domains that are not named get 0.  Steps end
