@@ -2,8 +2,8 @@
 
 A multinomial logistic classifier, fitted on a labelled table, gives each document a posterior over the domains.  Nonnegative
 rates, starting from one copy of every document, are then moved by projected gradient steps on the squared difference
-between expected domain token totals and their targets, each domain's difference weighted by its present share.  A step needs
-one sum per domain over all documents; a rate depends only on the document's posterior and the steps so far.  DataFrame and
+between expected domain token totals and their targets, scaled by the domains' Gram matrix.  A step needs a few
+sums per domain over all documents; a rate depends only on the document's posterior and the steps so far.  DataFrame and
 ML transformers of the JVM only.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
@@ -34,19 +35,19 @@ class Classifier:
 
 
 def _features(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with n_tokens, the hashed-word input `_tokens` and dense columns, without the text."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    count = lambda pattern: (F.size(F.split(text, pattern, -1)) - 1).cast("double")
-    out = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_tokens", F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""))
-    out = out.withColumn("n_tokens", F.size("_tokens").cast("bigint")).withColumn("_n", F.greatest(F.size("_tokens"), F.lit(1)).cast("double"))
+    """docs with n_tokens, the distinct words `_tokens` and dense columns, without the text."""
+    text, n = F.coalesce(F.col("_text"), F.lit("")), F.col("_n")
+    without = lambda mark: ((F.length(text) - F.length(F.replace(text, F.lit(mark)))) / len(mark)).cast("double")
+    out = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_words", F.filter(F.split(text, SPACE), lambda w: w != ""))
+    out = out.withColumn("_tokens", F.array_distinct("_words")).withColumn("n_tokens", F.size("_words").cast("bigint"))
+    out = out.withColumn("_n", F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
     return out.select(*[c for c in docs.columns if c != text_col], "n_tokens", "_tokens",
-                      (F.least(F.length(text) / F.col("_n"), F.lit(40.0)) / 10).alias("mean_length"),
-                      F.least(count("[#*$%&<>]") / F.col("_n"), F.lit(4.0)).alias("symbols"),
-                      F.least(count("!!+") / F.col("_n"), F.lit(1.0)).alias("shouts"),
-                      F.least(count(r"\|") / F.col("_n"), F.lit(1.0)).alias("separators"),
-                      (count(r"\p{Lu}") / F.greatest(F.length(text), F.lit(1))).alias("capitals"),
-                      (1 - F.size(F.array_distinct("_tokens")) / F.col("_n")).alias("repeats"),
-                      F.log1p(F.col("_n")).alias("log_words"))
+                      (F.least(F.length(text) / n, F.lit(40.0)) / 10).alias("mean_length"),
+                      F.least((F.size(F.split(text, "[#*$%&<>]+", -1)) - 1) / n, F.lit(4.0)).alias("symbols"),
+                      F.least(without("!!") / n, F.lit(1.0)).alias("shouts"),
+                      F.least(without("|") / n, F.lit(1.0)).alias("separators"),
+                      (F.size(F.filter("_tokens", lambda w: w.rlike(r"^\p{Lu}{2}"))) / n).alias("capitals"),
+                      (1 - F.size("_tokens") / n).alias("repeats"), F.log1p(n).alias("log_words"))
 
 
 def fit_classifier(labelled: DataFrame, text_col: str = "text", domain_col: str = "domain", key_col: str = "doc_id",
@@ -91,34 +92,48 @@ def _rate(domains: int, steps: list[list[float]]) -> Column:
     return rate
 
 
-def rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], most_steps: int = 200, tolerance: float = 1e-5) -> DataFrame:
+def rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], most_steps: int = 60, tolerance: float = 1e-5) -> DataFrame:
     """docs (n_tokens, posterior) with `rate`, its expected copies; the total number of tokens stays what it is.
 
-    weights: the share of the tokens wanted for each domain, scaled to sum to 1; domains that are not named get 0.  Steps end
-    when every domain's expected total is within `tolerance` of the total of its target, or after most_steps.  Without domains or
-    tokens every rate is 1.  A document without tokens takes the rate of its posterior.
+    weights: the share of the tokens wanted for each domain, scaled to sum to 1; domains that are not named get 0.  A step is
+    scaled by the inverse of the domains' Gram matrix over the documents whose rate is above 0, which would end in one
+    step if no rate met 0; a step that does not bring the totals closer is followed by one of plain gradient length.  Steps
+    end when every domain's expected total is within `tolerance` of the total of its target, or after most_steps.  Without domains
+    or tokens every rate is 1.  A document without tokens takes the rate of its posterior.
     """
     k = len(domains)
     total = docs.agg(F.sum("n_tokens").alias("n")).head()["n"] or 0
     scale = sum(max(0.0, weights.get(d, 0.0)) for d in domains)
     if not k or not total or not scale:
         return docs.withColumn("rate", F.lit(1.0))
-    wanted = [max(0.0, weights.get(d, 0.0)) / scale for d in domains]
+    wanted = np.array([max(0.0, weights.get(d, 0.0)) / scale for d in domains])
     table = docs.select("*", *[F.col("posterior")[j].alias(f"_p{j}") for j in range(k)], F.lit(1.0).alias("_from"))
-    mass = [F.col("n_tokens") / F.lit(float(total)) * F.col(f"_p{j}") for j in range(k)]
-    first = table.agg(*[F.sum(mass[j]).alias(f"m{j}") for j in range(k)], *[F.sum(mass[i] * F.col(f"_p{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).head()
-    share = [max(first[f"m{j}"], 1e-12) for j in range(k)]
-    # the rows of the weighted Gram matrix sum to its largest eigenvalue's bound, which is 1 / step length
-    length = 1 / max(max(sum(first[f"g{i}_{j}"] / (share[i] * share[j]) ** 0.5 for j in range(k)) for i in range(k)), 1e-12)
-    have, steps, done = share, [], 0
-    while done < most_steps and max(abs(h - w) for h, w in zip(have, wanted)) > tolerance:
-        steps.append([length * (have[j] - wanted[j]) / share[j] for j in range(k)])
-        done += 1
+    steps: list[list[float]] = []
+
+    def totals() -> tuple[np.ndarray, np.ndarray]:
+        """Each domain's expected share of all tokens, and the Gram matrix of the documents that are not at 0."""
+        now = table.select(*[F.col(f"_p{j}") for j in range(k)], (F.col("n_tokens") / F.lit(float(total))).alias("_w"), _rate(k, steps).alias("_r"))
+        gram = [F.sum(F.when(F.col("_r") > 0, F.col("_w") * F.col(f"_p{i}") * F.col(f"_p{j}")).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
+        row = now.agg(*[F.sum(F.col("_w") * F.col("_r") * F.col(f"_p{j}")).alias(f"h{j}") for j in range(k)], *gram).head()
+        return np.array([row[f"h{j}"] for j in range(k)]), np.array([[row[f"g{i}_{j}"] for j in range(k)] for i in range(k)])
+
+    have, gram = totals()
+    share, far, plain = np.maximum(have, 1e-12), np.inf, False
+    for done in range(most_steps):
+        gap = have - wanted
+        now = float(np.abs(gap).max())
+        if now <= tolerance:
+            break
+        plain = not plain and now >= far
+        far = now
+        if plain:
+            steps.append((gap / share / (gram / np.sqrt(np.outer(share, share))).sum(1).max().clip(1e-12)).tolist())
+        else:
+            steps.append(np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(k), gap, rcond=None)[0].tolist())
         if len(steps) == 20:
-            table, steps = cut(table.withColumn("_from", _rate(k, steps)), "rates"), []
-        after = table.select(*[mass[j].alias(f"_m{j}") for j in range(k)], _rate(k, steps).alias("_r"))
-        row = after.agg(*[F.sum(F.col(f"_m{j}") * F.col("_r")).alias(f"m{j}") for j in range(k)]).head()
-        have = [row[f"m{j}"] for j in range(k)]
+            table = cut(table.withColumn("_from", _rate(k, steps)), "rates")
+            steps = []
+        have, gram = totals()
     return table.select(*docs.columns, _rate(k, steps).alias("rate"))
 
 
