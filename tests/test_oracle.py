@@ -7,6 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from seqrec.plans import params as P
+from seqrec.plans.item_based import ItemBasedParams, item_based
+from seqrec.plans.user_based import UserBasedParams, user_based
+from seqrec.sources.ratings import events_ratings
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events embeddings orders lineitem".split()
@@ -62,12 +66,16 @@ def test_every_query_has_a_callable():
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
 def test_item_based_regression_value(spark):
     """SURVEY §7.2: E at sf0.01, newest 20 % held out, 6 h gap, K=20, N=10."""
-    m = entry.queries()["precision_recall"](spark, "/root/testdata/sf0.01").collect()[0]
+    ratings = events_ratings(spark, "/root/testdata/sf0.01")
+    p = ItemBasedParams(gap=P.GAP_E, k=20, n=10, test_n=None, test_pct=P.TEST_PCT)
+    m = item_based(ratings, p)["metrics"].collect()[0]
     assert (m.precision, m.recall, m.users, m.norec) == (0.110667, 0.088403, 150, 0)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
 def test_user_based_regression_value(spark):
     """Sequential replay (refresh every 500 events, delta 10, K=20, N=10) gave these values."""
-    m = entry.queries()["precision_recall_user"](spark, "/root/testdata/sf0.01").collect()[0]
+    ratings = events_ratings(spark, "/root/testdata/sf0.01")
+    p = UserBasedParams(delta=10, k=20, n=10, test_n=None, test_pct=P.TEST_PCT, every=None, every_pct=P.REFRESH_PCT)
+    m = user_based(ratings, p)["metrics"].collect()[0]
     assert (m.precision, m.recall, m.users) == (0.100427, 0.164092, 150)
