@@ -35,8 +35,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}"),  # the same matches as [0-9a-f]+ of 24 or more, as a run is always taken whole
 )
+# A private key as far as its END line; without one as far as its last base64 line.  Possessive, so that Java's matcher needs no stack.
+_GAP, _CODE, _EOL = r"""(?:[\s>#*|"',]|\\[nr]|\+(?=\s))*+""", "[A-Za-z0-9+/=]", r"""(?=[\x20\t"',]*+(?:\\[nr]|(?![^\r\n])))"""
+_PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END)\x20))*+-----END [A-Z ]*PRIVATE KEY-----|"
+        rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:{_GAP}(?:{_CODE}{{32,}}+|{_CODE}{{16,}}+{_EOL}))++(?:{_GAP}{_CODE}++{_EOL})?+)?+)")
 RULES = BASE + (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", _PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -107,7 +111,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame |
 
 
 def redact(docs: DataFrame, paths: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by [kind]; overlapping spans are replaced once, by the first.
+    """docs with every span replaced by [kind]; overlapping spans are replaced once, as far as the last of them ends, by the first's kind.
 
     paths is scan()'s table over the same rows; rows are matched by id and blob, so repeated rows stay as they are.
     """
@@ -115,7 +119,7 @@ def redact(docs: DataFrame, paths: DataFrame, id_col: str = "doc_id", text_col:
     some = paths.where(F.size("spans") > 0).dropDuplicates([id_col, "blob"]).select(F.col(id_col).alias("_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     joined = docs.withColumn("_of", F.sha2(text, 256)).join(some, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_blob")), "left")
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(
+    step = lambda a, s: F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))).otherwise(F.struct(
         F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at")))
     done = lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
     new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("_spans", state, step, done))
