@@ -99,6 +99,57 @@ def test_exchange_raises_the_likelihood_and_finds_kinds():
     assert all(len(set(own[kind == k])) == 1 for k in range(3)) and len(set(own)) == 3
 
 
+def test_every_repeated_word_is_clustered(spark):
+    """Endings tell nothing of a word's kind here, and almost no word is among the units of the start."""
+    rng = random.Random(11)
+    kinds = [[f"w{kind}x{k:03d}" for k in range(100)] for kind in "abc"]
+    text = lambda n: " ".join(rng.choice(kinds[k % 3]) for k in range(n))
+    train = [(k, text(60)) for k in range(400)] + [(900, "onlyonce")]
+    docs = [(k, text(60)) for k in range(40)]
+    model, got = make(spark, train, docs, units=30)
+    count = check_base(train, docs, got)
+    assert model.units == sum(n > 1 for t, n in count.items() if t is not None)
+    held = dict(zip(map(int, model.held_words), model.unit_class[model.held_units]))
+    for kind in kinds:
+        of = Counter(held[hashed(w)] for w in kind)
+        assert sum(n for _, n in of.most_common(2)) >= 95
+    alone = make(spark, train, docs, units=30, passes=0)[1]
+    assert sum(r["score"] for r in got) > 0.9 * sum(r["score"] for r in alone)
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert all(math.isclose(by[i], plain_score(model, t, count), rel_tol=1e-9) for i, t in docs)
+
+
+def test_neighbour_counts_equal_brute_force(spark):
+    rng = random.Random(4)
+    train = [(k, grammar(rng, rng.randrange(3, 30))) for k in range(60)] + [(900, None), (901, "")]
+    text = cases.frame(spark, train).select("text").repartition(3)
+    vocab = sorted({hashed(t) for _, x in train for t in tokens(x) if t is not None})
+    words, buckets, classes = np.array(vocab[::2], np.uint64), 8, 5
+    own = np.array([k % classes for k in range(len(words) + buckets)], np.int16)
+    sc = spark.sparkContext
+    edges = np.unique(np.linspace(0, len(own), 8).astype(np.int64))
+    rows = text.mapInArrow(classlm._neighbour_counts(sc.broadcast(words), sc.broadcast(own), buckets, classes, edges), "part int, keys binary, n binary")
+    got = Counter()
+    for r in rows.groupBy("part").applyInArrow(classlm._merged, "part int, keys binary, n binary").collect():
+        keys, n = classlm._read(r["keys"], r["n"])
+        assert all(edges[r["part"]] <= k // (2 * classes + 2) < edges[r["part"] + 1] for k in keys)
+        got.update(dict(zip(keys.tolist(), n.tolist())))
+    at = {int(w): k for k, w in enumerate(words)}
+
+    def item(t):
+        (_, data, _), = T.text_chunks(pa.array([t]))
+        return at.get(hashed(t), len(words) + int(T.span_hashes(data, np.array([max(0, len(data) - 3)]), np.array([len(data)]))[0] % np.uint64(buckets)))
+
+    want = Counter()
+    for _, x in train:
+        line = [None if t is None else item(t) for t in tokens(x)]
+        for k, i in enumerate(line[:-1]):
+            klass = [classes if j is None else int(own[j]) for j in (line[k + 1], line[k - 1] if k else None)]
+            want[i * 2 * (classes + 1) + klass[0]] += 1
+            want[(i * 2 + 1) * (classes + 1) + klass[1]] += 1
+    assert got == want
+
+
 def test_nothing_to_learn_from(spark):
     model, got = make(spark, [], [(1, "a b"), (2, None)])
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == [(1, 3, 0, 0), (2, 1, 0, 0)]
