@@ -26,7 +26,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with cosine >= 0.95 of every vector: vec_id, n_links, component_id, kept."""
-    return multiindex.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return multiindex.near_vectors(_table(spark, sf_dir, "embeddings"), target_recall=1.0)
 
 
 def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

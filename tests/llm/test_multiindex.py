@@ -6,7 +6,7 @@ import cases
 import numpy as np
 import pytest
 
-from seqrec.llm import multiindex
+from seqrec.llm import multiindex, queries
 
 
 def brute(ids, x, cosine=0.95):
@@ -53,6 +53,26 @@ def test_recall_below_one_keeps_most_links(spark):
     assert all(got[i] <= n for i, n in links.items()) and sum(got.values()) >= 0.85 * sum(links.values())
 
 
+def test_registered_query_loses_no_link_of_unlike_directions(spark, tmp_path, monkeypatch):
+    """Partners that differ along the data's main directions, where the codewords lie too."""
+    rng = np.random.default_rng(1)
+    spread = np.arange(1, 65) ** -0.75
+    x = rng.normal(size=(6000, 64)) * spread
+    u = x[:60] / np.linalg.norm(x[:60], axis=1, keepdims=True)
+    away = rng.normal(size=u.shape) * spread
+    away -= (away * u).sum(1, keepdims=True) * u
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.concatenate([x, 0.952 * u + np.sqrt(1 - 0.952 ** 2) * away])
+    links, parts = brute(list(range(len(x))), x)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    bounds, of = [], multiindex._bound
+    monkeypatch.setattr(multiindex, "_bound", lambda *a: bounds.append(of(*a)) or bounds[-1])
+    got = queries.op2_multi_index(spark, str(tmp_path)).collect()
+    assert len(bounds) == 1 and bounds[0] >= 2 * (1 - 0.95)  # no link lies beyond
+    assert {r["vec_id"]: r["n_links"] for r in got} == links and sum(links.values()) >= 120
+    assert {r["vec_id"]: r["component_id"] for r in got} == parts
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]),
