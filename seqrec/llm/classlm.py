@@ -92,14 +92,25 @@ def _batches(part):
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(tail)], names=["word", "n", "tail"])
 
 
-def _find(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each hash in the sorted words, and whether it is there; looked up in order, which spares cache misses."""
-    if not len(words):
-        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    order = np.argsort(hashes)
-    at = np.empty(len(hashes), np.int64)
-    at[order] = np.minimum(np.searchsorted(words, hashes[order]), len(words) - 1)
-    return at, words[at] == hashes
+def _index(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """What _find() needs of the sorted words: the words and a last one, where each value of their leading bits begins, and
+    the shift to these bits."""
+    bits = max(1, len(words).bit_length() - 1)
+    shift = np.uint64(64 - bits)
+    starts = np.zeros((1 << bits) + 1, np.int32 if len(words) < 1 << 31 else np.int64)
+    np.cumsum(np.bincount((words >> shift).astype(np.int64), minlength=1 << bits), out=starts[1:])
+    return np.append(words, np.uint64((1 << 64) - 1)), starts, shift
+
+
+def _find(index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in the sorted words (one after the last included), and whether it is there."""
+    words, starts, shift = index
+    at = starts[hashes >> shift].astype(np.int64)
+    some = np.flatnonzero(words[at] < hashes)
+    while len(some):
+        at[some] += 1
+        some = some[words[at[some]] < hashes[some]]
+    return at, (words[at] == hashes) & (at < len(words) - 1)
 
 
 def _unit_pairs(words, unit_of, tail_of, end: int, buckets: int):
@@ -107,11 +118,11 @@ def _unit_pairs(words, unit_of, tail_of, end: int, buckets: int):
     total = end + 1
 
     def run(batches):
-        count = np.zeros(total * total, np.int64)
+        index, count = _index(words.value), np.zeros(total * total, np.int64)
         for batch in batches:
             for _, data, offsets in T.text_chunks(batch.column(0)):
                 hashes, tail, _ = _tokens(data, offsets, buckets)
-                at, hit = _find(words.value, hashes)
+                at, hit = _find(index, hashes)
                 unit = tail_of[tail].astype(np.int64)
                 unit[hit] = unit_of.value[at[hit]]
                 unit[hashes == END] = end
@@ -159,11 +170,11 @@ def _neighbour_counts(words, own, buckets: int, classes: int, edges: np.ndarray)
     wide = classes + 1
 
     def run(batches):
-        parts, size = [], 0
+        index, parts, size = _index(words.value), [], 0
         for batch in batches:
             for _, data, offsets in T.text_chunks(batch.column(0)):
                 hashes, tail, _ = _tokens(data, offsets, buckets)
-                at, hit = _find(words.value, hashes)
+                at, hit = _find(index, hashes)
                 item = np.where(hit, at, len(words.value) + tail.astype(np.int64))
                 klass = own.value[item].astype(np.int64)
                 inside = hashes != END
@@ -417,7 +428,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     @F.arrow_udf(kind)
     def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = value.value
-        words, counts, buckets, tail_class = m["held_words"], m["held_counts"], m["buckets"], m["tail_class"]
+        index, counts, buckets, tail_class = _index(m["held_words"]), m["held_counts"], m["buckets"], m["tail_class"]
         end_class = tail_class[-1]
         rid = TaskContext.get().partitionId() << 40
         for column in columns:
@@ -425,7 +436,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for _, data, offsets in T.text_chunks(column):
                 hashes, tail, first = _tokens(data, offsets, buckets)
                 rows, n = len(offsets) - 1, np.diff(first)
-                at, hit = _find(words, hashes)
+                at, hit = _find(index, hashes)
                 klass = tail_class[tail].astype(np.int64)
                 klass[hit] = m["held_class"][at[hit]]
                 klass[hashes == END] = end_class
