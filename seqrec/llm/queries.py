@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqrec.llm import classlm, langid, minhash, mixing, multiindex, packing, quality, secrets, toxicity, wrappers
+from seqrec.llm import (classlm, langid, minhash, mixing, multiindex, multiprobe, packing, quality, residentlloyd, secrets, toxicity, whitening,
+                        wrappers)
 from seqrec.llm.sql import SQL  # noqa: F401  (registered beside the queries)
 from seqrec.session import cut
 
@@ -104,4 +107,39 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made["rates"].select("doc_id", "n_tokens", *[F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(made["domains"])], "rate")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op3_class_lm, op4_wrappers, op5_quality, op6_language, op7_packing, op8_secrets, op9_toxicity, op10_mixing)}
+#: Labels up to which their sums are broadcast; beyond, Spark joins them.
+FEW_LABELS = 10_000
+
+
+def op11_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector: vec_id, code, error, label_error, codebooks_sha256."""
+    made = residentlloyd.compress(_table(spark, sf_dir, "embeddings"), keep=("label",))
+    digits = ",".join(str(v) for book in made["codebooks"] for v in book.reshape(-1))
+    codes = made["codes"].select("vec_id", F.array_join(F.transform("code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "").alias("code"), "error", F.col("kept.label").alias("label"))
+    codes = cut(codes, "codes")
+    most = F.lit((1 << 63) - 1).cast("decimal(38,0)")
+    sums = codes.groupBy("label").agg(F.least(F.sum(F.col("error").cast("decimal(19,0)")).cast("decimal(38,0)"), most).cast("bigint").alias("label_error"))
+    sums = cut(sums.withColumnRenamed("label", "of"), "label_sums")
+    if sums.count() <= FEW_LABELS:
+        sums = F.broadcast(sums)
+    return (codes.join(sums, codes["label"].eqNullSafe(F.col("of")))
+            .select("vec_id", "code", "error", "label_error", F.lit(hashlib.sha256(digits.encode()).hexdigest()).alias("codebooks_sha256")))
+
+
+def op12_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest inner product found for every vec_id divisible by 20: query_id, rank, vec_id, score."""
+    return multiprobe.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector: vec_id, component, n, deviation, whitened, explained, identity_error."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    explained = [float(e) / model["trace"] for e in model["eigenvalues"]] if model else []
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model["n"] if model else 0).cast("bigint").alias("n"), F.col("deviation").try_cast("bigint").alias("deviation"), "whitened",
+                       F.array(*[F.lit(e) for e in explained]).cast("array<double>")[F.col("at")].alias("explained"), F.lit(model["identity_error"] if model else 0.0).alias("identity_error"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_multi_index, op3_class_lm, op4_wrappers, op5_quality, op6_language, op7_packing, op8_secrets, op9_toxicity, op10_mixing, op11_resident_lloyd,
+                                   op12_multiprobe, op13_whitening)}

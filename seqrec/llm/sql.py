@@ -65,3 +65,29 @@ FROM D LEFT JOIN Z ON Z.r = D.r"""
 
 
 SQL = {"op2_multi_index": OP2, "op5_quality": quality_sql(), "op8_secrets": secrets_sql()}
+
+
+def lloyd_sql(positions: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """op11: every round assigns all parts to the nearest entry and averages them; squared distances of integers are exact in doubles."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""A{r} AS (SELECT r, p, x, arg_min(e, struct_pack(d := d, e := e)) AS e, min(d) AS d FROM (
+  SELECT P.r, P.p, P.x, B.e, list_sum(list_transform(list_zip(P.x, B.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM P JOIN B{r} B ON B.p = P.p) GROUP BY r, p, x)""")
+        if r < rounds:
+            steps.append(f"""M{r} AS (SELECT p, e, list(m ORDER BY j) AS x FROM (
+  SELECT p, e, j, CAST(floor(sum(v) / count(*)) AS DOUBLE) AS m FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM A{r}) GROUP BY p, e, j) GROUP BY p, e),
+B{r + 1} AS (SELECT B.p, B.e, coalesce(M.x, B.x) AS x FROM B{r} B LEFT JOIN M{r} M ON M.p = B.p AND M.e = B.e)""")
+    return f"""WITH V AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: floor({scale} * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+P AS (SELECT r, p, x[p * (len(x) // {positions}) + 1:(p + 1) * (len(x) // {positions})] AS x FROM V, (SELECT unnest(range({positions})) AS p)),
+S AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM V),
+B0 AS (SELECT p, e, x FROM P JOIN S ON S.r = P.r AND S.e < {entries}),
+{''',
+'''.join(steps)},
+C AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM A{rounds} GROUP BY r),
+L AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM C JOIN V ON V.r = C.r GROUP BY label),
+K AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS h FROM (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM B{rounds}))
+SELECT vec_id, code, error, label_error, h AS codebooks_sha256 FROM C JOIN V ON V.r = C.r JOIN L ON L.label IS NOT DISTINCT FROM V.label, K"""
+
+
+SQL["op11_resident_lloyd"] = lloyd_sql()
