@@ -5,7 +5,7 @@ product is the smallest distance.  Each of several tables hashes them by functio
 directions a; a bucket is one value of all functions.  For a neighbour at a wanted nearness c of a query q, a.x is
 normal around c * a.q, so the chance that it lies in a bucket is a product over the functions.  A query visits buckets in falling order of
 their estimated success (this chance against the chance of any vector to lie there, that is, hits for each member read) until the buckets visited would
-hold the neighbour with the probability that the target recall asks of one table.  The order is kept as a
+hold the neighbour with a wanted probability, the least at which queries of a bounded sample find the target share of theirs.  The order is kept as a
 threshold, so empty buckets cost nothing; buckets that agree in the first functions make a page, and a query goes only to pages that
 can hold a bucket above its threshold.  Candidates of all tables are merged and ranked by their exact inner products.
 """
@@ -62,21 +62,37 @@ class Tables:
             for j in range(k):
                 share[t, j] = np.bincount(raw[t, :, j] - self.low[t, j], minlength=self.slots)
         self.log_share = np.log((share + 0.5) / (len(x) + 0.5 * self.slots))
-        self.near = self._nearness(sample, n, nearest, rng)
-        self.success = 1 - (1 - target_recall) ** (1 / tables)
-
-    def _nearness(self, sample: np.ndarray, n: int, nearest: int, rng) -> float:
-        """Cosine on the sphere that nine tenths of the sampled queries' wanted neighbours reach, as far as the sample can tell.
-
-        The `nearest`-th of all vectors is about the (nearest * share)-th of the sample; a sample too small for that gives
-        its own nearest, which lies farther off and makes queries visit more than they need."""
-        q = sample[rng.permutation(len(sample))[:256]]
-        rank = min(max(1, round(nearest * len(sample) / n)), len(sample) - 1)
-        if not rank:
-            return 0.0
-        s = self.queries(q) @ self.members(sample).T
-        s = np.sort(s, axis=1)[:, -rank - 1]  # one more, since the query itself is there
-        return float(np.clip(np.quantile(s, 0.1), 0.0, 0.999))
+        self.near, self.success = 0.0, 1.0
+        self._calibrate(sample, n, nearest, target_recall, rng)
+
+    def _calibrate(self, sample: np.ndarray, n: int, nearest: int, target_recall: float, rng) -> None:
+        """Nearness of wanted neighbours, and the least success at which sampled queries find the wanted share of theirs.
+
+        The `nearest` of all vectors are about the first (nearest * share) of the sample; a sample too small for that gives
+        its own nearest, which lies farther off and makes queries visit more than they need.  The nearness is the cosine on the sphere that nine tenths of the
+        sampled queries' last wanted neighbours reach."""
+        taken = rng.permutation(len(sample))[:256]
+        q, rank = self.queries(sample[taken]), min(max(1, round(nearest * len(sample) / n)), len(sample) - 1)
+        if not rank or target_recall >= 1:
+            return
+        members = self.members(sample)
+        s = q @ members.T
+        s[np.arange(len(q)), taken] = -np.inf
+        wanted = np.argsort(-s, axis=1, kind="stable")[:, :rank]
+        self.near = float(np.clip(np.quantile(np.take_along_axis(s, wanted[:, -1:], 1), 0.1), 0.0, 0.999))
+        drawn, held = [], []
+        for t in range(self.tables):
+            scores = self.scores(q, t)
+            slots = self.values(members[wanted.reshape(-1)], t).reshape(*wanted.shape, -1)
+            drawn.append(self._drawn(q, t, scores))
+            held.append(sum(np.take_along_axis(scores[:, j], slots[:, :, j], 1) for j in range(self.functions)))
+        for success in (*np.arange(0.05, 0.9, 0.025), *np.arange(0.9, 0.998, 0.0075)):
+            found = np.zeros(wanted.shape, bool)
+            for totals, own in zip(drawn, held):
+                found |= own >= self._least(totals, success)[:, None]
+            if found.mean() >= target_recall:
+                self.success = float(success)
+                return
 
     def members(self, x: np.ndarray) -> np.ndarray:
         x = x / self.longest
@@ -109,12 +125,22 @@ class Tables:
 
     def thresholds(self, queries: np.ndarray, t: int, scores: np.ndarray) -> np.ndarray:
         """Least score of the buckets to visit, so that they hold the wanted share of drawn neighbours."""
+        return self._least(self._drawn(queries, t, scores), self.success)
+
+    @staticmethod
+    def _least(totals: np.ndarray, success: float) -> np.ndarray:
+        if success >= 1:
+            return np.full(len(totals), -np.inf)
+        return np.quantile(totals, 1 - success, axis=1, method="lower") - 1e-9
+
+    def _drawn(self, queries: np.ndarray, t: int, scores: np.ndarray) -> np.ndarray:
+        """(query, draw): score of the bucket in which a drawn neighbour lies."""
         drawn = self.near * (queries @ self.a[t].T)[:, None] + math.sqrt(1 - self.near ** 2) * self.draws[None]
         slot = (np.clip(np.floor((drawn + self.b[t]) / self.width), self.low[t], self.high[t]) - self.low[t]).astype(np.int64)
         total = np.zeros(slot.shape[:2])
         for j in range(self.functions):
             total += np.take_along_axis(scores[:, j], slot[:, :, j], 1)
-        return np.quantile(total, 1 - self.success, axis=1, method="lower") - 1e-9
+        return total
 
     def visited_pages(self, scores: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, page) of the pages that may hold a bucket at or above the query's threshold."""
@@ -222,8 +248,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, id_
     """query_id, rank, vec_id, score: for each query its `nearest` rows of largest inner product among the visited, ties to smaller vec_id.
 
     Queries are the rows for which `query_where` holds of their vec_id; candidates are all other rows.  Every vector is in every table; what is
-    fitted on a hash sample of about `sample` vectors (all, if there are fewer) are the nearness of wanted neighbours and how full slots are.  `target_recall` is the probability that the
-    tables together visit a neighbour of that nearness.  A query that its visits leave with fewer than `nearest` candidates
+    fitted on a hash sample of about `sample` vectors (all, if there are fewer) are the nearness of wanted neighbours, how full slots are and how far queries must go for `target_recall`; at 1
+    every bucket is visited.  A query that its visits leave with fewer than `nearest` candidates
     is searched again over all vectors in blocks, so it gets all there are.
 
     Vectors that are null, empty, zero, hold null or non-finite components, have a null vec_id, or differ in length from the commonest (the shorter on
@@ -255,7 +281,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame | None = None, id_
         taken = groups.select("vec").limit(1).toArrow()
     hashes = Tables(matrix(taken["vec"]), whole["longest"] * (1 + 1e-12), whole["n"], nearest, tables, target_recall, width, page_rows, seed)
     if info is not None:
-        info.update(vectors=whole["n"], nearness=hashes.near, functions=hashes.functions, slots=hashes.slots, page_functions=hashes.first)
+        info.update(vectors=whole["n"], nearness=hashes.near, success=hashes.success, functions=hashes.functions, slots=hashes.slots, page_functions=hashes.first)
 
     def filed(batches):
         for batch in batches:

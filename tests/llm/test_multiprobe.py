@@ -36,7 +36,7 @@ def test_all_buckets_visited_is_the_exact_search(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 12)) * rng.gamma(2, 1, size=(300, 1))  # unequal lengths: the largest product, not the nearest direction
     rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(300), x)]
-    got = result(multiprobe.nearest_neighbours(frame(spark, rows), target_recall=1 - 1e-12, page_rows=64))
+    got = result(multiprobe.nearest_neighbours(frame(spark, rows), target_recall=1.0, page_rows=64))
     assert got == brute(rows)
 
 
@@ -87,6 +87,7 @@ def test_success_of_drawn_neighbours_is_what_was_asked():
     hit = []
     for seed in range(4):
         hashes = multiprobe.Tables(x, 1.0, len(x), 20, 2, 0.9, 2.5, 4096, seed)
+        hashes.success = 1 - 0.1 ** 0.5
         q = hashes.queries(x[:150])
         away = rng.normal(size=q.shape)
         away -= (away * q).sum(1, keepdims=True) * q
@@ -110,7 +111,7 @@ def test_copies_ties_and_hot_pages(spark, monkeypatch):
     one = rng.normal(size=6).round(2)
     x = [one.tolist()] * 130 + (rng.normal(size=(60, 6)).round(1)).tolist() + [(one + d).tolist() for d in rng.normal(size=(150, 6)) * 0.01]
     rows = [(i, v) for i, v in enumerate(x)] + [(20, x[3]), (20, x[150]), (40, x[40])]
-    assert result(multiprobe.nearest_neighbours(frame(spark, rows), target_recall=1 - 1e-12, page_rows=32)) == brute(rows)
+    assert result(multiprobe.nearest_neighbours(frame(spark, rows), target_recall=1.0, page_rows=32)) == brute(rows)
 
 
 def test_fewer_candidates_than_asked_and_missed_ones(spark):

@@ -94,7 +94,7 @@ def test_large_components_stay_exact(spark):
 
 
 def test_residents_are_read_by_owner_without_an_exchange(spark, capsys):
-    rows = [(i, [float(i % 7), float(i % 5), 1.0, 2.0]) for i in range(60)]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).normal(size=(100, 8)))]
     plans = []
     real = residentlloyd._Resident.__init__
 
