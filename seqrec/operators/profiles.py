@@ -7,7 +7,7 @@ one value.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqrec.operators import scan
@@ -56,11 +56,11 @@ def item_catalog(df: DataFrame) -> DataFrame:
     return df.select("item_id").distinct()
 
 
-def recent_items(events: DataFrame, targets: DataFrame, n: int = 3) -> DataFrame:
+def recent_items(events: DataFrame, targets: DataFrame | Column, n: int = 3) -> DataFrame:
     """The last ``n`` items consumed strictly before each target event.
 
     ``events`` is the growing history (training plus test), ``targets`` the
-    events to look back from.  Returns ``(event_id, user_id, back, item_id)``
+    events to look back from, as a condition on ``events`` or a table.  Returns ``(event_id, user_id, back, item_id)``
     with ``back = 1`` the latest.
     """
     return scan.recent_items(events, targets, n)

@@ -178,7 +178,7 @@ def q_recent_items(spark, sf):
     split = _split_e(spark, sf)
     train = SP.train_part(split)
     known = split.join(train.select("user_id").distinct(), "user_id", "left_semi")
-    return PR.recent_items(known, SP.test_part(known), P.EMB_RECENT)
+    return PR.recent_items(known, F.col("is_test"), P.EMB_RECENT)
 
 
 @query("sample_items")

@@ -30,7 +30,7 @@ def recommend_embeddings(ratings: DataFrame, vectors: DataFrame, ranks: DataFram
     users = train.select("user_id").distinct()
     known = split.join(users, "user_id", "left_semi")
     targets = test.join(users, "user_id", "left_semi")
-    pos = recent_items(known, targets, recent).select("event_id", "item_id")
+    pos = recent_items(known, F.col("is_test"), recent).select("event_id", "item_id")
     unit = normalize_vectors(vectors)
     q = query_vectors(pos, unit, ranks)
     cand = most_similar(q, unit, ranks, topn)

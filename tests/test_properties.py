@@ -65,18 +65,96 @@ def test_versioned_refresh_equals_replay(spark, seed, every):
     assert got == {k: v for k, v in per_event.items() if v}
 
 
-@pytest.mark.parametrize("seed,bucket", [(11, 7), (12, 50)])
-def test_bucketed_scan_blocks_equal_windows(spark, seed, bucket):
+def _partitions(spark, n):
+    """Scans over n partitions, however few rows there are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+
+
+@pytest.fixture
+def split_scans(spark):
+    yield lambda n: _partitions(spark, n)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _blocks_in_order(rows, gap, flush_open=False):
+    """The block rule, event by event: {event_id: (block_id, n, idx, size)} of blocks that close."""
+    out, open_, number = {}, defaultdict(list), defaultdict(int)
+
+    def close(user):
+        block = open_.pop(user)
+        for n, (item, ts, event) in enumerate(block):
+            out[event] = (number[user], n, next(k for k, b in enumerate(block) if b[:2] == (item, ts)), len(block))
+        number[user] += 1
+
+    for user, item, _, ts, event in sorted(rows, key=lambda r: (r[0], r[3], r[4])):
+        if len(open_[user]) > 1 and ts - open_[user][-1][1] > gap:
+            close(user)
+        open_[user].append((item, ts, event))
+    for user in list(open_) if flush_open else []:
+        close(user)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_scan_of_any_cut_equals_the_rule(seed):
+    """Partitions cut at any place between different times, folded and scanned, against the rule event by event."""
+    import pyarrow as pa
+
     from seqrec.operators import scan as SC
+    rng = random.Random(seed)
+    users = rng.choice([1, 2, 5])
+    rows, ts = [], 0
+    for k in range(rng.choice([1, 5, 60])):
+        ts += rng.choice([0, 0, 1, 3, 11, 30])
+        rows.append((rng.randrange(users), rng.randrange(4), 1.0, ts, k))
+    rows.sort(key=lambda r: (r[0], r[3], r[4]))
+    cuts = [k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0] or rows[k][3] != rows[k - 1][3]]
+    cuts = [0, *sorted(rng.sample(cuts, min(len(cuts), rng.choice([0, 1, 4, 60])))), len(rows)]
+    rule = SC._Rule("user_id", "ts", 10, absorb=True)
+    tables = [pa.table(dict(zip(("user_id", "item_id", "rating", "ts", "event_id"), map(list, zip(*rows[a:b]))))) for a, b in zip(cuts, cuts[1:])]
+    carries = SC._fold([SC._summary(t, rule) for t in tables], rule)
+    for flush in (False, True):
+        got = {}
+        for table, carry in zip(tables, carries):
+            made = SC._segmented(table, rule, carry, "item_id")
+            for k, event in enumerate(table["event_id"].to_pylist()):
+                if flush or made["closed"][k]:
+                    got[event] = tuple(int(made[c][k]) for c in ("segment", "n", "idx", "size"))
+        assert got == _blocks_in_order(rows, 10, flush)
+
+
+@pytest.mark.parametrize("seed,parts", [(11, 3), (12, 11)])
+def test_scan_blocks_equal_the_rule(spark, split_scans, seed, parts):
+    split_scans(parts)
     rows = random_log(seed, users=4)
     df = to_df(spark, rows)
-    cols = ["user_id", "block_id", "n", "idx", "item_id", "ts", "event_id", "block_size"]
-    win = sorted(tuple(r) for r in B.consumption_blocks(df, 10).select(*cols).collect())
-    scan = sorted(tuple(r) for r in SC.consumption_blocks(df, 10, bucket_rows=bucket).select(*cols).collect())
-    assert win == scan
+    for flush in (False, True):
+        want = _blocks_in_order([(r["user_id"], r["item_id"], r["rating"], r["ts"], r["event_id"]) for r in df.collect()], 10, flush)
+        got = {r["event_id"]: (r["block_id"], r["n"], r["idx"], r["block_size"]) for r in B.consumption_blocks(df, 10, flush_open=flush).collect()}
+        assert got == want and want
+
+
+def test_one_range_shuffle_for_each_scan(spark, monkeypatch):
+    """All exchange happens before the sorted partitions are written; what follows reads them as they lie."""
+    from seqrec.operators import scan as SC
+    df = to_df(spark, random_log(13, users=3))
+    plans = []
+    real = SC.sorted_partitions
+
+    def kept(frame, order, together=None):
+        plans.append(frame.repartitionByRange(*list(order)[:together]).sortWithinPartitions(*order)._jdf.queryExecution().toString())
+        return real(frame, order, together)
+
+    monkeypatch.setattr(SC, "sorted_partitions", kept)
+    for made in (B.consumption_blocks(df, 10), SC.positions(df), B.gap_sessions(df, 10)):
+        after = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in after and "Window" not in after and "Join" not in after
+    assert len(plans) == 3 and all(p.split("== Physical Plan ==")[1].count("Exchange rangepartitioning") == 1 for p in plans)
 
 
-def test_positions_equal_window(spark):
+def test_positions_equal_window(spark, split_scans):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -84,11 +162,12 @@ def test_positions_equal_window(spark):
     df = to_df(spark, random_log(14, users=3))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     win = sorted(tuple(r) for r in df.withColumn("pos", place.cast("bigint")).collect())
-    for rows in (1, 9, 1000):
-        assert sorted(tuple(r) for r in SC.positions(df, bucket_rows=rows).select(*df.columns, "pos").collect()) == win
+    for parts in (1, 9, 40):
+        split_scans(parts)
+        assert sorted(tuple(r) for r in SC.positions(df).select(*df.columns, "pos").collect()) == win
 
 
-def test_gap_sessions_equal_window_at_any_bucket(spark):
+def test_gap_sessions_equal_window_at_any_partition(spark, split_scans):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -102,11 +181,12 @@ def test_gap_sessions_equal_window_at_any_bucket(spark):
     d = d.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("ts", "event_id")) - 1)
     win = sorted(tuple(r) for r in d.select(*cols).collect())
     assert sorted(tuple(r) for r in B.gap_sessions(df, 10).select(*cols).collect()) == win
-    for rows in (1, 7):
-        assert sorted(tuple(r) for r in SC.gap_segments(df, 10, bucket_rows=rows).select(*cols).collect()) == win
+    for parts in (1, 30):
+        split_scans(parts)
+        assert sorted(tuple(r) for r in SC.gap_segments(df, 10).select(*cols).collect()) == win
 
 
-def test_recent_items_equal_window(spark):
+def test_recent_items_equal_window(spark, split_scans):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
@@ -117,6 +197,9 @@ def test_recent_items_equal_window(spark):
     lagged = df.select("event_id", "user_id", *[F.lag("item_id", k).over(w).alias(f"b{k}") for k in (1, 2, 3)]).where(F.col("event_id") % 3 == 0)
     win = sorted((r["event_id"], r["user_id"], k, r[f"b{k}"]) for r in lagged.collect() for k in (1, 2, 3) if r[f"b{k}"] is not None)
     assert sorted(tuple(r) for r in recent_items(df, targets, 3).collect()) == win and len(win) > 0
+    for parts in (5, 60):
+        split_scans(parts)
+        assert sorted(tuple(r) for r in recent_items(df, F.col("event_id") % 3 == 0, 3).collect()) == win
 
 
 @pytest.mark.parametrize("seed", [18, 19])
