@@ -2,27 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+from seqrec.session import ship
 
-from pyspark.sql import SparkSession
-
-import seqrec
-
-
-def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_seqrec_shipped", False):
-        return
-    top = os.path.dirname(os.path.abspath(seqrec.__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="seqrec-src-"), "seqrec_src.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._seqrec_shipped = True
+__all__ = ["ship"]

@@ -46,17 +46,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words_left >= 0.5 * n_words AND n_words_left >= 10 AS kept, n_words_left FROM O"""
 
 
+# Rule pem without possessive quantifiers and look-aheads, which DuckDB's patterns lack: a body holds no run of five dashes, and the last base64
+# line takes the end of its line along, which _TAIL cuts off again.
+_GAP, _CODE, _EOL = r"""(?:[\x20\t\n\x0B\f\r>#*|"',]|\\[nr]|\+[\x20\t\n\x0B\f\r])*""", "[A-Za-z0-9+/=]", r"""[\x20\t"',]*(?:\\[nr]|[\r\n]|\z)"""
+PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]*PRIVATE KEY-----|"
+       rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:(?:{_GAP}(?:{_CODE}{{32,}}|{_CODE}{{16,}}{_EOL}))+(?:{_GAP}{_CODE}+{_EOL})?)?)")
+_TAIL = rf"({_CODE})" + r"""(?:[\x20\t"',\r\n]|\\[nr])+\z"""
+
+
+def _pattern(rule: secrets.Rule) -> str:
+    return PEM if rule.kind == "pem" else rule.pattern
+
+
+def _hits(rule: secrets.Rule) -> str:
+    """The matches, without what the pattern above takes too much."""
+    hits = f"regexp_extract_all(text, {_text(_pattern(rule))})"
+    return f"list_transform({hits}, lambda h: regexp_replace(h, {_text(_TAIL)}, '\\1'))" if rule.kind == "pem" else hits
+
+
 def secrets_sql() -> str:
     """op8: a match begins after all pieces and matches before it, pieces being what splitting at the pattern leaves."""
     parts = "\nUNION ALL ".join(
-        f"""SELECT r, {no} AS no, '{rule.kind}' AS kind, string_split_regex(text, {_text(rule.pattern)}) AS gaps, regexp_extract_all(text, {_text(rule.pattern)}) AS hits,
-       regexp_extract_all(text, {_text(rule.pattern)}, {rule.group}) AS parts, {rule.least} AS least FROM D WHERE regexp_matches(text, {_text(rule.pattern)})"""
+        f"""SELECT r, {no} AS no, '{rule.kind}' AS kind, string_split_regex(text, {_text(_pattern(rule))}) AS gaps, regexp_extract_all(text, {_text(_pattern(rule))}) AS taken, {_hits(rule)} AS hits,
+       regexp_extract_all(text, {_text(_pattern(rule))}, {rule.group}) AS parts, {rule.least} AS least FROM D WHERE regexp_matches(text, {_text(_pattern(rule))})"""
         for no, rule in enumerate(secrets.RULES))
     counts = ", ".join(f"CAST(count(*) FILTER (WHERE no = {no}) AS BIGINT) AS n_{rule.kind}" for no, rule in enumerate(secrets.BASE))
     return f"""WITH D AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 M AS ({parts}),
 K AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM M),
-X AS (SELECT r, no, kind, CAST(length(array_to_string(gaps[1:k], '')) + length(array_to_string(hits[1:k], '')) AS BIGINT) AS e, length(hits[k]) AS n
+X AS (SELECT r, no, kind, CAST(length(array_to_string(gaps[1:k], '')) + length(array_to_string(taken[1:k], '')) - length(taken[k]) + length(hits[k]) AS BIGINT) AS e, length(hits[k]) AS n
       FROM K WHERE length(parts[k]) >= least),
 Y AS (SELECT r, no, e - n AS s, kind || ':' || (e - n) || ':' || e AS span FROM X),
 Z AS (SELECT r, {counts}, string_agg(span, ',' ORDER BY s, no) FILTER (WHERE no < {len(secrets.BASE)}) AS base, string_agg(span, ',' ORDER BY s, no) AS spans FROM Y GROUP BY r)
