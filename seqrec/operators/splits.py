@@ -14,25 +14,33 @@ from pyspark.sql import functions as F
 STEP_BUCKETS = 1 << 14
 
 
-def _rank_in_histogram(df: DataFrame, name: str, n: int) -> tuple[int, int]:
-    """(value, rank inside it) of the ``n``-th largest value of an integer column, ``1 <= n <= rows``.
+def _nth_largest(keys: DataFrame, n: int, rows: int, lo: int, hi: int) -> tuple[int, int]:
+    """The ``n``-th largest ``(ts, event_id)`` of ``rows`` keys with ``lo <= ts <= hi``, ``1 <= n <= rows``.
 
-    One histogram of ``STEP_BUCKETS`` equal ranges finds the range that holds the value, the next one splits that
-    range, until a range is one value.  64 bits take five steps at most; every step is one partial aggregation.
+    One histogram of ``STEP_BUCKETS`` equal ranges finds the range that holds the key; the next one splits that
+    range, first of ``ts``, then, among equal times, of ``event_id``.  As soon as a range holds no more than ``STEP_BUCKETS`` keys,
+    they are read themselves.  Every step is one partial aggregation; what reaches the driver is bounded.
     """
-    value = F.col(name)
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
-    lo, hi = ends["lo"], ends["hi"]
-    while lo < hi:
+    name = "ts"
+    while rows > STEP_BUCKETS:
+        if lo == hi and name == "ts":
+            name, keys = "event_id", keys.where(F.col("ts") == F.lit(lo))
+            ends = keys.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+            lo, hi = ends["lo"], ends["hi"]
+        if lo == hi:  # repeated keys
+            break
         width = (hi - lo) // STEP_BUCKETS + 1
-        inside = df.where((value >= F.lit(lo)) & (value <= F.lit(hi)))
+        inside = keys.where((F.col(name) >= F.lit(lo)) & (F.col(name) <= F.lit(hi)))
         counts = inside.groupBy(F.expr(f"({name} - ({lo}L)) div {width}L").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-        for b, c in sorted(((r["b"], r["c"]) for r in counts.collect()), reverse=True):
-            if n <= c:
+        for b, rows in sorted(((r["b"], r["c"]) for r in counts.collect()), reverse=True):
+            if n <= rows:
                 break
-            n -= c
+            n -= rows
         lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
-    return lo, n
+    inside = keys.where((F.col(name) >= F.lit(lo)) & (F.col(name) <= F.lit(hi)))
+    if rows > STEP_BUCKETS:
+        return tuple(inside.select("ts", "event_id").first())
+    return sorted(map(tuple, inside.select("ts", "event_id").collect()), reverse=True)[n - 1]
 
 
 def _newest_boundary(df: DataFrame, n: int | None, test_pct: int | None) -> Column:
@@ -43,13 +51,12 @@ def _newest_boundary(df: DataFrame, n: int | None, test_pct: int | None) -> Colu
     if (n is None) == (test_pct is None):
         raise ValueError("give exactly one of n or test_pct")
     keys = df.select("ts", "event_id")
-    sizes = keys.agg(F.count(F.lit(1)).alias("all"), F.count("ts").alias("timed")).first()
-    n = int(n) if n is not None else (sizes["all"] * int(test_pct)) // 100
-    n = min(n, sizes["timed"])
+    whole = keys.agg(F.count(F.lit(1)).alias("all"), F.count("ts").alias("timed"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    n = int(n) if n is not None else (whole["all"] * int(test_pct)) // 100
+    n = min(n, whole["timed"])
     if n <= 0:
         return F.lit(None).cast("struct<ts:bigint,event_id:bigint>")
-    ts, left = _rank_in_histogram(keys.where("ts is not null"), "ts", n)
-    event_id, _ = _rank_in_histogram(keys.where(F.col("ts") == F.lit(ts)), "event_id", left)
+    ts, event_id = _nth_largest(keys.where("ts is not null"), n, whole["timed"], whole["lo"], whole["hi"])
     return F.struct(F.lit(ts).cast("bigint").alias("ts"), F.lit(event_id).cast("bigint").alias("event_id"))
 
 
