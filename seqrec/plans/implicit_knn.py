@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqrec.operators.decay import pseudo_ratings
-from seqrec.operators.neighbors import cosine_user_similarity, jaccard_user_similarity
+from seqrec.operators.knn import top_k_users
 from seqrec.operators.splits import time_boundary
 from seqrec.operators.topk import topk_per_key
 from seqrec.session import cut
@@ -29,11 +29,8 @@ class ImplicitParams:
 def knn_network(train: DataFrame, t0, p: ImplicitParams) -> DataFrame:
     """``(user_id, neighbor_id, score, rank)``: top-k users by the chosen measure."""
     if p.measure == "jaccard":
-        sim = jaccard_user_similarity(train)
-    else:
-        sim = cosine_user_similarity(pseudo_ratings(train, t0, p.day_units, p.phase_days))
-    s = sim.select(F.col("user_a").alias("user_id"), F.col("user_b").alias("neighbor_id"), "score")
-    return topk_per_key(s, "user_id", "neighbor_id", "score", p.k)
+        return top_k_users(train.select("user_id", "item_id").distinct().withColumn("weight", F.lit(1.0)), p.k, "jaccard")
+    return top_k_users(pseudo_ratings(train, t0, p.day_units, p.phase_days), p.k)
 
 
 def recommend_implicit_knn(train: DataFrame, test: DataFrame, net: DataFrame, n: int) -> DataFrame:
