@@ -1,22 +1,24 @@
-"""Exact top-k neighbours of users without all pairs.
+"""Users' nearest neighbours as a blocked product, without a table of pairs.
 
-Users are laid out so that holders of the same rare item lie together, and cut
-into blocks.  The inverted list of an item is kept per block with the largest
+A user is a sparse vector over items (or over any key, such as item pairs).  Users are laid out so that holders of the same
+rare item lie together, and cut into blocks.  The inverted list of an item is kept per block with the largest
 weight in it, so that
 
     bound(u, B) = sum over u's items i of w(u, i) * largest weight of i in B
 
-is no less than u's product with any member of block B.  Scores rise with the
-product, and a block is visited only if its bound can reach the user's running
-k-th score.  Round 0 lets every user visit the block with its best bound,
-which gives a first k-th score; the rest of the visits follow from it.  A visit
-multiplies whole blocks in a task, item by item through the lists
-of both sides, and emits only members that reach the user's k-th score so
-far, at most k of them: no table of pairs is written, shuffled or mirrored.
+is no less than u's product with any member of block B.  Scores rise with the product, and a block is visited only
+if its bound can reach the user's running k-th score.  Round 0 lets every user visit the block with its best bound,
+which gives a first k-th score; the rest of the visits follow from it.  A visit multiplies whole blocks in a task,
+item by item through the lists of both sides, and emits only members that reach the user's k-th score so far, at
+most k of them.
+
+Entries may be born at versions; a visit then adds the versions' increments one after another and emits the best of each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,126 +32,181 @@ SCORE_DIGITS = 6
 #: Scores are rounded before they are compared, so a bound may fall short by half a digit.
 _HALF = 0.6 * 10.0 ** -SCORE_DIGITS
 #: Visitors of a block in one task, and scored at once.
-VISITORS, _CHUNK = 2048, 512
-
-
-def _layout(weights: DataFrame, measure: str, block_users: int) -> DataFrame:
-    """``(user_id, item_id, weight, size, block)``: entries with their user's norm (or item count) and block."""
-    lists = weights.groupBy("item_id").agg(F.count(F.lit(1)).alias("_len"))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if measure == "cosine" else F.count(F.lit(1)).cast("double")
-    users = (weights.join(lists, "item_id").groupBy("user_id")
-             .agg(norm.alias("size"), F.min(F.struct("_len", "item_id")).alias("_a"))
-             .select("user_id", "size", F.col("_a._len").alias("_len"), F.col("_a.item_id").alias("_rare")))
-    placed = global_ordinal(users, ["_len", "_rare", "user_id"], out="_o")
+VISITORS, _CHUNK = 2048, 256
+
+
+def _layout(weights: DataFrame, measure: str, block_users: int, item_cols: Sequence[str]) -> DataFrame:
+    """``(user_id, item, weight, born, size, block)``: entries with their user's norm (or item count) and block.
+
+    Items that one user alone holds make no pair; they count in the sizes only."""
+    born = F.col("born").cast("int") if "born" in weights.columns else F.lit(0)
+    weight = F.col("weight").cast("double") if "weight" in weights.columns else F.lit(1.0)
+    w = cut(weights.select("user_id", *item_cols, weight.alias("weight"), born.alias("born")), "knn-weights")
+    lists = w.groupBy(*item_cols).agg(F.count(F.lit(1)).alias("_len")).where(F.col("_len") > 1)
+    lists = cut(lists.withColumn("item", F.monotonically_increasing_id()), "knn-lists")
+    shared = w.join(lists, list(item_cols)).select("user_id", "item", "weight", "born", "_len")
+    users = shared.groupBy("user_id").agg(F.min(F.struct("_len", "item")).alias("_a"))
+    if measure != "count":
+        size = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if measure == "cosine" else F.count(F.lit(1)).cast("double")
+        users = users.join(w.groupBy("user_id").agg(size.alias("size")), "user_id")
+    else:
+        users = users.withColumn("size", F.lit(0.0))
+    placed = global_ordinal(users.select("user_id", "size", F.col("_a._len").alias("_len"), F.col("_a.item").alias("_rare")), ["_len", "_rare", "user_id"], out="_o")
     blocks = placed.select("user_id", "size", F.floor(F.col("_o") / F.lit(block_users)).cast("bigint").alias("block"))
-    return cut(weights.select("user_id", "item_id", F.col("weight").cast("double").alias("weight")).join(blocks, "user_id"), "knn-entries")
+    return cut(shared.drop("_len").join(blocks, "user_id"), "knn-entries")
 
 
 def _bounds(entries: DataFrame, measure: str) -> DataFrame:
     """``(user_id, block, bound)``: what no score of the user with a member of the block exceeds."""
-    lists = (entries.groupBy("item_id", F.col("block").alias("of"))
-             .agg(F.max(F.col("weight") / F.col("size") if measure == "cosine" else F.lit(1.0)).alias("top")))
-    smallest = entries.groupBy(F.col("block").alias("of")).agg(F.min("size").alias("least"))
-    mine = F.col("weight") / F.col("size") if measure == "cosine" else F.lit(1.0)
-    sums = (entries.join(lists, "item_id").groupBy("user_id", "of")
-            .agg(F.sum(mine * F.col("top")).alias("sum"), F.first("size").alias("size")))
-    if measure == "cosine":
-        bound = F.least(F.col("sum"), F.lit(1.0))
-    else:  # common items are at most `sum`, and the other user has at least as many
+    unit = F.col("weight") / F.col("size") if measure == "cosine" else F.lit(1.0)
+    lists = entries.groupBy("item", F.col("block").alias("of")).agg(F.max(unit).alias("top"))
+    sums = entries.join(lists, "item").groupBy("user_id", "of").agg(F.sum(unit * F.col("top")).alias("sum"), F.first("size").alias("size"))
+    if measure == "jaccard":  # common items are at most `sum`, and the other user has at least as many
+        smallest = entries.groupBy(F.col("block").alias("of")).agg(F.min("size").alias("least"))
         sums = sums.join(smallest, "of")
         bound = F.col("sum") / (F.col("size") + F.greatest("sum", "least") - F.col("sum"))
+    else:
+        bound = F.col("sum")
     return sums.select("user_id", F.col("of").alias("block"), (bound + F.lit(_HALF)).alias("bound"))
 
 
-def _visit(measure: str, k: int):
-    """The best members of one block for each visitor, among those that reach the visitor's k-th score so far."""
-    schema = pa.schema([("user_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
+def _scores(measure: str, product: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    if measure == "count":
+        return product
+    score = np.zeros_like(product)
+    np.divide(product, mine * theirs if measure == "cosine" else mine + theirs - product, out=score, where=product > 0)
+    return np.floor(score * 10 ** SCORE_DIGITS + 0.5) / 10 ** SCORE_DIGITS
+
+
+def _best(score: np.ndarray, floor: np.ndarray, k: int | None, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of each row's ``k`` best positive scores that reach its floor, ties to the smaller member."""
+    least = np.maximum(floor, np.finfo(float).tiny)
+    if k is not None and k < score.shape[1]:
+        least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
+    i, j = np.nonzero(score >= least[:, None])
+    found = score[i, j]
+    if k is None:
+        return i, j, found
+    order = np.lexsort((member[j], -found, i))
+    i, j, found = i[order], j[order], found[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], found[kept]
+
+
+def _visit(measure: str, k: int | None, versions: int):
+    """The best members of one block for each visitor and version, among those that reach the visitor's k-th score so far."""
+    schema = pa.schema([("version", pa.int32()), ("user_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
 
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         member, at = np.unique(right["user_id"].to_numpy(), return_inverse=True)
-        size = np.zeros(len(member))
-        size[at] = right["size"].to_numpy()
-        items, of = np.unique(right["item_id"].to_numpy(), return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        lists_at, lists_w = at[order], right["weight"].to_numpy()[order]
-        starts = np.searchsorted(of[order], np.arange(len(items) + 1))
+        theirs = np.zeros(len(member))
+        theirs[at] = right["size"].to_numpy()
+        items, of = np.unique(right["item"].to_numpy(), return_inverse=True)
+        born = right["born"].to_numpy()
+        order = np.lexsort((born, of))
+        held_by, held_w, held_of, held_at = at[order], right["weight"].to_numpy()[order], of[order], born[order]
+        # where an item's members born up to each version end
+        ends = np.searchsorted(held_of * versions + held_at, np.arange(len(items) * versions), side="right").reshape(len(items), versions)
+        starts = np.searchsorted(held_of, np.arange(len(items)))
         who, v = np.unique(left["visitor"].to_numpy(), return_inverse=True)
         floor, own = np.zeros(len(who)), np.zeros(len(who))
         floor[v], own[v] = left["kth"].to_numpy(), left["own"].to_numpy()
-        item = left["item"].to_numpy()
+        item = left["item_of"].to_numpy()
         place = np.minimum(np.searchsorted(items, item), len(items) - 1)
         shared = items[place] == item
-        v, place, w = v[shared], place[shared], left["value"].to_numpy()[shared]
+        v, place, w, since = v[shared], place[shared], left["value"].to_numpy()[shared], left["since"].to_numpy()[shared]
         out = []
         for low in range(0, len(who), _CHUNK):
             inside = (v >= low) & (v < low + _CHUNK)
-            order = np.lexsort((v[inside], place[inside]))
-            cv, cp, cw = v[inside][order] - low, place[inside][order], w[inside][order]
+            cv, cp, cw, cs = v[inside] - low, place[inside], w[inside], since[inside]
+            order = np.lexsort((cs, cp))
+            cv, cp, cw, cs = cv[order], cp[order], cw[order], cs[order]
             rows = min(_CHUNK, len(who) - low)
             product = np.zeros((rows, len(member)))
-            ends = np.flatnonzero(np.diff(np.append(cp, -1)))
-            begin = 0
-            for end in ends + 1:  # item by item: the visitors that hold it times the members that hold it
-                p = cp[begin]
-                held = lists_at[starts[p]:starts[p + 1]]
-                product[np.ix_(cv[begin:end], held)] += cw[begin:end, None] * lists_w[starts[p]:starts[p + 1]]
-                begin = end
-            score = np.zeros_like(product)
-            mine = own[low:low + rows, None]
-            np.divide(product, mine * size if measure == "cosine" else mine + size - product, out=score, where=product > 0)
-            score = np.floor(score * 10 ** SCORE_DIGITS + 0.5) / 10 ** SCORE_DIGITS
-            i, j = np.nonzero((product > 0) & (score >= floor[low:low + rows, None]) & (who[low:low + rows, None] != member))
-            found = score[i, j]
-            order = np.lexsort((member[j], -found, i))
-            i, j, found = i[order], j[order], found[order]
-            best = np.arange(len(i)) - np.searchsorted(i, i) < k
-            out.append(pa.table([who[low + i[best]], member[j[best]], found[best]], schema=schema))
+            found = np.unique(cp)
+            begin, until = np.searchsorted(cp, found), np.searchsorted(cp, found, side="right")
+            upto = np.searchsorted(cp * versions + cs, (found[:, None] * versions + np.arange(versions)).reshape(-1), side="right").reshape(-1, versions)
+            for version in range(versions):
+                for n, p in enumerate(found):  # item by item: its visitors times its members, as far as one side is new
+                    a, s = begin[n], starts[p]
+                    old_v = a if version == 0 else upto[n, version - 1]
+                    old_m = s if version == 0 else ends[p, version - 1]
+                    new_v, new_m = upto[n, version], ends[p, version]
+                    if new_v > old_v and new_m > s:
+                        product[np.ix_(cv[old_v:new_v], held_by[s:new_m])] += cw[old_v:new_v, None] * held_w[s:new_m]
+                    if old_v > a and new_m > old_m:
+                        product[np.ix_(cv[a:old_v], held_by[old_m:new_m])] += cw[a:old_v, None] * held_w[old_m:new_m]
+                score = _scores(measure, product, own[low:low + rows, None], theirs)
+                score = np.where(who[low:low + rows, None] == member, 0.0, score)
+                i, j, value = _best(score, floor[low:low + rows], k, member)
+                out.append(pa.table([np.full(len(i), version, np.int32), who[low + i], member[j], value], schema=schema))
         return pa.concat_tables(out)
 
     return run
 
 
-def _visits(entries: DataFrame, visits: DataFrame, measure: str, k: int) -> DataFrame:
+def _visits(entries: DataFrame, visits: DataFrame, measure: str, k: int | None, versions: int) -> DataFrame:
     """Scores of ``visits`` ``(user_id, block, kth)`` that reach ``kth``.
 
     The visitors of a block are cut into slices of about ``VISITORS`` (fewer, if there would be less work items than shuffle partitions), and the block meets every slice."""
     tasks = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = visits.groupBy("block").agg(F.count(F.lit(1)).alias("_v"))
-    total = max(1, visits.count())
-    slices = cut(counts.select(F.col("block"), F.greatest(F.ceil(F.col("_v") / F.lit(VISITORS)), F.ceil(F.col("_v") * F.lit(tasks / total))).cast("int").alias("_s")), "knn-slices")
-    guests = (entries.select("user_id", "item_id", "weight", "size").join(visits.join(slices, "block"), "user_id")
-              .select("block", F.pmod(F.xxhash64("user_id"), F.col("_s")).cast("int").alias("slice"),
-                      F.col("user_id").alias("visitor"), F.col("item_id").alias("item"), F.col("weight").alias("value"), F.col("size").alias("own"), "kth"))
+    counts = cut(visits.groupBy("block").agg(F.count(F.lit(1)).alias("_v")), "knn-slices")
+    total = counts.select(F.coalesce(F.sum("_v"), F.lit(1))).scalar()
+    slices = counts.select(F.col("block"), F.greatest(F.ceil(F.col("_v") / F.lit(VISITORS)), F.ceil(F.col("_v") * F.lit(tasks) / total)).cast("int").alias("_s"))
+    guests = (entries.select("user_id", "item", "weight", "born", "size").join(visits.join(slices, "block"), "user_id")
+              .select("block", F.pmod(F.xxhash64("user_id"), F.col("_s")).cast("int").alias("slice"), F.col("user_id").alias("visitor"),
+                      F.col("item").alias("item_of"), F.col("weight").alias("value"), F.col("born").alias("since"), F.col("size").alias("own"), "kth"))
     hosts = (entries.join(slices, "block")
-             .select("block", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("slice"), "user_id", "item_id", "weight", "size"))
+             .select("block", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("slice"), "user_id", "item", "weight", "born", "size"))
     return (guests.groupBy("block", "slice").cogroup(hosts.groupBy("block", "slice"))
-            .applyInArrow(_visit(measure, k), "user_id bigint, neighbor_id bigint, score double"))
+            .applyInArrow(_visit(measure, k, versions), "version int, user_id bigint, neighbor_id bigint, score double"))
+
+
+def products(weights: DataFrame, item_cols: Sequence[str] = ("item_id",), measure: str = "count", block_users: int = 2048) -> DataFrame:
+    """``(user_id, neighbor_id, score)``: all positive scores, both directions, block by block.
+
+    Every user visits the blocks with a member that shares an item."""
+    ship(weights.sparkSession)
+    entries = _layout(weights, measure, block_users, item_cols)
+    blocks = entries.select("item", "block").distinct()
+    visits = cut(entries.select("user_id", "item").join(blocks, "item").select("user_id", "block").distinct().withColumn("kth", F.lit(0.0)), "knn-visits")
+    return _visits(entries, visits, measure, None, 1).drop("version")
 
 
-def top_k_users(weights: DataFrame, k: int, measure: str = "cosine", block_users: int = 2048, info: dict | None = None) -> DataFrame:
-    """``(user_id, neighbor_id, score, rank)``: the ``k`` users of largest cosine (or Jaccard) with a common item, exactly.
+def top_k_users(weights: DataFrame, k: int, measure: str = "cosine", block_users: int = 2048, item_cols: Sequence[str] = ("item_id",),
+                versions: int | None = None, info: dict | None = None) -> DataFrame:
+    """``([version,] user_id, neighbor_id, score, rank)``: the ``k`` users of largest positive score, exactly.
 
-    ``weights``: ``(user_id, item_id, weight)``, each pair once and weights above 0 (Jaccard ignores their size).  Scores are
-    rounded to 6 digits, ties go to the smaller id.  A task holds the entries of one block and of its visitors in one slice.  ``info`` receives
-    the numbers of users, blocks, visits of both rounds and emitted pairs.
+    ``weights``: ``(user_id, *item_cols[, weight][, born])``, each user and item once and weights above 0.  Measures: ``cosine`` and ``jaccard``
+    (rounded to 6 digits) and ``count``, the number of common items; ties go to the smaller id.  With ``versions`` the entries carry the
+    number of the version they are ``born`` at, from 0, and every version has its own lists; only ``count``, which never falls, takes versions.  A task holds
+    the entries of one block and of its visitors in one slice.  ``info`` receives the numbers of users, blocks, visits of both rounds and emitted pairs.
     """
     spark = weights.sparkSession
+    if versions is not None and measure != "count":
+        raise ValueError("versions need a measure that never falls")
     ship(spark)
-    entries = _layout(weights, measure, block_users)
+    key = ["version", "user_id"]
+    entries = _layout(weights, measure, block_users, item_cols)
     bounds = cut(_bounds(entries, measure), "knn-bounds")
     # round 0: the block with the best bound, the smaller on ties
-    first = bounds.groupBy("user_id").agg(F.min(F.struct((-F.col("bound")).alias("b"), "block")).alias("_f")).select("user_id", F.col("_f.block").alias("block"))
-    first = cut(first.withColumn("kth", F.lit(0.0)), "knn-first")
-    seed = cut(topk_per_key(_visits(entries, first, measure, k), "user_id", "neighbor_id", "score", k), "knn-seed")
-    kth = seed.where(F.col("rank") == k).select("user_id", F.col("score").alias("kth"))
+    first = bounds.groupBy("user_id").agg(F.min(F.struct((-F.col("bound")).alias("b"), "block")).alias("_f"))
+    first = first.select("user_id", F.col("_f.block").alias("block"), F.lit(0.0).alias("kth"))
+    seed = cut(topk_per_key(_visits(entries, first, measure, k, versions or 1), key, "neighbor_id", "score", k), "knn-seed")
+    # a bound holds for the last version and the k-th score of the first is the lowest, so no version loses a neighbour
+    kth = seed.where((F.col("rank") == k) & (F.col("version") == 0)).select("user_id", F.col("score").alias("kth"))
     rest = (bounds.join(first.select("user_id", F.col("block").alias("_done")), "user_id").where(F.col("block") != F.col("_done"))
             .join(kth, "user_id", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0))).where(F.col("bound") >= F.col("kth"))
             .select("user_id", "block", "kth"))
     rest = cut(rest, "knn-rest")
-    found = cut(_visits(entries, rest, measure, k), "knn-found")
+    best = seed
+    more = not rest.isEmpty()
+    if more:
+        found = cut(_visits(entries, rest, measure, k, versions or 1), "knn-found")
+        best = topk_per_key(seed.drop("rank").unionByName(found), key, "neighbor_id", "score", k)
     if info is not None:
-        info.update(users=entries.select("user_id").distinct().count(), blocks=entries.select("block").distinct().count(),
-                    first=first.count(), rest=rest.count(), possible=bounds.count(), emitted=seed.count() + found.count())
-    return topk_per_key(seed.drop("rank").unionByName(found), "user_id", "neighbor_id", "score", k)
+        info.update(users=bounds.select("user_id").distinct().count(), blocks=entries.select("block").distinct().count(), first=first.count(), rest=rest.count(),
+                    possible=bounds.count(), emitted=seed.count() + (found.count() if more else 0))
+    return best if versions is not None else best.drop("version")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqrec.operators.blocks import consumption_blocks
+from seqrec.operators.knn import products, top_k_users
 from seqrec.operators.pairs import DEFAULT_TILE_ROWS, pairs_within_groups
 
 SCORE_DIGITS = 6
@@ -118,15 +119,27 @@ def mirror(sim: DataFrame, a: str = "user_a", b: str = "user_b") -> DataFrame:
             .select(F.col("_o._x").alias(a), F.col("_o._y").alias(b), *rest))
 
 
-def seq_user_similarity(events: DataFrame, delta: int, tile_rows: int = DEFAULT_TILE_ROWS) -> DataFrame:
+def seq_user_similarity(events: DataFrame, delta: int, block_users: int = 2048) -> DataFrame:
     """Number of item pairs common to two users that lie less than ``delta``
     places apart in *both* profiles.  ``events`` must carry ``pos``.
     Returns both directions ``(user_a, user_b, score BIGINT)``, positive only.
+
+    A user is the set of its item pairs; the scores are a blocked product of these sets (see ``knn``), so
+    what is written is the result and no row per common pair.
     """
-    trip = sequence_triples(first_occurrences(events.drop("ord") if "ord" in events.columns else events), delta)
-    contrib = pair_contributions(trip, tile_rows)
-    sim = contrib.groupBy("user_a", "user_b").agg(F.count(F.lit(1)).cast("bigint").alias("score"))
-    return mirror(sim)
+    scores = products(pair_sets(events, delta), ("item_i", "item_j"), block_users=block_users)
+    return scores.select(F.col("user_id").alias("user_a"), F.col("neighbor_id").alias("user_b"), F.col("score").cast("bigint").alias("score"))
+
+
+def pair_sets(events: DataFrame, delta: int) -> DataFrame:
+    """``(user_id, item_i, item_j)``: the item pairs of ``sequence_triples``."""
+    return sequence_triples(first_occurrences(events.drop("ord") if "ord" in events.columns else events), delta)
+
+
+def seq_user_neighbors(events: DataFrame, delta: int, k: int, block_users: int = 2048) -> DataFrame:
+    """The ``k`` best neighbours ``(user_id, neighbor_id, score BIGINT, rank)`` by ``seq_user_similarity``, without its table of pairs."""
+    best = top_k_users(pair_sets(events, delta), k, "count", block_users, ("item_i", "item_j"))
+    return best.select("user_id", "neighbor_id", F.col("score").cast("bigint").alias("score"), "rank")
 
 
 def merge_similarity(old: DataFrame, delta: DataFrame, keys=("user_a", "user_b"), score: str = "score") -> DataFrame:

@@ -304,7 +304,7 @@ def q_seq_user_similarity(spark, sf):
 @query("topk_user_neighbors")
 def q_topk_user_neighbors(spark, sf):
     train = _train_positions_e(spark, sf)
-    return NB.topk_user_neighbors(S.seq_user_similarity(train, P.DELTA), P.K_USER, users=train)
+    return NB.padded_lists(S.seq_user_neighbors(train, P.DELTA, P.K_USER), train, P.K_USER)
 
 
 @query("merge_similarity")

@@ -76,3 +76,32 @@ def test_no_rows_and_no_common_item(spark):
     schema = "user_id bigint, item_id bigint, weight double"
     assert knn.top_k_users(spark.createDataFrame([], schema), 3).count() == 0
     assert knn.top_k_users(spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0)], schema), 3).count() == 0
+
+
+def counts_by_version(rows, k, versions):
+    """{(version, user, rank): (neighbour, common items born by then)}."""
+    out = {}
+    for version in range(versions):
+        users = {}
+        for u, i, b in rows:
+            if b <= version:
+                users.setdefault(u, set()).add(i)
+        for u, a in users.items():
+            best = sorted((-len(a & b), v) for v, b in users.items() if v != u and a & b)[:k]
+            out |= {(version, u, r): (v, -c) for r, (c, v) in enumerate(best, 1)}
+    return out
+
+
+@pytest.mark.parametrize("seed,block_users,visitors", [(1, 2048, 2048), (2, 9, 4)])
+def test_versions_of_common_items(spark, monkeypatch, seed, block_users, visitors):
+    monkeypatch.setattr(knn, "VISITORS", visitors)
+    monkeypatch.setattr(knn, "_CHUNK", 8)
+    rng = random.Random(seed)
+    rows = [(u, i, rng.choice([0, 0, 1, 2, 3])) for u, i, _ in log(seed, communities=3)]
+    df = spark.createDataFrame([(u, i // 7, i % 7, b) for u, i, b in rows], "user_id bigint, a bigint, b bigint, born int")
+    got = knn.top_k_users(df, 4, "count", block_users, ("a", "b"), versions=4).collect()
+    assert {(r["version"], r["user_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in got} == counts_by_version(rows, 4, 4)
+    all_ = knn.products(df.drop("born"), ("a", "b"), block_users=block_users).collect()
+    every = counts_by_version([(u, i, 0) for u, i, _ in rows], 10 ** 6, 1)
+    assert {(r["user_id"], r["neighbor_id"], r["score"]) for r in all_} == {(u, v, c) for (_, u, _), (v, c) in every.items()}
+    assert len(all_) == len(every)
