@@ -21,6 +21,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,34 +34,50 @@ SCORE_DIGITS = 6
 _HALF = 0.6 * 10.0 ** -SCORE_DIGITS
 #: Visitors of a block in one task, and scored at once.
 VISITORS, _CHUNK = 2048, 256
+#: Entries of a user in one row.
+PACK = 4096
 
 
-def _layout(weights: DataFrame, measure: str, block_users: int, item_cols: Sequence[str]) -> DataFrame:
-    """``(user_id, item, weight, born, size, block)``: entries with their user's norm (or item count) and block.
+def _layout(weights: DataFrame, measure: str, block_users: int, item_cols: Sequence[str]) -> tuple[DataFrame, int]:
+    """``(user_id, size, block, items, weights, born)`` and the number of blocks.
 
-    Items that one user alone holds make no pair; they count in the sizes only."""
-    born = F.col("born").cast("int") if "born" in weights.columns else F.lit(0)
+    A row packs up to about ``PACK`` entries of a user as arrays, so entries move in bulk; ``weights`` is null where all are 1 and ``born``
+    where there are no versions.  Items that one user alone holds make no pair; they count in the sizes (norm or item count) only."""
     weight = F.col("weight").cast("double") if "weight" in weights.columns else F.lit(1.0)
-    w = cut(weights.select("user_id", *item_cols, weight.alias("weight"), born.alias("born")), "knn-weights")
+    born = [F.col("born").cast("int").alias("born")] if "born" in weights.columns else []
+    w = cut(weights.select("user_id", *item_cols, weight.alias("weight"), *born), "knn-weights")
     lists = w.groupBy(*item_cols).agg(F.count(F.lit(1)).alias("_len")).where(F.col("_len") > 1)
     lists = cut(lists.withColumn("item", F.monotonically_increasing_id()), "knn-lists")
-    shared = w.join(lists, list(item_cols)).select("user_id", "item", "weight", "born", "_len")
-    users = shared.groupBy("user_id").agg(F.min(F.struct("_len", "item")).alias("_a"))
-    if measure != "count":
-        size = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if measure == "cosine" else F.count(F.lit(1)).cast("double")
-        users = users.join(w.groupBy("user_id").agg(size.alias("size")), "user_id")
-    else:
-        users = users.withColumn("size", F.lit(0.0))
-    placed = global_ordinal(users.select("user_id", "size", F.col("_a._len").alias("_len"), F.col("_a.item").alias("_rare")), ["_len", "_rare", "user_id"], out="_o")
-    blocks = placed.select("user_id", "size", F.floor(F.col("_o") / F.lit(block_users)).cast("bigint").alias("block"))
-    return cut(shared.drop("_len").join(blocks, "user_id"), "knn-entries")
-
-
-def _bounds(entries: DataFrame, measure: str) -> DataFrame:
-    """``(user_id, block, bound)``: what no score of the user with a member of the block exceeds."""
+    size = F.sqrt(F.sum(F.col("weight") * F.col("weight"))) if measure == "cosine" else F.count(F.lit(1)).cast("double")
+    sizes = w.groupBy("user_id").agg(size.alias("size"), F.ceil(F.count(F.lit(1)) / F.lit(PACK)).alias("_packs"))
+    packed = (w.join(lists, list(item_cols)).join(sizes, "user_id").withColumn("_pack", F.pmod(F.xxhash64("item"), F.col("_packs")))
+              .groupBy("user_id", "_pack").agg(
+                  F.first("size").alias("size"), F.min(F.struct("_len", "item")).alias("_a"), F.collect_list("item").alias("items"),
+                  (F.lit(None).cast("array<double>") if measure == "count" else F.collect_list("weight")).alias("weights"),
+                  (F.collect_list("born") if born else F.lit(None).cast("array<int>")).alias("born")))
+    packed = cut(packed, "knn-packed")
+    users = packed.groupBy("user_id").agg(F.min("_a").alias("_a"))
+    placed = global_ordinal(users.select("user_id", F.col("_a._len").alias("_len"), F.col("_a.item").alias("_rare")), ["_len", "_rare", "user_id"], out="_o")
+    blocks = placed.select("user_id", F.floor(F.col("_o") / F.lit(block_users)).cast("bigint").alias("block"))
+    entries = cut(packed.select("user_id", "size", "items", "weights", "born").join(blocks, "user_id"), "knn-entries")
+    last = entries.agg(F.max("block")).first()[0]
+    return entries, 0 if last is None else last + 1
+
+
+def _rows(entries: DataFrame) -> DataFrame:
+    """``(user_id, block, size, item, weight)``: the packed entries one by one."""
+    one = F.arrays_zip(F.col("items").alias("item"), F.coalesce("weights", F.transform("items", lambda i: F.lit(1.0))).alias("weight"))
+    return entries.select("user_id", "block", "size", F.inline(one)).toDF("user_id", "block", "size", "item", "weight")
+
+
+def _bounds(entries: DataFrame, measure: str, blocks: int) -> DataFrame:
+    """``(user_id, block, bound)``: what no score of the user with a member of the block exceeds.  A single block is visited anyway."""
+    if blocks <= 1:
+        return entries.select("user_id", "block", F.lit(float("inf")).alias("bound")).distinct()
+    rows = _rows(entries)
     unit = F.col("weight") / F.col("size") if measure == "cosine" else F.lit(1.0)
-    lists = entries.groupBy("item", F.col("block").alias("of")).agg(F.max(unit).alias("top"))
-    sums = entries.join(lists, "item").groupBy("user_id", "of").agg(F.sum(unit * F.col("top")).alias("sum"), F.first("size").alias("size"))
+    lists = rows.groupBy("item", F.col("block").alias("of")).agg(F.max(unit).alias("top"))
+    sums = rows.join(lists, "item").groupBy("user_id", "of").agg(F.sum(unit * F.col("top")).alias("sum"), F.first("size").alias("size"))
     if measure == "jaccard":  # common items are at most `sum`, and the other user has at least as many
         smallest = entries.groupBy(F.col("block").alias("of")).agg(F.min("size").alias("least"))
         sums = sums.join(smallest, "of")
@@ -93,6 +110,17 @@ def _best(score: np.ndarray, floor: np.ndarray, k: int | None, member: np.ndarra
     return i[kept], j[kept], found[kept]
 
 
+def _unpacked(table: pa.Table, items: str, weights: str, born: str):
+    """(row, item, weight, version) of every packed entry."""
+    lists = table[items].combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    rest = []
+    for name, missing in ((weights, 1.0), (born, 0)):
+        column = table[name].combine_chunks()
+        rest.append(np.full(len(row), missing) if column.null_count == len(column) else column.flatten().to_numpy(zero_copy_only=False))
+    return row, lists.flatten().to_numpy(zero_copy_only=False), rest[0], rest[1].astype(np.int64)
+
+
 def _visit(measure: str, k: int | None, versions: int):
     """The best members of one block for each visitor and version, among those that reach the visitor's k-th score so far."""
     schema = pa.schema([("version", pa.int32()), ("user_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
@@ -100,23 +128,25 @@ def _visit(measure: str, k: int | None, versions: int):
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        member, at = np.unique(right["user_id"].to_numpy(), return_inverse=True)
+        at, hosted, weight, born = _unpacked(right, "items", "weights", "born")
+        member, of_row = np.unique(right["user_id"].to_numpy(), return_inverse=True)
         theirs = np.zeros(len(member))
-        theirs[at] = right["size"].to_numpy()
-        items, of = np.unique(right["item"].to_numpy(), return_inverse=True)
-        born = right["born"].to_numpy()
-        order = np.lexsort((born, of))
-        held_by, held_w, held_of, held_at = at[order], right["weight"].to_numpy()[order], of[order], born[order]
+        theirs[of_row] = right["size"].to_numpy()
+        items, of = np.unique(hosted, return_inverse=True)
+        stamp = of * versions + born  # item by item, in the order of birth
+        order = np.argsort(stamp, kind="stable")
+        held_by, held_w, stamp = of_row[at][order], weight[order], stamp[order]
         # where an item's members born up to each version end
-        ends = np.searchsorted(held_of * versions + held_at, np.arange(len(items) * versions), side="right").reshape(len(items), versions)
-        starts = np.searchsorted(held_of, np.arange(len(items)))
-        who, v = np.unique(left["visitor"].to_numpy(), return_inverse=True)
+        ends = np.searchsorted(stamp, np.arange(len(items) * versions), side="right").reshape(len(items), versions)
+        starts = np.searchsorted(stamp, np.arange(len(items)) * versions)
+        at, item, w, since = _unpacked(left, "items_of", "values", "since")
+        who, v_row = np.unique(left["visitor"].to_numpy(), return_inverse=True)
         floor, own = np.zeros(len(who)), np.zeros(len(who))
-        floor[v], own[v] = left["kth"].to_numpy(), left["own"].to_numpy()
-        item = left["item_of"].to_numpy()
+        floor[v_row], own[v_row] = left["kth"].to_numpy(), left["own"].to_numpy()
+        v = v_row[at]
         place = np.minimum(np.searchsorted(items, item), len(items) - 1)
         shared = items[place] == item
-        v, place, w, since = v[shared], place[shared], left["value"].to_numpy()[shared], left["since"].to_numpy()[shared]
+        v, place, w, since = v[shared], place[shared], w[shared], since[shared]
         out = []
         for low in range(0, len(who), _CHUNK):
             inside = (v >= low) & (v < low + _CHUNK)
@@ -155,11 +185,11 @@ def _visits(entries: DataFrame, visits: DataFrame, measure: str, k: int | None,
     counts = cut(visits.groupBy("block").agg(F.count(F.lit(1)).alias("_v")), "knn-slices")
     total = counts.select(F.coalesce(F.sum("_v"), F.lit(1))).scalar()
     slices = counts.select(F.col("block"), F.greatest(F.ceil(F.col("_v") / F.lit(VISITORS)), F.ceil(F.col("_v") * F.lit(tasks) / total)).cast("int").alias("_s"))
-    guests = (entries.select("user_id", "item", "weight", "born", "size").join(visits.join(slices, "block"), "user_id")
+    guests = (entries.select("user_id", "items", "weights", "born", "size").join(visits.join(slices, "block"), "user_id")
               .select("block", F.pmod(F.xxhash64("user_id"), F.col("_s")).cast("int").alias("slice"), F.col("user_id").alias("visitor"),
-                      F.col("item").alias("item_of"), F.col("weight").alias("value"), F.col("born").alias("since"), F.col("size").alias("own"), "kth"))
+                      F.col("items").alias("items_of"), F.col("weights").alias("values"), F.col("born").alias("since"), F.col("size").alias("own"), "kth"))
     hosts = (entries.join(slices, "block")
-             .select("block", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("slice"), "user_id", "item", "weight", "born", "size"))
+             .select("block", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("slice"), "user_id", "items", "weights", "born", "size"))
     return (guests.groupBy("block", "slice").cogroup(hosts.groupBy("block", "slice"))
             .applyInArrow(_visit(measure, k, versions), "version int, user_id bigint, neighbor_id bigint, score double"))
 
@@ -169,9 +199,8 @@ def products(weights: DataFrame, item_cols: Sequence[str] = ("item_id",), measur
 
     Every user visits the blocks with a member that shares an item."""
     ship(weights.sparkSession)
-    entries = _layout(weights, measure, block_users, item_cols)
-    blocks = entries.select("item", "block").distinct()
-    visits = cut(entries.select("user_id", "item").join(blocks, "item").select("user_id", "block").distinct().withColumn("kth", F.lit(0.0)), "knn-visits")
+    entries, blocks = _layout(weights, measure, block_users, item_cols)
+    visits = cut(_bounds(entries, measure, blocks).select("user_id", "block", F.lit(0.0).alias("kth")), "knn-visits")
     return _visits(entries, visits, measure, None, 1).drop("version")
 
 
@@ -189,8 +218,8 @@ def top_k_users(weights: DataFrame, k: int, measure: str = "cosine", block_users
         raise ValueError("versions need a measure that never falls")
     ship(spark)
     key = ["version", "user_id"]
-    entries = _layout(weights, measure, block_users, item_cols)
-    bounds = cut(_bounds(entries, measure), "knn-bounds")
+    entries, blocks = _layout(weights, measure, block_users, item_cols)
+    bounds = cut(_bounds(entries, measure, blocks), "knn-bounds")
     # round 0: the block with the best bound, the smaller on ties
     first = bounds.groupBy("user_id").agg(F.min(F.struct((-F.col("bound")).alias("b"), "block")).alias("_f"))
     first = first.select("user_id", F.col("_f.block").alias("block"), F.lit(0.0).alias("kth"))
@@ -207,6 +236,6 @@ def top_k_users(weights: DataFrame, k: int, measure: str = "cosine", block_users
         found = cut(_visits(entries, rest, measure, k, versions or 1), "knn-found")
         best = topk_per_key(seed.drop("rank").unionByName(found), key, "neighbor_id", "score", k)
     if info is not None:
-        info.update(users=bounds.select("user_id").distinct().count(), blocks=entries.select("block").distinct().count(), first=first.count(), rest=rest.count(),
+        info.update(users=bounds.select("user_id").distinct().count(), blocks=blocks, first=first.count(), rest=rest.count(),
                     possible=bounds.count(), emitted=seed.count() + (found.count() if more else 0))
     return best if versions is not None else best.drop("version")
