@@ -65,10 +65,50 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, end, np.searchsorted(begin, offsets)
 
 
+class Places:
+    """Numbers 0, 1, ... of 64-bit keys in the order in which they are added: open addressing, looked up for whole arrays at once."""
+
+    def __init__(self):
+        self.used = 0
+        self.key, self.number = np.zeros(1 << 12, np.uint64), np.full(1 << 12, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those not there."""
+        mask = np.uint64(len(self.key) - 1)
+        at = (keys & mask).astype(np.int64)
+        out = self.number[at]
+        left = np.flatnonzero((out >= 0) & (self.key[at] != keys))
+        while len(left):
+            at[left] = (at[left] + 1) & int(mask)
+            out[left] = self.number[at[left]]
+            left = left[(out[left] >= 0) & (self.key[at[left]] != keys[left])]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Adds keys that are all different and not there."""
+        if 2 * (self.used + len(keys)) > len(self.key):
+            kept = np.zeros(self.used, np.uint64)
+            there = self.number >= 0
+            kept[self.number[there]] = self.key[there]
+            size = 1 << int(4 * (self.used + len(keys)) - 1).bit_length()
+            self.key, self.number, self.used = np.zeros(size, np.uint64), np.full(size, -1, np.int32), 0
+            self.add(kept)
+        mask = len(self.key) - 1
+        number = np.arange(self.used, self.used + len(keys), dtype=np.int32)
+        at, left = (keys & np.uint64(mask)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = self.number[at[left]] < 0
+            self.number[at[left[free]]] = number[left[free]]  # of several for one place the last stays
+            self.key[at[left[free]]] = keys[left[free]]
+            left = left[self.number[at[left]] != number[left]]
+            at[left] = (at[left] + 1) & mask
+        self.used += len(keys)
+
+
 class Tokenizer:
     """Ids of texts by a tokenizers file, remembered by distinct piece; the memory is dropped when it holds `most` of them."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 3_000_000):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
@@ -79,7 +119,7 @@ class Tokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slots = Places()
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.used, self.pooled = np.zeros(0, np.uint32), 0, 0
 
@@ -120,7 +160,7 @@ class Tokenizer:
                 parts[k] = flat[a:b]
         return np.concatenate([np.zeros(0, np.uint32), *parts]), count
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         flat, count = self._encoded(texts)
         if self.used + len(keys) > len(self.begin):
             more = np.zeros(self.used + 2 * len(keys), np.int64)
@@ -130,7 +170,7 @@ class Tokenizer:
         self.begin[self.used:self.used + len(keys)] = self.pooled + np.cumsum(count) - count
         self.count[self.used:self.used + len(keys)] = count
         self.pool[self.pooled:self.pooled + len(flat)] = flat
-        self.slot.update(zip(keys, range(self.used, self.used + len(keys))))
+        self.slots.add(keys)
         self.used += len(keys)
         self.pooled += len(flat)
 
@@ -139,13 +179,14 @@ class Tokenizer:
         if self.used > self.most:
             self.forget()
         begin, end, first = units(data, offsets)
-        keys, at, which = np.unique(T.span_hashes(data, begin, end), return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.slot]
-        if new:
+        hashes = T.span_hashes(data, begin, end)
+        slot = self.slots.find(hashes)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            keys, at = np.unique(hashes[missing], return_index=True)
             raw = data.tobytes()
-            self._learn([keys[k] for k in new], [raw[begin[at[k]]:end[at[k]]].decode("utf-8", "replace") for k in new])
-        slot = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[which] if len(keys) else np.zeros(0, np.int64)
+            self._learn(keys, [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[missing[at]].tolist(), end[missing[at]].tolist())])
+            slot[missing] = self.slots.find(hashes[missing])
         count = self.count[slot]
         owner, inside = T.ragged(count)
         ids = self.pool[self.begin[slot][owner] + inside] if len(owner) else np.zeros(0, np.uint32)

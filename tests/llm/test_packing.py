@@ -87,3 +87,35 @@ def test_awkward_rows_and_digest(spark, library):
     check(rows, documents, library, 1024)
     assert all(r["ids_crc32"] == crc32(bytes(r["ids"])) for r in rows)
     assert packing.pack(cases.frame(spark, []), queries.vocabulary()).count() == 0
+
+
+def test_places_equal_a_dictionary():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    places, known = packing.Places(), {}
+    for size in (1, 5, 3000, 40_000, 7):
+        keys = np.unique(rng.integers(0, 1 << 63, size, dtype=np.int64).view(np.uint64) & np.uint64(0xFFFFFFFFFFFF000F))  # many share their first place
+        keys = keys[[int(k) not in known for k in keys]]
+        assert (places.find(keys) == -1).all()
+        places.add(keys)
+        known |= {int(k): len(known) + j for j, k in enumerate(keys)}
+        every = np.array(sorted(known), np.uint64)
+        assert places.find(every).tolist() == [known[int(k)] for k in every] and places.used == len(known)
+
+
+def test_words_encoded_many_at_a_time():
+    import random
+
+    import numpy as np
+    own = packing.Tokenizer(queries.vocabulary())
+    assert own.mark is not None
+    rng = random.Random(2)
+    letters = "abzé日!?'-.9\U0001f600 "
+    words = [rng.choice(["", " "]) + "".join(rng.choices(letters, k=rng.randrange(1, 9))) for _ in range(3000)] + ["\n", "\n\n", " ", "\t", "\r\n  "]
+    flat, count = own._encoded(words, block=64)
+    ends = np.cumsum(count)
+    for word, a, b in zip(words, ends - count, ends):
+        assert flat[a:b].tolist() == own.library.encode(word, add_special_tokens=False).ids
+    own.mark = None  # a tokenizer that does not part words at line feeds
+    again, n = own._encoded(words)
+    assert (again == flat).all() and (n == count).all()
