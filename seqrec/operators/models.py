@@ -1,11 +1,9 @@
-"""Rating models: closed-form bias baseline, ALS factors, Word2Vec item vectors."""
+"""Rating models: closed-form bias baseline and ALS factors."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,21 +126,3 @@ def recommend_factors(model: dict, train: DataFrame, test: DataFrame, ev_first:
     top = topk_per_key(fresh, "event_id", "item_id", "raw", n).join(model["user_bias"], "user_id", "left")
     score = F.round(clamp(model["mu"] + F.coalesce("b_u", F.lit(0.0)) + F.col("raw"), MIN_RATING, MAX_RATING), PRED_DIGITS)
     return top.select("event_id", "user_id", "item_id", score.alias("score"), "rank")
-
-
-def train_item_embeddings(corpus: DataFrame, size: int = 200, window: int = 3, iters: int = 1,
-                          seed: int = 339, min_count: int = 1, tokens_per_task: int = 50_000):
-    """Skip-gram Word2Vec over ``tokens`` (ARRAY<STRING>) sentences.
-
-    Spark ML trains with hierarchical softmax (no negative sampling).  The
-    corpus is trained in as many partitions as it has ``tokens_per_task``, and
-    no sentence is cut.  Returns ``(model, vectors (item_id, vector ARRAY<DOUBLE>))``.
-    """
-    n = corpus.agg(F.sum(F.size("tokens")).alias("all"), F.max(F.size("tokens")).alias("longest")).first()
-    partitions = max(1, -(-(n["all"] or 0) // tokens_per_task))
-    w2v = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
-                   numPartitions=partitions, maxSentenceLength=max(1, n["longest"] or 1), inputCol="tokens", outputCol="_v")
-    model = w2v.fit(corpus)
-    vec = model.getVectors().select(F.col("word").cast("bigint").alias("item_id"),
-                                    F.col("vector").alias("_v"))
-    return model, vec.select("item_id", vector_to_array("_v").alias("vector"))

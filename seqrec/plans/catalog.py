@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seqrec.operators import blocks as B
 from seqrec.operators import decay as DC
+from seqrec.operators import embeddings as EM
 from seqrec.operators import evaluate as EV
 from seqrec.operators import incremental as INC
 from seqrec.operators import models as MD
@@ -465,7 +466,7 @@ def q_precision_recall_embeddings(spark, sf):
 
 
 ALS_RANK, ALS_ITERS = 100, 10
-W2V_SIZE, W2V_WINDOW, W2V_ITERS, W2V_SEED = 200, 3, 1, 339
+SKIP_GRAM = EM.SkipGram(size=200, window=3, negatives=4, epochs=1, seed=339)
 
 
 def _bias_e(spark, sf):
@@ -540,21 +541,19 @@ def q_precision_recall_factors(spark, sf):
     return EV.precision_recall(recs, PR_known(test, train), population=test)
 
 
-def _w2v_corpus(spark, sf, fit_on="train"):
-    train, _ = _train_test_e(spark, sf)
-    src = train if fit_on == "train" else events_ratings(spark, sf)
-    sess = SE.user_sessions(src, P.SESSION_GAP_E, P.MIN_SESSION_ITEMS)
-    return SE.session_corpus(sess)
+def _sentences(ratings):
+    return SE.session_corpus(SE.user_sessions(ratings, P.SESSION_GAP_E, P.MIN_SESSION_ITEMS))
 
 
-def _w2v(spark, sf, fit_on="train"):
-    corpus = cut(_w2v_corpus(spark, sf, fit_on))
-    return MD.train_item_embeddings(corpus, W2V_SIZE, W2V_WINDOW, W2V_ITERS, W2V_SEED)
+def _trained(spark, sf):
+    """Vectors of the training sessions, and these sessions."""
+    corpus = cut(_sentences(_train_test_e(spark, sf)[0]))
+    return EM.item_vectors(EM.train_skip_gram(corpus, SKIP_GRAM)), corpus
 
 
 @query("item_embeddings")
 def q_item_embeddings(spark, sf):
-    return _w2v(spark, sf)[1]
+    return _trained(spark, sf)[0]
 
 
 @query("embedding_store")
@@ -567,20 +566,42 @@ def q_embedding_store(spark, sf):
 @query("item_embeddings_vocabulary")
 def q_item_embeddings_vocabulary(spark, sf):
     """What must hold of the trained vectors whatever the optimiser does: one of the asked size for every item of the corpus."""
-    return _w2v(spark, sf)[1].select("item_id", F.size("vector").cast("bigint").alias("dims"), F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)).alias("finite"))
+    return _trained(spark, sf)[0].select("item_id", F.size("vector").cast("bigint").alias("dims"), F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)).alias("finite"))
+
+
+def _model_of_two_batches(spark, sf):
+    """A stored model of the training sessions, trained further with the sessions of the test period."""
+    train, test = _train_test_e(spark, sf)
+    path = scratch_path(spark, "embedding-model")
+    EM.extend_model(cut(_sentences(train)), path, SKIP_GRAM)
+    EM.extend_model(cut(_sentences(test)), path, SKIP_GRAM)
+    return EM.load_model(spark, path)
 
 
 @query("retrain_embeddings")
 def q_retrain_embeddings(spark, sf):
-    return _w2v(spark, sf, fit_on="all")[1]
+    return EM.item_vectors(_model_of_two_batches(spark, sf))
+
+
+@query("retrained_vocabulary")
+def q_retrained_vocabulary(spark, sf):
+    """What must hold of a model of two batches whatever its draws: every word of either with its count in both, and a finite vector."""
+    finite = lambda c: F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x))
+    return _model_of_two_batches(spark, sf).select(F.col("word").cast("bigint").alias("item_id"), "n", F.size("center").cast("bigint").alias("dims"),
+                                                   (finite("center") & finite("context")).alias("finite"))
+
+
+@query("skip_gram_pairs")
+def q_skip_gram_pairs(spark, sf):
+    """Pairs of neighbouring items in the training sessions, as the trainer counts them with a window of one."""
+    pairs = EM.skip_pairs(_sentences(_train_test_e(spark, sf)[0]), 1, SKIP_GRAM.seed)
+    return pairs.select(F.col("center").cast("bigint").alias("center"), F.col("context").cast("bigint").alias("context"), "n")
 
 
 @query("recommend_embeddings_trained")
 def q_recommend_embeddings_trained(spark, sf):
-    _, vec = _w2v(spark, sf)
-    corpus_tokens = (_w2v_corpus(spark, sf).select(F.explode("tokens").alias("t"))
-                     .select(F.col("t").cast("bigint").alias("item_id")))
-    ranks = VE.vocab_ranks(corpus_tokens)
+    vec, corpus = _trained(spark, sf)
+    ranks = VE.vocab_ranks(corpus.select(F.explode("tokens").alias("t")).select(F.col("t").cast("bigint").alias("item_id")))
     out = EB.recommend_embeddings(events_ratings(spark, sf), cut(vec), ranks, n=P.N_EMB, test_n=None,
                                   test_pct=P.TEST_PCT, recent=P.EMB_RECENT, topn=P.EMB_TOPN)
     return out["recs"]

@@ -415,6 +415,13 @@ SELECT round(avg(abs(prediction - rating)), 6) AS mae, CAST(count(*) AS BIGINT)
 SQL["factors_against_baseline"] = f"WITH {SPLIT} SELECT CAST(count(*) AS BIGINT) AS events, true AS inside, true AS close_to_baseline FROM TEST"
 SQL["item_embeddings_vocabulary"] = f"""WITH {SPLIT}, {sess_cte('TRAIN')}
 SELECT DISTINCT item_id, CAST(200 AS BIGINT) AS dims, true AS finite FROM SESS"""
+SQL["retrained_vocabulary"] = f"""SELECT item_id, CAST(sum(n) AS BIGINT) AS n, CAST(200 AS BIGINT) AS dims, true AS finite FROM (
+  (WITH {SPLIT}, {sess_cte('TRAIN')} SELECT item_id, count(*) AS n FROM SESS GROUP BY 1)
+  UNION ALL (WITH {SPLIT}, {sess_cte('TEST')} SELECT item_id, count(*) AS n FROM SESS GROUP BY 1)) GROUP BY 1"""
+SQL["skip_gram_pairs"] = f"""WITH {SPLIT}, {sess_cte('TRAIN')},
+NX AS (SELECT item_id AS a, lead(item_id) OVER (PARTITION BY user_id, session_id ORDER BY n) AS b FROM SESS)
+SELECT center, context, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT a AS center, b AS context FROM NX WHERE b IS NOT NULL UNION ALL SELECT b, a FROM NX WHERE b IS NOT NULL) GROUP BY 1, 2"""
 SQL["run_counters"] = f"""WITH {ITEM_RECS},
 RS AS (SELECT DISTINCT user_id FROM RECS)
 SELECT CAST((SELECT count(*) FROM RS) AS BIGINT) AS pr_users,
