@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqrec.functions.exprs import clamp, dot
+from seqrec.operators.innerproduct import top_products
 from seqrec.operators.ordering import global_ordinal
 from seqrec.operators.topk import topk_per_key
 from seqrec.session import cut
@@ -79,46 +78,23 @@ def factor_predictions(model: dict, events: DataFrame) -> DataFrame:
     return predict_clamped(joined, model, extra=dot("_p", "_q")).drop("_p", "_q")
 
 
-#: Users and items that meet in one task at once.
-USER_BLOCK, ITEM_BLOCK = 2048, 4096
-
-
-def _block_top(key, users: pa.Table, items: pa.Table) -> pa.Table:
-    """Each user's best items of one block, as many as the user may need."""
-    schema = pa.schema([("user_id", pa.int64()), ("item_id", pa.int64()), ("raw", pa.float64())])
-    if not users.num_rows or not items.num_rows:
-        return schema.empty_table()
-    p, q = (np.asarray(t["vec"].combine_chunks().flatten()).astype(np.float64).reshape(t.num_rows, -1) for t in (users, items))
-    scores = np.round(p @ q.T + items["b_i"].to_numpy(), PRED_DIGITS)
-    ids = items["item_id"].to_numpy()
-    need = np.minimum(users["need"].to_numpy(), len(ids))
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)
-    row = np.repeat(np.arange(len(need)), need)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(need) - need, need)
-    best = order[row, at]
-    return pa.table([users["user_id"].to_numpy()[row], ids[best], scores[row, best]], schema=schema)
-
-
 def recommend_factors(model: dict, train: DataFrame, test: DataFrame, ev_first: DataFrame, n: int = 5) -> DataFrame:
     """Top-``n`` unseen training-catalog items per test event of a training user.
 
-    Items rank by ``b_i + p . q`` (mu and b_u are the same for all of a user's items).  A user needs the best ``n``
-    plus as many items as it has seen by its last test event; blocks of users meet blocks of items once, and each
-    gives every user at most that many.  ``ev_first``: ``(user_id, item_id, first_key)`` with the struct
+    Items rank by ``b_i + p . q`` (mu and b_u are the same for all of a user's items); see ``innerproduct`` for the search.  What a user
+    holds in training is seen at every test event; of the rest an event can rule out only what the user consumes in the test period,
+    so a user needs the best ``n`` plus that many.  ``ev_first``: ``(user_id, item_id, first_key)`` with the struct
     ``(ts, event_id)`` of the first consumption.  Returns ``(event_id, user_id, item_id, score, rank)``.
     """
     tev = test.join(model["users"].select("user_id"), "user_id", "left_semi").select("event_id", "user_id", "ts")
-    need = (ev_first.join(tev.select("user_id").distinct(), "user_id", "left_semi")
-            .groupBy("user_id").agg((F.count(F.lit(1)) + n).alias("need")))
-    users = cut(model["users"].join(need, "user_id"), "asking")
-    items = model["items"].join(model["item_bias"], "item_id")
-    u_blocks, i_blocks = (max(1, -(-t.count() // size)) for t, size in ((users, USER_BLOCK), (items, ITEM_BLOCK)))
-    spread = lambda t, own, n_own, other, n_other: t.withColumn(own, F.pmod(F.xxhash64(t.columns[0]), F.lit(n_own)).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    key = ["_ub", "_ib"]
-    cand = (spread(users, "_ub", u_blocks, "_ib", i_blocks).groupBy(*key)
-            .cogroup(spread(items, "_ib", i_blocks, "_ub", u_blocks).groupBy(*key))
-            .applyInArrow(_block_top, "user_id bigint, item_id bigint, raw double"))
+    asking = tev.select("user_id").distinct()
+    own = train.select("user_id", "item_id").distinct()
+    held = own.join(asking, "user_id", "left_semi").groupBy("user_id").agg(F.collect_list("item_id").alias("seen"))
+    later = (ev_first.join(own, ["user_id", "item_id"], "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("_c")))
+    users = (model["users"].join(asking, "user_id").join(held, "user_id", "left").join(later, "user_id", "left")
+             .select("user_id", "vec", (F.coalesce("_c", F.lit(0)) + n).alias("need"), "seen"))
+    items = model["items"].join(model["item_bias"], "item_id").select("item_id", "vec", F.col("b_i").alias("bias"))
+    cand = top_products(users, items)
     j = tev.join(cand, "user_id").join(ev_first, ["user_id", "item_id"], "left")
     seen = (F.col("first_key.ts") < F.col("ts")) | (
         (F.col("first_key.ts") == F.col("ts")) & (F.col("first_key.event_id") < F.col("event_id")))
