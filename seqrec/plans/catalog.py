@@ -37,6 +37,7 @@ from seqrec.session import cut, scratch_path
 from seqrec.sources import sessions_io as SIO
 from seqrec.sources.ratings import events_ratings, lineitem_ratings, read_ratings, write_ratings
 from seqrec.sources.vectors import embeddings_table, load_embeddings, save_embeddings
+from seqrec.streaming import sessions as STS
 from seqrec.streaming import similarity as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -670,6 +671,11 @@ def q_stream_item_similarity(spark, sf):
     return STR.run_stream_item_similarity(spark, _staged(spark, sf, "train"), P.GAP_E)
 
 
+@query("stream_sessions")
+def q_stream_sessions(spark, sf):
+    return STS.run_stream_sessions(spark, _staged(spark, sf, "all"), P.GAP_E)
+
+
 @query("stream_user_similarity")
 def q_stream_user_similarity(spark, sf):
     return STR.run_stream_user_similarity(spark, _staged(spark, sf, "all"), P.DELTA)

@@ -167,6 +167,8 @@ G1 AS (SELECT *, CAST(sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id RO
        AS session_id FROM G0)
 SELECT user_id, session_id, row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) - 1 AS n,
        item_id, ts, event_id FROM G1"""
+SQL["stream_sessions"] = f"""SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS events
+FROM ({SQL["gap_sessions"]}) GROUP BY user_id, session_id"""
 SQL["session_corpus"] = f"WITH {SESS} SELECT user_id, session_id, n, CAST(item_id AS VARCHAR) AS token FROM SESS"
 SQL["session_sentences"] = f"""WITH {SESS}
 SELECT user_id, session_id, string_agg(CAST(item_id AS VARCHAR), ' ' ORDER BY n) AS sentence FROM SESS GROUP BY 1, 2"""
