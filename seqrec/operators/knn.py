@@ -121,9 +121,18 @@ def _unpacked(table: pa.Table, items: str, weights: str, born: str):
     return row, lists.flatten().to_numpy(zero_copy_only=False), rest[0], rest[1].astype(np.int64)
 
 
-def _visit(measure: str, k: int | None, versions: int):
-    """The best members of one block for each visitor and version, among those that reach the visitor's k-th score so far."""
-    schema = pa.schema([("version", pa.int32()), ("user_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
+_FOUND = "version int, until int, user_id bigint, neighbor_id bigint, score double"
+
+
+def _visit(measure: str, k: int | None, versions: int, intervals: bool = False):
+    """The best members of one block for each visitor and version, among those that reach the visitor's k-th score so far.
+
+    With ``intervals`` every positive score of a pair (smaller id first) once, with the first and last version at which it holds."""
+    schema = pa.schema([("version", pa.int32()), ("until", pa.int32()), ("user_id", pa.int64()), ("neighbor_id", pa.int64()), ("score", pa.float64())])
+
+    def rows_of(i, j, score, first, last, who, member):
+        full = lambda v: np.broadcast_to(np.asarray(v, np.int32), len(i))
+        return pa.table([full(first), full(last), who[i], member[j], score], schema=schema)
 
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
@@ -158,7 +167,9 @@ def _visit(measure: str, k: int | None, versions: int):
             found = np.unique(cp)
             begin, until = np.searchsorted(cp, found), np.searchsorted(cp, found, side="right")
             upto = np.searchsorted(cp * versions + cs, (found[:, None] * versions + np.arange(versions)).reshape(-1), side="right").reshape(-1, versions)
+            start, before = np.zeros(product.shape if intervals else 0, np.int32), None
             for version in range(versions):
+                before = product.copy() if intervals else None
                 for n, p in enumerate(found):  # item by item: its visitors times its members, as far as one side is new
                     a, s = begin[n], starts[p]
                     old_v = a if version == 0 else upto[n, version - 1]
@@ -168,16 +179,25 @@ def _visit(measure: str, k: int | None, versions: int):
                         product[np.ix_(cv[old_v:new_v], held_by[s:new_m])] += cw[old_v:new_v, None] * held_w[s:new_m]
                     if old_v > a and new_m > old_m:
                         product[np.ix_(cv[a:old_v], held_by[old_m:new_m])] += cw[a:old_v, None] * held_w[old_m:new_m]
+                if intervals:  # scores that end here, after they have held from their version to the one before
+                    changed = (product != before) & (who[low:low + rows, None] < member)
+                    i, j = np.nonzero(changed & (before > 0))
+                    out.append(rows_of(low + i, j, before[i, j], start[i, j], version - 1, who, member))
+                    start[changed] = version
+                    continue
                 score = _scores(measure, product, own[low:low + rows, None], theirs)
                 score = np.where(who[low:low + rows, None] == member, 0.0, score)
                 i, j, value = _best(score, floor[low:low + rows], k, member)
-                out.append(pa.table([np.full(len(i), version, np.int32), who[low + i], member[j], value], schema=schema))
+                out.append(rows_of(low + i, j, value, version, version, who, member))
+            if intervals:
+                i, j = np.nonzero((product > 0) & (who[low:low + rows, None] < member))
+                out.append(rows_of(low + i, j, product[i, j], start[i, j], versions - 1, who, member))
         return pa.concat_tables(out)
 
     return run
 
 
-def _visits(entries: DataFrame, visits: DataFrame, measure: str, k: int | None, versions: int) -> DataFrame:
+def _visits(entries: DataFrame, visits: DataFrame, measure: str, k: int | None, versions: int, intervals: bool = False) -> DataFrame:
     """Scores of ``visits`` ``(user_id, block, kth)`` that reach ``kth``.
 
     The visitors of a block are cut into slices of about ``VISITORS`` (fewer, if there would be less work items than shuffle partitions), and the block meets every slice."""
@@ -191,7 +211,7 @@ def _visits(entries: DataFrame, visits: DataFrame, measure: str, k: int | None,
     hosts = (entries.join(slices, "block")
              .select("block", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("slice"), "user_id", "items", "weights", "born", "size"))
     return (guests.groupBy("block", "slice").cogroup(hosts.groupBy("block", "slice"))
-            .applyInArrow(_visit(measure, k, versions), "version int, user_id bigint, neighbor_id bigint, score double"))
+            .applyInArrow(_visit(measure, k, versions, intervals), _FOUND))
 
 
 def products(weights: DataFrame, item_cols: Sequence[str] = ("item_id",), measure: str = "count", block_users: int = 2048) -> DataFrame:
@@ -201,7 +221,18 @@ def products(weights: DataFrame, item_cols: Sequence[str] = ("item_id",), measur
     ship(weights.sparkSession)
     entries, blocks = _layout(weights, measure, block_users, item_cols)
     visits = cut(_bounds(entries, measure, blocks).select("user_id", "block", F.lit(0.0).alias("kth")), "knn-visits")
-    return _visits(entries, visits, measure, None, 1).drop("version")
+    return _visits(entries, visits, measure, None, 1).drop("version", "until")
+
+
+def count_intervals(weights: DataFrame, item_cols: Sequence[str], versions: int, block_users: int = 2048) -> DataFrame:
+    """``(version, until, user_id, neighbor_id, score)``: the common items of every pair of users, smaller id first, as intervals of versions.
+
+    ``weights``: ``(user_id, *item_cols, born)`` with the number of the version from which an entry counts.  A pair has one row for each
+    value its score takes, so rows grow with changes and not with versions."""
+    ship(weights.sparkSession)
+    entries, blocks = _layout(weights, "count", block_users, item_cols)
+    visits = cut(_bounds(entries, "count", blocks).select("user_id", "block", F.lit(0.0).alias("kth")), "knn-visits")
+    return _visits(entries, visits, "count", None, versions, intervals=True)
 
 
 def top_k_users(weights: DataFrame, k: int, measure: str = "cosine", block_users: int = 2048, item_cols: Sequence[str] = ("item_id",),
@@ -223,7 +254,7 @@ def top_k_users(weights: DataFrame, k: int, measure: str = "cosine", block_users
     # round 0: the block with the best bound, the smaller on ties
     first = bounds.groupBy("user_id").agg(F.min(F.struct((-F.col("bound")).alias("b"), "block")).alias("_f"))
     first = first.select("user_id", F.col("_f.block").alias("block"), F.lit(0.0).alias("kth"))
-    seed = cut(topk_per_key(_visits(entries, first, measure, k, versions or 1), key, "neighbor_id", "score", k), "knn-seed")
+    seed = cut(topk_per_key(_visits(entries, first, measure, k, versions or 1).drop("until"), key, "neighbor_id", "score", k), "knn-seed")
     # a bound holds for the last version and the k-th score of the first is the lowest, so no version loses a neighbour
     kth = seed.where((F.col("rank") == k) & (F.col("version") == 0)).select("user_id", F.col("score").alias("kth"))
     rest = (bounds.join(first.select("user_id", F.col("block").alias("_done")), "user_id").where(F.col("block") != F.col("_done"))
@@ -233,7 +264,7 @@ def top_k_users(weights: DataFrame, k: int, measure: str = "cosine", block_users
     best = seed
     more = not rest.isEmpty()
     if more:
-        found = cut(_visits(entries, rest, measure, k, versions or 1), "knn-found")
+        found = cut(_visits(entries, rest, measure, k, versions or 1).drop("until"), "knn-found")
         best = topk_per_key(seed.drop("rank").unionByName(found), key, "neighbor_id", "score", k)
     if info is not None:
         info.update(users=bounds.select("user_id").distinct().count(), blocks=blocks, first=first.count(), rest=rest.count(),

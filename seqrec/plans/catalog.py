@@ -326,6 +326,12 @@ def q_versioned_similarity(spark, sf):
     return INC.versioned_similarity(ev, t0, total, P.DELTA, UB.refresh_period(total, UB_PARAMS))
 
 
+@query("similarity_intervals")
+def q_similarity_intervals(spark, sf):
+    ev, t0, total = UB._split(events_ratings(spark, sf), UB_PARAMS)
+    return INC.similarity_intervals(ev, t0, total, P.DELTA, UB.refresh_period(total, UB_PARAMS))
+
+
 @query("delta_profiles")
 def q_delta_profiles(spark, sf):
     ev, t0, total = UB._split(events_ratings(spark, sf), UB_PARAMS)

@@ -269,6 +269,11 @@ SQL["merge_similarity"] = f"""WITH {UCON},
 M AS (SELECT user_a, user_b, CAST(count(*) AS BIGINT) AS score FROM CON GROUP BY 1, 2)
 SELECT user_a, user_b, score FROM M UNION ALL SELECT user_b, user_a, score FROM M"""
 SQL["versioned_similarity"] = f"WITH {UVS} SELECT * FROM VS"
+SQL["similarity_intervals"] = f"""WITH {UVS},
+CH AS (SELECT *, coalesce(lag(score) OVER (PARTITION BY user_a, user_b ORDER BY version), 0) <> score AS changed FROM VS)
+SELECT user_a, user_b, score, version AS valid_from,
+       coalesce((SELECT max(version) FROM VER WHERE version < nxt), (SELECT max(version) FROM VER)) AS valid_to
+FROM (SELECT *, lead(version) OVER (PARTITION BY user_a, user_b ORDER BY version) AS nxt FROM CH WHERE changed)"""
 SQL["delta_profiles"] = f"""WITH {UEV}
 SELECT user_id, item_id, ts, event_id, ord,
        CASE WHEN ord <= t0 - 1 THEN t0 - 1 ELSE CAST(ceil(ord / rp) AS BIGINT) * rp END AS version FROM EV"""

@@ -105,3 +105,22 @@ def test_versions_of_common_items(spark, monkeypatch, seed, block_users, visitor
     every = counts_by_version([(u, i, 0) for u, i, _ in rows], 10 ** 6, 1)
     assert {(r["user_id"], r["neighbor_id"], r["score"]) for r in all_} == {(u, v, c) for (_, u, _), (v, c) in every.items()}
     assert len(all_) == len(every)
+
+
+@pytest.mark.parametrize("seed,block_users", [(1, 2048), (2, 9)])
+def test_intervals_hold_every_score_once(spark, monkeypatch, seed, block_users):
+    monkeypatch.setattr(knn, "_CHUNK", 8)
+    rng = random.Random(seed)
+    rows = [(u, i, rng.choice([0, 0, 1, 2, 3])) for u, i, _ in log(seed, users=25, communities=2)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, born int")
+    got = knn.count_intervals(df, ("item_id",), 4, block_users).collect()
+    by = {}
+    for r in got:
+        assert r["user_id"] < r["neighbor_id"] and r["version"] <= r["until"]
+        for version in range(r["version"], r["until"] + 1):
+            assert (version, r["user_id"], r["neighbor_id"]) not in by  # intervals of a pair do not overlap
+            by[version, r["user_id"], r["neighbor_id"]] = r["score"]
+    want = {(version, u, v): c for (version, u, _), (v, c) in counts_by_version(rows, 10 ** 6, 4).items() if u < v}
+    assert by == want
+    changes = sum(1 for (version, u, v), c in want.items() if want.get((version - 1, u, v)) != c)
+    assert len(got) == changes
