@@ -77,7 +77,7 @@ def _drawn(tables: tuple[np.ndarray, np.ndarray], n: int, rng) -> np.ndarray:
     return np.where(rng.random(n) < keep[at], at, other[at])
 
 
-def _step(vectors: np.ndarray, steps: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+def adagrad_step(vectors: np.ndarray, steps: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """One row-wise Adagrad step on the rows that occur."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
@@ -109,8 +109,8 @@ def train_cell(center: np.ndarray, center_step: np.ndarray, context: np.ndarray,
             label = np.zeros(len(rows), np.float32)
             label[:len(now)] = 1
             g = (label - 1 / (1 + np.exp(-np.clip((x * y).sum(1), -30, 30))))[:, None].astype(np.float32)
-            _step(center, center_step, rows, g * y, p.rate)
-            _step(context, context_step, columns, g * x, p.rate)
+            adagrad_step(center, center_step, rows, g * y, p.rate)
+            adagrad_step(context, context_step, columns, g * x, p.rate)
 
 
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:

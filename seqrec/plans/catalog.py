@@ -17,6 +17,7 @@ from seqrec.operators import decay as DC
 from seqrec.operators import embeddings as EM
 from seqrec.operators import evaluate as EV
 from seqrec.operators import incremental as INC
+from seqrec.operators import jointfactors as JF
 from seqrec.operators import models as MD
 from seqrec.operators import neighbors as NB
 from seqrec.operators import ordering as O
@@ -472,7 +473,6 @@ def q_precision_recall_embeddings(spark, sf):
 # ---------------------------------------------------------------- models
 
 
-ALS_RANK, ALS_ITERS = 100, 10
 SKIP_GRAM = EM.SkipGram(size=200, window=3, negatives=4, epochs=1, seed=339)
 
 
@@ -505,7 +505,13 @@ def q_mae_baseline(spark, sf):
 
 def _factors_e(spark, sf):
     train, test = _train_test_e(spark, sf)
-    return train, test, MD.train_factors(train, rank=ALS_RANK, max_iter=ALS_ITERS)
+    return train, test, JF.train_joint_factors(train, JF.JointFactors(rank=P.FACTORS))
+
+
+@query("rated_pairs")
+def q_rated_pairs(spark, sf):
+    """What the factors learn from: every pair of the training split once, with the number and the sum of its ratings."""
+    return JF.rated_pairs(_train_test_e(spark, sf)[0]).withColumn("total", F.round("total", 6))
 
 
 @query("train_factors")
@@ -523,9 +529,9 @@ def q_mae_factors(spark, sf):
 @query("factors_against_baseline")
 def q_factors_against_baseline(spark, sf):
     """What must hold of the fitted factors whatever the optimiser does: every test event predicted inside the rating range, and no worse than the biases alone."""
-    _, test, model = _factors_e(spark, sf)
+    train, test, model = _factors_e(spark, sf)
     pred = cut(MD.factor_predictions(model, test), "predictions")
-    base = EV.mae(MD.predict_clamped(test, model)).first()["mae"]
+    base = EV.mae(MD.predict_clamped(test, MD.bias_baseline(train))).first()["mae"]
     inside = F.coalesce(F.every(F.col("prediction").between(MD.MIN_RATING, MD.MAX_RATING)), F.lit(False))
     return pred.agg(F.count(F.lit(1)).alias("events"), inside.alias("inside"), (F.avg(F.abs(F.col("prediction") - F.col("rating"))) <= base * 1.05).alias("close_to_baseline"))
 

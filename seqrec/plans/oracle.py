@@ -419,6 +419,8 @@ UNION ALL SELECT 'user', user_id, round(b_u, 6) FROM BU"""
 SQL["predict_clamped"] = f"WITH {BIAS} SELECT * FROM PRED"
 SQL["mae_baseline"] = f"""WITH {BIAS}
 SELECT round(avg(abs(prediction - rating)), 6) AS mae, CAST(count(*) AS BIGINT) AS events FROM PRED"""
+SQL["rated_pairs"] = f"""WITH {SPLIT}
+SELECT user_id, item_id, CAST(count(*) AS BIGINT) AS n, round(sum(rating), 6) AS total FROM TRAIN GROUP BY ALL"""
 SQL["factors_against_baseline"] = f"WITH {SPLIT} SELECT CAST(count(*) AS BIGINT) AS events, true AS inside, true AS close_to_baseline FROM TEST"
 SQL["item_embeddings_vocabulary"] = f"""WITH {SPLIT}, {sess_cte('TRAIN')}
 SELECT DISTINCT item_id, CAST(200 AS BIGINT) AS dims, true AS finite FROM SESS"""

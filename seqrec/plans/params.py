@@ -18,6 +18,7 @@ DELTA = 40                              # position window of the user similarity
 PHASE_DAYS_E = 7                        # age phases on E (all ages < 30 days)
 REFRESH_PCT = 5                         # refresh the user network every 5 % of events
 N_EMB = 5                               # embedding / factor recommendations
+FACTORS = 100                           # latent factors of a user or item
 EMB_TOPN = 100                          # most_similar topn
 EMB_RECENT = 3                          # recent items as positives
 SESSION_GAP_E = 24 * 3_600 * MICROS_PER_SECOND
