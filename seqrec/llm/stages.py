@@ -37,12 +37,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay with the probability min(1, rate), decided by the hash of doc_id; no document is taken twice.
+    """Documents stay with the probability of their rate, decided by the hash of doc_id.
 
-    Rates of the wanted domain are above 1, so its documents stay.
+    Rates lie between 0 and 1 and the total is free, so that the kept tokens have the shares of the targets and most documents of the
+    domain that is short of its share stay; posteriors are calibrated on held-out labels, since the shares are met as the posteriors tell.
     """
     columns = docs.columns
-    made = mixing.mix(docs.select("doc_id", "text"), docs.select("doc_id", "text").join(domain_labels(spark, sf_dir), "doc_id"), MIX)
+    made = mixing.mix(docs.select("doc_id", "text"), docs.select("doc_id", "text").join(domain_labels(spark, sf_dir), "doc_id"), MIX, subset=True, calibrate=True)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     gone = made["rates"].where("doc_id is not null").where(F.col("rate") <= chance).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*columns)

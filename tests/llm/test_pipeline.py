@@ -29,10 +29,10 @@ def test_run_equals_plain_stages(spark):
     first = test_minhash.brute(rows)
     rows = [(i, redacted(t)) for i, t in rows if first[i] == i]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    made = mixing.mix(docs, docs.join(queries.domain_labels(spark, SF), "doc_id"), queries.MIX)
+    made = mixing.mix(docs, docs.join(queries.domain_labels(spark, SF), "doc_id"), queries.MIX, subset=True, calibrate=True)
     table = made["rates"].withColumn("chance", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)).orderBy("doc_id").collect()
     wanted = np.array([queries.MIX[d] for d in made["domains"]])
-    rate = test_mixing.plain(np.array([r["n_tokens"] for r in table], float), np.array([r["posterior"] for r in table]), wanted)
+    rate = test_mixing.plain_subset(np.array([r["n_tokens"] for r in table], float), np.array([r["posterior"] for r in table]), wanted)
     assert np.allclose(rate, [r["rate"] for r in table], atol=1e-4)
     stay = {r["doc_id"] for r, x in zip(table, rate) if x > r["chance"]}
     assert 0.5 * len(rows) < len(stay) < len(rows)
