@@ -15,7 +15,6 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -177,31 +176,47 @@ def wrapper_of(element: Element) -> list:
 
 
 def _partners(left: list[str], right: list[str]) -> list[tuple[int, int]]:
-    """Places of equal labels that go together, in order: a longest common subsequence, or for long lists (a product of
-    lengths above 250,000) each label with its next place on the other side."""
+    """Places of equal labels that go together, in order: a longest common subsequence, for lists of any length.
+
+    Row i holds as bits where the length for left[i:] and right[j:] falls by one from j to j + 1, so a row is a few operations
+    on whole numbers.  Every s-th row is kept and the s rows between are made again when the walk comes to them.
+    """
     n, m = len(left), len(right)
-    if n * m > 250_000:
-        places: dict[str, list[int]] = {}
-        for j, name in enumerate(right):
-            places.setdefault(name, []).append(j)
-        out, after = [], 0
-        for i, name in enumerate(left):
-            own = places.get(name, ())
-            k = bisect_left(own, after)
-            if k < len(own):
-                out.append((i, own[k]))
-                after = own[k] + 1
-        return out
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    step, full = max(1, int(n ** 0.5)), (1 << m) - 1
+    places: dict[str, list[int]] = {}
+    for j, name in enumerate(right):
+        places.setdefault(name, []).append(m - 1 - j)
+    # bit m - 1 - j stands for place j: a list is read from its end
+    where = {name: sum(1 << b for b in bits) if len(bits) < 64 else int("".join("1" if r == name else "0" for r in right), 2) for name, bits in places.items()}
+
+    def above(row: int, name: str) -> int:
+        common = row & where.get(name, 0)
+        return ((row + common) | (row - common)) & full
+
+    kept, row = {n: full}, full  # a 0 stands for a fall
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if left[i] == right[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+        row = above(row, left[i])
+        if i % step == 0:
+            kept[i] = row
+    out, i, j, rows, low = [], 0, 0, [], 0
     while i < n and j < m:
+        if not rows or i >= low + len(rows) - 1:
+            low = i
+            top = min(n, (i // step + 1) * step)
+            rows = [kept[top]]
+            for k in range(top - 1, i - 1, -1):
+                rows.append(above(rows[-1], left[k]))
+            rows.reverse()
         if left[i] == right[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            continue
+        here, below = rows[i - low], rows[i + 1 - low]
+        if not here >> (m - 1 - j) & 1:  # nothing is lost below, as the next place of the right side is worse
+            i += 1
+            continue
+        rest = (1 << (m - j)) - 1
+        if (here & rest).bit_count() == (below & rest).bit_count():
             i += 1
         else:
             j += 1

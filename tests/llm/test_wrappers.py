@@ -117,3 +117,27 @@ def test_repeats_within_a_page_are_one_page():
         new = wrappers.wrapper_of(wrappers.parse(page_(k)))
         whole = new if whole is None else wrappers.align(whole, new)
     assert wrappers.main_text(page_(0), whole) == wrappers.main_text(page_(0))
+
+
+def test_long_lists_align_as_short_ones_do():
+    """Two lists of a product above 250,000 had the next equal label instead of a longest common subsequence."""
+    draw = random.Random(4)
+    left, right = ([str(draw.randrange(12)) for _ in range(n)] for n in (520, 500))
+    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i in range(len(left) - 1, -1, -1):
+        for j in range(len(right) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if left[i] == right[j] else max(best[i + 1][j], best[i][j + 1])
+    wanted, i, j = [], 0, 0
+    while i < len(left) and j < len(right):
+        if left[i] == right[j]:
+            wanted.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    assert wrappers._partners(left, right) == wanted
+    assert wrappers._partners([], right) == [] and wrappers._partners(left, []) == []
+    # one label in front whose partner is far away must not use up the rest
+    rest = [str(k) for k in range(600)]
+    assert wrappers._partners(["z", *rest], [*rest, "z"]) == [(k + 1, k) for k in range(600)]
