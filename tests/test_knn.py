@@ -124,3 +124,25 @@ def test_intervals_hold_every_score_once(spark, monkeypatch, seed, block_users):
     assert by == want
     changes = sum(1 for (version, u, v), c in want.items() if want.get((version - 1, u, v)) != c)
     assert len(got) == changes
+
+
+@pytest.mark.parametrize("dense,columns", [(0, 2048), (10 ** 9, 3), (100, 2)])
+def test_matrix_products_count_as_single_items_do(spark, monkeypatch, dense, columns):
+    """Items that go through matrix products (none, all, the common ones) give the same lists and intervals."""
+    monkeypatch.setattr(knn, "_DENSE", dense)
+    monkeypatch.setattr(knn, "_COLUMNS", columns)
+    monkeypatch.setattr(knn, "_CHUNK", 8)
+    rows = log(5)
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, weight double")
+    got = {(r["user_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in knn.top_k_users(df, 4, "cosine", 30).collect()}
+    assert got == all_pairs(rows, 4, "cosine")
+    born = [(u, i, (u + i) % 3) for u, i, _ in rows]
+    spans = knn.count_intervals(spark.createDataFrame(born, "user_id bigint, item_id bigint, born int"), ("item_id",), 3, 30).collect()
+    scores = {(v, s["user_id"], s["neighbor_id"]): s["score"] for s in spans for v in range(s["version"], s["until"] + 1)}
+    want = {}
+    for u, i, b in born:
+        for v, j, c in born:
+            for version in range(max(b, c), 3):
+                if u < v and i == j:
+                    want[version, u, v] = want.get((version, u, v), 0) + 1
+    assert scores == want

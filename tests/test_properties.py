@@ -245,3 +245,15 @@ UNDERCOUNTS: list[int] = []
 
 def test_compat_delta_undercounts_somewhere():
     assert UNDERCOUNTS and max(UNDERCOUNTS) > 0
+
+
+def test_look_ahead_pairs_are_never_broadcast(spark):
+    """A side with copies for every place ahead was planned as a broadcast, since Spark does not count the copies; 40 places, profiles across tiles."""
+    from seqrec.operators.similarity import pairs_ahead, sequence_triples
+    rows = [(u, (7 * p + u) % 113, p) for u in range(3) for p in range(100 + u) if p % 10]
+    first = spark.createDataFrame(rows, "user_id bigint, item_id bigint, first_pos bigint")
+    for delta in (2, 3, 40, 500):
+        want = sorted((u, min(i, j), max(i, j)) for u, i, p in rows for v, j, q in rows if u == v and 0 < q - p < delta)
+        assert sorted(tuple(r) for r in sequence_triples(first, delta).collect()) == want
+    plan = pairs_ahead(first, 40, ["item_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
