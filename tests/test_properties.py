@@ -257,3 +257,14 @@ def test_look_ahead_pairs_are_never_broadcast(spark):
         assert sorted(tuple(r) for r in sequence_triples(first, delta).collect()) == want
     plan = pairs_ahead(first, 40, ["item_id"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_scan_partition_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    """Partitions were merged by bytes, so a task's columns grew with the table."""
+    from seqrec.operators import scan
+    monkeypatch.setattr(scan, "PARTITION_ROWS", 100)
+    df = spark.range(5000).selectExpr("id % 37 as user_id", "id % 11 as item_id", "id as ts", "id as event_id")
+    ranged = scan.sorted_partitions(df, ["user_id", "ts", "event_id"])
+    assert max(r["count"] for r in ranged.groupBy("_pid").count().collect()) < 400
+    got = {(r["event_id"], r["pos"]) for r in scan.positions(df).collect()}
+    assert got == {(e, e // 37) for e in range(5000)}
