@@ -146,3 +146,36 @@ def test_matrix_products_count_as_single_items_do(spark, monkeypatch, dense, col
                 if u < v and i == j:
                     want[version, u, v] = want.get((version, u, v), 0) + 1
     assert scores == want
+
+
+@pytest.mark.parametrize("measure", ["cosine", "jaccard", "count"])
+@pytest.mark.parametrize("sums", [3, 4_000_000])
+def test_bounds_of_users_and_blocks(spark, monkeypatch, measure, sums):
+    """Bounds as counted entry by entry; nothing as large as the entries is broadcast or joined entry by entry."""
+    monkeypatch.setattr(knn, "_SUMS", sums)
+    monkeypatch.setattr(knn, "PACK", 3)
+    rows = log(6, communities=3)
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, weight double")
+    entries, blocks = knn._layout(df, measure, 7, ["item_id"])
+    bounds = knn._bounds(entries, measure, blocks)
+    if measure != "jaccard":  # it broadcasts one number for each block
+        assert "Broadcast" not in bounds._jdf.queryExecution().executedPlan().toString()
+    held, size, block, tops = {}, {}, {}, {}
+    for r in entries.collect():
+        size[r["user_id"]], block[r["user_id"]] = r["size"], r["block"]
+        held.setdefault(r["user_id"], {}).update(zip(r["items"], r["weights"] or [1.0] * len(r["items"])))
+    unit = lambda u, w: w / size[u] if measure == "cosine" else 1.0
+    for u, items in held.items():
+        for i, w in items.items():
+            tops.setdefault(i, {}).setdefault(block[u], []).append(unit(u, w))
+    wanted = {}
+    for u, items in held.items():
+        for i, w in items.items():
+            for b, values in tops[i].items():
+                wanted[u, b] = wanted.get((u, b), 0.0) + unit(u, w) * max(values)
+    if measure == "jaccard":
+        least = {b: min(size[u] for u in block if block[u] == b) for b in block.values()}
+        wanted = {(u, b): s / (size[u] + max(s, least[b]) - s) for (u, b), s in wanted.items()}
+    got = {(r["user_id"], r["block"]): r["bound"] for r in bounds.collect()}
+    assert blocks > 3 and got.keys() == wanted.keys()
+    assert all(got[k] == pytest.approx(v + knn._HALF, abs=1e-9) for k, v in wanted.items())
