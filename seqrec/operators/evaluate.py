@@ -16,8 +16,8 @@ def _per_user(recs: DataFrame, truth: DataFrame, listed) -> DataFrame:
     r = recs.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_m"))
     t = truth.select("user_id", "item_id").distinct()
     t_size = t.groupBy("user_id").agg(F.count(F.lit(1)).alias("t_n"))
-    hit = r.join(t.withColumn("_hit", F.lit(1)), ["user_id", "item_id"], "left")
-    return hit.groupBy("user_id").agg(listed.alias("r_n"), F.count("_hit").alias("h_n")).join(t_size, "user_id")
+    hit = r.hint("merge").join(t.withColumn("_hit", F.lit(1)), ["user_id", "item_id"], "left")
+    return hit.groupBy("user_id").agg(listed.alias("r_n"), F.count("_hit").alias("h_n")).hint("merge").join(t_size, "user_id")
 
 
 def precision_recall(recs: DataFrame, truth: DataFrame, population: DataFrame | None = None) -> DataFrame:

@@ -150,11 +150,13 @@ def sweep_votes(ev: DataFrame, lists: DataFrame, scored: DataFrame, n: int) -> D
              .select("user_id", F.col("_l.item_id").alias("own_later"), F.col("_l.first_ord").alias("own_ords")))
     test = (ev.where("is_test").groupBy("user_id").agg(F.collect_list(F.struct("item_id", "ord")).alias("_x"))
             .select("user_id", F.col("_x.item_id").alias("later_items"), F.col("_x.ord").alias("later_ords")))
-    requests = (asked.join(named, ["user_id", "list"]).join(train.select("user_id", F.col("items").alias("own")), "user_id", "left").join(later, "user_id", "left")
+    # sort-merge joins: lists are small on disk and large in a driver that broadcasts them
+    requests = (asked.hint("merge").join(named, ["user_id", "list"]).hint("merge").join(train.select("user_id", F.col("items").alias("own")), "user_id", "left")
+                .hint("merge").join(later, "user_id", "left")
                 .withColumn("group", F.pmod(F.xxhash64("user_id", "list", "window"), F.lit(tasks)).cast("int")).drop("list", "window"))
     requests = cut(requests, "votes-requests")
-    profiles = train.join(test, "user_id", "full").withColumnRenamed("user_id", "neighbor_id")
+    profiles = train.hint("merge").join(test, "user_id", "full").withColumnRenamed("user_id", "neighbor_id")
     needed = requests.select(F.col("group").alias("of"), F.explode("neighbors").alias("neighbor_id")).distinct()
-    right = needed.join(profiles, "neighbor_id")
+    right = needed.hint("merge").join(profiles, "neighbor_id")
     return (requests.groupBy("group").cogroup(right.groupBy("of"))
             .applyInArrow(_sweep(n), "event_id bigint, user_id bigint, item_id bigint, score bigint, rank bigint"))

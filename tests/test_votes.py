@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from seqrec.operators import votes
+from seqrec.operators.neighbors import pad_short_lists
+from seqrec.session import cut
 
 
 def counted(base, log, seen, later, events, n):
@@ -55,3 +57,28 @@ def test_requests_in_groups_equal_counting_again(spark, monkeypatch):
                     score[i] = score.get(i, 0) + 1
         want |= {(event, u, i, s, r) for r, (s, i) in enumerate(((s, i) for s, i in sorted(((s, i) for i, s in score.items()), key=lambda x: (-x[0], x[1]))[:4]), 1)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_lists_and_profiles_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(votes, "cut", kept)
+    ev = spark.createDataFrame([(u, i, 10 * u + i, i > 2) for u in range(4) for i in range(5)], "user_id bigint, item_id bigint, ord bigint, is_test boolean")
+    lists = spark.createDataFrame([(0, u, v) for u in range(4) for v in range(4) if u != v], "list bigint, user_id bigint, neighbor_id bigint")
+    scored = spark.createDataFrame([(10 * u + i, u, 10 * u + i, 0, 0) for u in range(4) for i in (3, 4)], "event_id bigint, user_id bigint, ord bigint, list bigint, window bigint")
+    out = votes.sweep_votes(ev, lists, scored, 3)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_padding_broadcasts_no_lists(spark):
+    net = cut(spark.createDataFrame([(1, 2, 5, 1), (2, 1, 5, 1), (2, 3, 4, 2)], "user_id bigint, neighbor_id bigint, score bigint, rank bigint"))
+    ids = spark.createDataFrame([(u,) for u in (1, 2, 3, 4)], "user_id bigint")
+    padded = pad_short_lists(net, ids, 2)
+    plan = padded._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(tuple(r) for r in padded.collect()) == [(1, 2, 5, 1), (1, 3, 0, 2), (2, 1, 5, 1), (2, 3, 4, 2), (3, 1, 0, 1), (3, 2, 0, 2), (4, 1, 0, 1), (4, 2, 0, 2)]
