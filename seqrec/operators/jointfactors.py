@@ -24,7 +24,7 @@ from seqrec.session import cut, scratch_path, ship
 @dataclass(frozen=True)
 class JointFactors:
     """``rounds`` over the grid with ``passes`` over a cell's ratings at each visit; ``rate`` and ``reg`` of the steps; ratings are clamped to
-    ``low`` .. ``high``.  ``block_rows`` users or items and about ``cell_pairs`` pairs make a cell."""
+    ``low`` .. ``high``.  ``block_rows`` users or items and about ``cell_pairs`` pairs make a cell; a cell is one task's, so large cells leave cores idle."""
 
     rank: int = 100
     rounds: int = 10
@@ -35,7 +35,7 @@ class JointFactors:
     high: float = 5.0
     batch: int = 1024
     block_rows: int = 250_000
-    cell_pairs: int = 4_000_000
+    cell_pairs: int = 200_000
     seed: int = 339
 
 
@@ -104,7 +104,7 @@ def _cell(p: JointFactors, mu: float, lap: int, turn: int):
         pairs = pairs.sort_by([("user_id", "ascending"), ("item_id", "ascending")])
         u, i = (np.searchsorted(t["id"].to_numpy(), pairs[c].to_numpy()) for t, c in zip(halves, ("user_id", "item_id")))
         users, items = (_side(t, p.rank) for t in halves)
-        rng = np.random.default_rng([p.seed, lap, turn, int(key[0].as_py())])
+        rng = np.random.default_rng([p.seed, lap, turn, halves[0]["block"][0].as_py()])
         train_cell(users, items, u, i, pairs["n"].to_numpy(), pairs["total"].to_numpy(), mu, p, rng)
         return pa.concat_tables([_rows(t, side, p.rank) for t, side in zip(halves, (users, items))])
 
@@ -120,6 +120,14 @@ def _first(rows: DataFrame, p: JointFactors) -> DataFrame:
     return rows.select("id", "is_item", "block", zero.alias("bias"), zero.alias("bias_step"), vec.alias("vec"), zero.alias("vec_step"))
 
 
+def _keys(spark, blocks: int) -> list[int]:
+    """A key for each cell, so that cells go to partitions of their own as far as there are as many; hashes of 0, 1, 2 .. collide."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("key")).orderBy("part")
+    keys = [r["key"] for r in drawn.collect()]
+    return [keys[c % len(keys)] + (c // len(keys)) * 64 * parts for c in range(blocks)]
+
+
 def train_joint_factors(train: DataFrame, p: JointFactors = JointFactors()) -> dict:
     """``mu``, ``user_bias (user_id, b_u)``, ``item_bias (item_id, b_i)``, ``users (user_id, vec)`` and ``items (item_id, vec)``.
 
@@ -141,10 +149,11 @@ def train_joint_factors(train: DataFrame, p: JointFactors = JointFactors()) -> d
         path = scratch_path(spark, "factor-cells")
         (pairs.withColumn("cell", of("user_id")).withColumn("turn", F.pmod(of("item_id") - F.col("cell"), F.lit(blocks)))
          .repartition("turn", "cell").write.mode("overwrite").partitionBy("turn").parquet(path))
+        keys = F.array(*[F.lit(k).cast("bigint") for k in _keys(spark, blocks)])
         for lap in range(p.rounds):
             for turn in range(blocks):
-                mine = spark.read.parquet(path).where(F.col("turn") == turn).select(F.col("cell").alias("of"), "user_id", "item_id", "n", "total")
-                cells = state.withColumn("cell", F.when(F.col("is_item"), F.pmod(F.col("block") - turn, F.lit(blocks))).otherwise(F.col("block")))
+                mine = spark.read.parquet(path).where(F.col("turn") == turn).select(keys[F.col("cell")].alias("of"), "user_id", "item_id", "n", "total")
+                cells = state.withColumn("cell", keys[F.when(F.col("is_item"), F.pmod(F.col("block") - turn, F.lit(blocks))).otherwise(F.col("block"))])
                 state = cut(cells.groupBy("cell").cogroup(mine.groupBy("of")).applyInArrow(_cell(p, mu, lap, turn), _STATE_SQL), "factor-state")
     half = lambda flag, name, bias: (state.where(F.col("is_item") == flag).select(F.col("id").alias(name), F.col("bias").cast("double").alias(bias), "vec"))
     users, items = half(False, "user_id", "b_u"), half(True, "item_id", "b_i")

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqrec.operators import jointfactors
 from seqrec.operators import models as MD
 from seqrec.operators.jointfactors import JointFactors, rated_pairs, train_joint_factors
 
+keys_of = jointfactors._keys
 SCHEMA = "user_id bigint, item_id bigint, rating double"
 
 
@@ -112,3 +114,17 @@ def test_repeats_nulls_and_empty(spark):
     empty = train_joint_factors(train.where("false"), p)
     assert tables(empty) == ({}, {})
     assert MD.factor_predictions(empty, train.where("false")).count() == 0
+
+
+def test_cells_grow_in_number_and_lie_apart(spark, monkeypatch):
+    """The pairs of a large table make several cells, and no two cells of a turn share a partition."""
+    laid = []
+    monkeypatch.setattr(jointfactors, "_keys", lambda s, blocks: laid.append(keys_of(s, blocks)) or laid[-1])
+    rows = spark.range(0, 10_000, 1, 4).select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("item_id"), F.col("id").alias("user_id"), F.lit(3.0).alias("rating"))
+    train_joint_factors(rows, JointFactors(rank=2, rounds=0))
+    assert len(laid[0]) > 1  # a million pairs
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = keys_of(spark, parts + 3)
+    assert len(set(keys)) == parts + 3
+    part = {r["id"]: r["p"] for r in spark.createDataFrame([(k,) for k in keys], "id bigint").select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).collect()}
+    assert len({part[k] for k in keys[:parts]}) == parts
