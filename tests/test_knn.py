@@ -72,6 +72,22 @@ def test_bounds_prune_blocks_and_pairs(spark):
     assert info["emitted"] * 5 < pairs
 
 
+@pytest.mark.parametrize("measure", ["cosine", "jaccard"])
+@pytest.mark.parametrize("stripe,stripes", [(10 ** 9, 1), (1500, 4)])
+def test_a_stripe_of_blocks_sends_k_members_at_most(spark, monkeypatch, measure, stripe, stripes):
+    """Users on common items visit all blocks; what they send grows with the stripes and not with the blocks."""
+    monkeypatch.setattr(knn, "STRIPE", stripe)
+    monkeypatch.setattr(knn, "VISITORS", 37)
+    rng = random.Random(8)
+    rows = [(u, i, 1.0 if measure == "jaccard" else rng.choice([0.5, 1.0, 2.2])) for u in range(200) for i in rng.sample(range(40), 25)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, weight double")
+    info = {}
+    got = {(r["user_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in knn.top_k_users(df, 3, measure, 10, info=info).collect()}
+    assert got == all_pairs(rows, 3, measure)
+    assert info["blocks"] == 20 and info["rest"] > 15 * info["users"]
+    assert info["emitted"] <= (1 + stripes) * 3 * info["users"]
+
+
 def test_no_rows_and_no_common_item(spark):
     schema = "user_id bigint, item_id bigint, weight double"
     assert knn.top_k_users(spark.createDataFrame([], schema), 3).count() == 0
