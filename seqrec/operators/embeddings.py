@@ -45,7 +45,7 @@ class SkipGram:
     seed: int = 339
     batch: int = 256
     block_words: int = 65_536       # words of a block
-    cell_pairs: int = 20_000_000    # pairs of a cell, about
+    cell_pairs: int = 1_000_000     # pairs of a cell, about
 
 
 def skip_pairs(corpus: DataFrame, window: int, seed: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _cell(p: SkipGram, epoch: int, turn: int, total_noise: float):
         steps = [t["step"].to_numpy().astype(np.float64) for t in (left, right)]
         degree, noise = left["degree"].to_numpy(), right["n"].to_numpy() ** NOISE_POWER
         negatives = p.negatives * degree.sum() * noise.sum() / total_noise / n.sum()
-        rng = np.random.default_rng([p.seed, epoch, turn, int(key[0].as_py())])
+        rng = np.random.default_rng([p.seed, epoch, turn, left["block"][0].as_py()])
         train_cell(center, steps[0], context, steps[1], (c, o, n), degree, noise, negatives, p, rng)
         out = []
         for table, vectors, step in ((left, center, steps[0]), (right, context, steps[1])):
@@ -161,6 +161,14 @@ def _begin(p: SkipGram):
     return run
 
 
+def cell_keys(spark: SparkSession, blocks: int) -> list[int]:
+    """A key for each cell, so that cells go to partitions of their own as far as there are as many; hashes of 0, 1, 2 .. collide."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("key")).orderBy("part")
+    keys = [r["key"] for r in drawn.collect()]
+    return [keys[c % len(keys)] + (c // len(keys)) * 64 * parts for c in range(blocks)]
+
+
 def train_skip_gram(corpus: DataFrame, p: SkipGram = SkipGram(), model: DataFrame | None = None) -> DataFrame:
     """The model (schema ``MODEL``) after ``p.epochs`` epochs over ``tokens ARRAY<STRING>``, from scratch or from an earlier model.
 
@@ -194,10 +202,14 @@ def train_skip_gram(corpus: DataFrame, p: SkipGram = SkipGram(), model: DataFram
             F.struct(F.lit(True).alias("is_context"), F.col("context").alias("vec"), F.col("context_step").alias("step")))))
         state = cut(rows, "sgns-state")
         placed = pairs.withColumn("_c", of("center")).withColumn("_o", of("context"))
+        keys = F.array(*[F.lit(k).cast("bigint") for k in cell_keys(spark, blocks)])
+        # a number of partitions of our own: few bytes are much work here, and Spark would put the cells of a round into one task
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        alone = lambda df, c: df.repartition(parts, c).groupBy(c)
         for turn in range(blocks):
-            cells = state.withColumn("cell", F.when(F.col("is_context"), F.pmod(F.col("block") - turn, F.lit(blocks))).otherwise(F.col("block")))
-            mine = placed.where(F.col("_o") == F.pmod(F.col("_c") + turn, F.lit(blocks))).select(F.col("_c").alias("of"), "center", "context", "n")
-            state = cut(cells.groupBy("cell").cogroup(mine.groupBy("of")).applyInArrow(_cell(p, epoch, turn, whole["noise"]), _STATE_SQL), "sgns-state")
+            cells = state.withColumn("cell", keys[F.when(F.col("is_context"), F.pmod(F.col("block") - turn, F.lit(blocks))).otherwise(F.col("block"))])
+            mine = placed.where(F.col("_o") == F.pmod(F.col("_c") + turn, F.lit(blocks))).select(keys[F.col("_c")].alias("of"), "center", "context", "n")
+            state = cut(alone(cells, "cell").cogroup(alone(mine, "of")).applyInArrow(_cell(p, epoch, turn, whole["noise"]), _STATE_SQL), "sgns-state")
         half = lambda flag, name: state.where(F.col("is_context") == flag).select("word", *(["n"] if not flag else []), F.col("vec").alias(name), F.col("step").alias(f"{name}_step"))
         words = cut(half(False, "center").join(half(True, "context"), "word"), "sgns-begun")
     return words.unionByName(below.select(*words.columns)).select("word", "n", "center", "center_step", "context", "context_step")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqrec.operators.embeddings import adagrad_step
+from seqrec.operators.embeddings import adagrad_step, cell_keys as _keys
 from seqrec.session import cut, scratch_path, ship
 
 
@@ -120,14 +120,6 @@ def _first(rows: DataFrame, p: JointFactors) -> DataFrame:
     return rows.select("id", "is_item", "block", zero.alias("bias"), zero.alias("bias_step"), vec.alias("vec"), zero.alias("vec_step"))
 
 
-def _keys(spark, blocks: int) -> list[int]:
-    """A key for each cell, so that cells go to partitions of their own as far as there are as many; hashes of 0, 1, 2 .. collide."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("part")).agg(F.min("id").alias("key")).orderBy("part")
-    keys = [r["key"] for r in drawn.collect()]
-    return [keys[c % len(keys)] + (c // len(keys)) * 64 * parts for c in range(blocks)]
-
-
 def train_joint_factors(train: DataFrame, p: JointFactors = JointFactors()) -> dict:
     """``mu``, ``user_bias (user_id, b_u)``, ``item_bias (item_id, b_i)``, ``users (user_id, vec)`` and ``items (item_id, vec)``.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from seqrec.operators import embeddings as EM
 from seqrec.session import scratch_path
 
+EM_cut = EM.cut
+
 
 def sentences(seed, n=300, topics=4, words=8):
     rng = random.Random(seed)
@@ -110,6 +112,24 @@ def test_result_does_not_depend_on_partitions(spark):
     assert results[0] == results[1]
 
 
+def test_cells_of_a_round_are_tasks_of_their_own(spark, monkeypatch):
+    """However few bytes they are: every cell leaves a file of its own."""
+    states = []
+
+    def cut(df, name="cut"):
+        out = EM_cut(df, name)
+        if name == "sgns-state":
+            states.append(out)
+        return out
+
+    monkeypatch.setattr(EM, "cut", cut)
+    EM.train_skip_gram(frame(spark, sentences(3)), EM.SkipGram(**{**P.__dict__, "epochs": 1, "block_words": 10}))
+    files = states[-1].where(~F.col("is_context")).select("block", F.input_file_name().alias("file")).distinct().collect()
+    blocks = len({r["block"] for r in files})
+    assert len(states) == blocks + 1 > 3
+    assert len(files) == len({r["file"] for r in files}) == blocks
+
+
 def test_training_further_beats_a_refit(spark):
     """A model of one batch, extended by another: known words keep what they learned, new ones come in, at the loss of a refit with the second batch's steps alone."""
     first, second = sentences(4, 300), sentences(5, 120) + [["new_1", "new_2", "0_1", "new_1"]] * 10
