@@ -195,3 +195,43 @@ def test_bounds_of_users_and_blocks(spark, monkeypatch, measure, sums):
     got = {(r["user_id"], r["block"]): r["bound"] for r in bounds.collect()}
     assert blocks > 3 and got.keys() == wanted.keys()
     assert all(got[k] == pytest.approx(v + knn._HALF, abs=1e-9) for k, v in wanted.items())
+
+
+@pytest.mark.parametrize("few", [0.0, 1.0])
+def test_lists_of_versions_leave_a_task_once(spark, monkeypatch, few):
+    """What leaves the tasks is final: k rows for a user and version at most, however many blocks there are; versions counted pair by pair or as a whole."""
+    monkeypatch.setattr(knn, "_FEW", few)
+    monkeypatch.setattr(knn, "_COLUMNS", 5)
+    rng = random.Random(9)
+    rows = [(u, i, rng.choice([0, 0, 1, 2])) for u in range(120) for i in rng.sample(range(30), 18)] + [(u, 100 + u // 2, 1) for u in range(120)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, born int")
+    info = {}
+    got = knn.top_k_users(df, 3, "count", 10, versions=3, info=info).collect()
+    want = counts_by_version(rows, 3, 3)
+    assert {(r["version"], r["user_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in got} == want
+    assert info["emitted"] == len(got) == len(want)
+
+
+def test_changes_hold_both_counts(spark):
+    rng = random.Random(10)
+    rows = [(u, i, rng.choice([0, 0, 1])) for u, i, _ in log(3, users=40, communities=2)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, born int")
+    got = {(r["user_id"], r["neighbor_id"]): (r["before"], r["after"]) for r in knn.count_changes(df, ("item_id",), 9).collect()}
+    counts = counts_by_version(rows, 10 ** 6, 2)
+    want = {}
+    for (version, u, _), (v, c) in counts.items():
+        if u < v:
+            want.setdefault((u, v), [0, 0])[version] = c
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_a_pair_of_blocks_meets_once(spark):
+    """All pairs: a user visits its own block and later ones only, and both directions are there."""
+    rows = [(u, i, 1.0) for u in range(60) for i in range(u % 3, 9, 2)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, weight double")
+    entries, blocks = knn._layout(df, "count", 10, ["item_id"])
+    visits = knn._bounds(entries, "count", blocks).selectExpr("user_id", "block", "bound", "0.0D as kth")
+    got = knn._visits(entries, visits, "count", None, 1, "products")
+    items = {u: {i for v, i, _ in rows if v == u} for u in range(60)}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((u, v, float(len(items[u] & items[v]))) for u in items for v in items if u != v and items[u] & items[v])
+    assert blocks == 6
