@@ -112,3 +112,21 @@ def test_a_user_who_returns_and_a_late_event(spark):
     assert sorted(tuple(r) for r in STR.run_stream_blocks(spark, both, 10, out=out).select(*cols).collect()) == want
     dropped = SB.late(spark.read.schema(SB.BLOCK_SCHEMA).parquet(out)).collect()
     assert [(r["user_id"], r["item_id"], r["event_id"]) for r in dropped] == [(1, 50, 77)]
+
+
+def test_contributions_are_counted_without_a_row_for_each(spark, monkeypatch):
+    """Users on one common item pair: counts before and after a time, as contributions added up give them."""
+    from pyspark.sql import functions as F
+
+    from seqrec.operators import similarity as S
+
+    rows = [(u, i, j, (u * 7 + i) % 10) for u in range(40) for i in range(4) for j in range(i + 1, 5) if (u + i + j) % 3]
+    triples = spark.createDataFrame(rows, "user_id bigint, item_i bigint, item_j bigint, born bigint")
+    one = S.pair_contributions(triples)
+    want = {tuple(r) for r in one.groupBy("user_a", "user_b").agg(F.count_if(F.col("born") < 5), F.count(F.lit(1))).collect()}
+
+    def never(*_, **__):
+        raise AssertionError("a row for each contribution")
+
+    monkeypatch.setattr(S, "pairs_within_groups", never)
+    assert {tuple(r) for r in S.pair_counts(triples, F.lit(5)).collect()} == want
