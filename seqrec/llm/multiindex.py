@@ -3,7 +3,8 @@
 Unit vectors are cut in two halves; a codebook of its own for either half turns the pairs of codewords into a grid of
 cells, and every vector is filed under its cell.  A vector then visits cells in the order of a lower bound on
 its distance to anything filed there (the multi-sequence traversal) until the bound passes the distance that the
-wanted cosine allows, and compares itself with what it finds, in double precision.
+wanted cosine allows, and compares itself with what it finds, in double precision.  Cells that lie together are a page, and a vector
+is sent to a page once, with the cells that it visits there.
 
 The bound: something filed under codeword i is nearer to i than to the query's own codeword, hence beyond the bisector
 of the two; the squared distances to the bisectors of both halves add up.  With target_recall 1 the traversal goes as
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqrec.llm.graph import components
@@ -54,6 +56,12 @@ def _codebook(x: np.ndarray, size: int, seed: int, rounds: int = 12) -> np.ndarr
     return np.unique(centres, axis=0)
 
 
+def _along(centres: np.ndarray) -> np.ndarray:
+    """Codewords along their main direction, so that a vector visits cells that lie together."""
+    centred = centres - centres.mean(0)
+    return centres[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
+
+
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)
 
@@ -119,10 +127,20 @@ def _linked(cosine: float):
         q_id, m_id = left["rid"].to_numpy(), right["rid"].to_numpy()
         q_n, m_n = left["copies"].to_numpy(), right["copies"].to_numpy()
         own, cell = left["own"].to_numpy(), right["cell"].to_numpy()
-        hit = q @ m.T >= cosine
-        hit &= (own[:, None] < cell) | ((own[:, None] == cell) & (q_id[:, None] < m_id))
-        if not hit.any():
+        lists = left["cells"].combine_chunks()
+        asker = np.repeat(np.arange(len(q)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        asked = lists.flatten().to_numpy(zero_copy_only=False)
+        asker, asked = asker[by := np.argsort(asked, kind="stable")], asked[by]
+        hit = np.zeros((len(q), len(m)), bool)
+        for c in np.unique(cell):  # only cells that the traversal has come to
+            i, j = asker[slice(*np.searchsorted(asked, (c, c + 1)))], np.flatnonzero(cell == c)
+            if len(i):
+                near = q[i] @ m[j].T >= cosine
+                hit[np.ix_(i, j)] = near & ((own[i] < c)[:, None] | ((own[i] == c)[:, None] & (q_id[i][:, None] < m_id[j])))
+        some_q, some_m = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        if not len(some_q):
             return schema.empty_table()
+        hit, q_id, m_id, q_n, m_n = hit[np.ix_(some_q, some_m)], q_id[some_q], m_id[some_m], q_n[some_q], m_n[some_m]
         ids = np.concatenate([q_id, m_id])
         n = np.concatenate([hit @ m_n, q_n @ hit])
         # local components: repeatedly take the least label among a vector's partners
@@ -170,7 +188,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     x = _unit(taken["vec"])
     half = x.shape[1] // 2
     size = int(min(1024, max(2, round((n / per_cell) ** 0.5))))
-    books = [_codebook(x[:, :half], size, seed), _codebook(x[:, half:], size, seed + 1)]
+    books = [_codebook(x[:, :half], size, seed), _along(_codebook(x[:, half:], size, seed + 1))]
     bound = _bound(x, books, cosine, target_recall, seed)
     wide = len(books[1])
 
@@ -182,6 +200,16 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell.astype(np.int64))],
                                                  names=["rid", "vec", "copies", "cell"])
 
+    index = cut(distinct.select("rid", "vec", "copies").mapInArrow(filed, f"rid bigint, vec {kind}, copies bigint, cell bigint"), "index")
+    # cells of one first codeword after another, as long as they hold about MEMBERS, make a page, named by its first cell
+    before = Window.partitionBy("row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = index.groupBy("cell").agg(F.count("*").alias("n")).withColumn("row", F.floor(F.col("cell") / F.lit(wide)))
+    cells = cells.withColumn("_p", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(MEMBERS)))
+    cells = cut(cells.withColumn("page", F.min("cell").over(Window.partitionBy("row", "_p"))).select("cell", "page", "n"), "cells")
+    known = cells.select("cell", "page").toArrow()  # a row for each cell, at most 1024 x 1024
+    page_of = np.full(len(books[0]) * wide, -1)
+    page_of[known["cell"].to_numpy()] = known["page"].to_numpy()
+
     def probes(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -193,29 +221,37 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             for k in range(len(v)):
                 i, j = _visits(first[k], second[k], bound)
                 cells = i * wide + j
-                cells = cells[cells > own[k]]  # a link between two cells is found from the lesser one
+                cells = cells[(cells > own[k]) & (page_of[cells] >= 0)]  # a link between two cells is found from the lesser one
                 who.append(np.full(len(cells) + 1, k))
                 where.append(np.append(own[k], cells))
             who, where = np.concatenate(who), np.concatenate(where)
-            for at in range(0, len(who), 8192):
-                part = batch.take(pa.array(who[at:at + 8192]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(where[at:at + 8192])],
-                                                 names=["rid", "vec", "copies", "own", "cell"])
-
-    index = cut(distinct.select("rid", "vec", "copies").mapInArrow(filed, f"rid bigint, vec {kind}, copies bigint, cell bigint"), "index")
-    visits = cut(index.mapInArrow(probes, f"rid bigint, vec {kind}, copies bigint, own bigint, cell bigint"), "visits")
-    blocks = index.groupBy("cell").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m_blocks"))
-    blocks = cut(blocks.join(visits.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_blocks")), "cell"), "blocks")
+            page = page_of[where]
+            order = np.lexsort((page, who))
+            who, where, page = who[order], where[order], page[order]
+            # a vector goes to a page once, with the cells it visits there
+            starts = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (page[1:] != page[:-1])]))
+            ends = np.append(starts[1:], len(who))
+            for at in range(0, len(starts), 8192):
+                some = slice(at, at + 8192)
+                low, high = starts[at], ends[some][-1]
+                part = batch.take(pa.array(who[starts[some]]))
+                visited = pa.ListArray.from_arrays(pa.array(np.append(starts[some], high) - low, pa.int32()), pa.array(where[low:high].astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(page[starts[some]].astype(np.int64)), visited],
+                                                 names=["rid", "vec", "copies", "own", "page", "cells"])
+
+    visits = cut(index.mapInArrow(probes, f"rid bigint, vec {kind}, copies bigint, own bigint, page bigint, cells array<bigint>"), "visits")
+    blocks = cells.groupBy("page").agg(F.ceil(F.sum("n") / (2 * MEMBERS)).cast("int").alias("m_blocks"))
+    blocks = cut(blocks.join(visits.groupBy("page").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("q_blocks")), "page"), "blocks")
 
     def spread(df, own_blocks, other_blocks, own, other):
         """Each row in one block of its own kind, once for every block of the other kind."""
-        return (df.join(blocks, "cell")
+        return (df.join(blocks, "page")
                 .withColumn(own, F.pmod(F.xxhash64("rid"), F.col(own_blocks)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1))).drop("m_blocks", "q_blocks"))
 
-    members = spread(index, "m_blocks", "q_blocks", "m", "q")
+    members = spread(index.join(cells.select("cell", "page"), "cell"), "m_blocks", "q_blocks", "m", "q")
     queries = spread(visits, "q_blocks", "m_blocks", "q", "m")
-    key = ["cell", "m", "q"]
+    key = ["page", "m", "q"]
     found = cut(queries.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(_linked(cosine), "node bigint, root bigint, n bigint"), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

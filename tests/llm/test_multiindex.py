@@ -90,3 +90,26 @@ def test_awkward_vectors(spark):
 
 def test_empty_table(spark):
     assert multiindex.near_vectors(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_a_vector_is_sent_to_a_page_once(spark, monkeypatch):
+    """Vectors go out once for each page of cells, not for each cell that they visit; pages of several blocks too."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.zeros((60, 8)) + rng.normal(size=8)]) + rng.normal(size=(360, 8)) * 0.05
+    ids = list(range(len(x)))
+    links, parts = brute(ids, x, 0.9)
+    made, cut = {}, multiindex.cut
+
+    def kept(df, name="cut"):
+        made[name] = cut(df, name)
+        return made[name]
+
+    monkeypatch.setattr(multiindex, "cut", kept)
+    monkeypatch.setattr(multiindex, "MEMBERS", 24)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    got = multiindex.near_vectors(df, cosine=0.9, per_cell=4, target_recall=1.0).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == links
+    assert {r["vec_id"]: r["component_id"] for r in got} == parts
+    sent = made["visits"].selectExpr("count(*) rows", "count(distinct rid, page) pairs", "sum(size(cells)) cells").first()
+    assert sent["rows"] == sent["pairs"] and 2 * sent["rows"] < sent["cells"]
+    assert made["blocks"].where("m_blocks > 1").count() > 0
